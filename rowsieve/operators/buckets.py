@@ -59,9 +59,7 @@ def join_small(df: DataFrame, small: DataFrame, on: str) -> DataFrame:
     spark = df.sparkSession
     small = checkpointed(small)
     threshold = conf_bytes(spark, "spark.sql.autoBroadcastJoinThreshold")
-    text = [F.coalesce(F.octet_length(c.name), F.lit(0)) for c in small.schema if c.dataType.simpleString() == "string"]
-    width = sum(text, F.lit(16 * len(small.columns)))
-    size = small.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
+    size = small.agg(F.coalesce(F.sum(row_bytes(small)), F.lit(0))).first()[0]
     if size <= threshold:
         return df.join(F.broadcast(small), on, "left")
     salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -70,6 +68,18 @@ def join_small(df: DataFrame, small: DataFrame, on: str) -> DataFrame:
     return salted.join(copies, [on, "_salt"], "left").drop("_salt")
 
 
+def row_bytes(df: DataFrame):
+    """Rough size of a row: text by its bytes, arrays of numbers by their length."""
+    size = F.lit(16 * len(df.columns))
+    for field in df.schema:
+        kind = field.dataType.simpleString()
+        if kind == "string":
+            size = size + F.coalesce(F.octet_length(field.name), F.lit(0))
+        elif kind.startswith("array"):
+            size = size + F.coalesce(F.size(field.name) * 8, F.lit(0))
+    return size
+
+
 def conf_bytes(spark, name: str) -> int:
     """A size setting of the session; it may be given as 10485760, 10485760b or 10MB."""
     value = spark.conf.get(name).strip().lower()

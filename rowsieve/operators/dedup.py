@@ -11,7 +11,7 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from rowsieve.functions.text import compact_key, norm_key
+from rowsieve.functions.text import compact_key, is_blank, norm_key
 from rowsieve.operators.columns import find_column, text_of
 from rowsieve.spec import CleanseSpec, KeyMode
 
@@ -73,7 +73,7 @@ def with_keys(df: DataFrame, spec: CleanseSpec, data_cols) -> tuple[DataFrame, l
     keys = [f"_k{i}" for i in range(len(names))]
     out = df.withColumns({k: norm_key(text_of(df, n), spec.case_sensitive) for k, n in zip(keys, names)})
     if len(names) == 1:
-        return out.withColumn("_k0", compact_key(F.col("_k0"))), keys, F.col("_k0") == ""
+        return out.withColumn("_k0", compact_key(F.col("_k0"))), keys, is_blank(text_of(df, names[0]))
     if spec.key_mode is KeyMode.ROW:
         # Lengths make the joined text unambiguous, so one narrow key serves any width.
         pieces = [p for k in keys for p in (F.length(k).cast("string"), F.lit(":"), F.col(k))]
@@ -82,11 +82,17 @@ def with_keys(df: DataFrame, spec: CleanseSpec, data_cols) -> tuple[DataFrame, l
     return out.withColumns({k: compact_key(F.col(k)) for k in keys}), keys, F.lit(False)
 
 
-def mark_first(df: DataFrame, group_cols, order) -> DataFrame:
-    """Add ``_first``: is this the earliest row of its group?"""
+def mark_first(df: DataFrame, group_cols, order, among: Column | None = None) -> DataFrame:
+    """Add ``_first``: is this the earliest row of its group?
+
+    Only rows that meet ``among`` take part; they alone are grouped, the others
+    get false. All rows meet their winner by row position, so neither a hot key
+    nor a mass of rows that take no part ends up in one task.
+    """
     ordered = df.withColumn("_pos", order_key(df, order))
     winners = (
-        ordered.groupBy(*group_cols)
+        (ordered if among is None else ordered.filter(among))
+        .groupBy(*group_cols)
         .agg(F.min("_pos").alias("_pos"))
         .select("_pos", F.lit(True).alias("_first"))
     )
@@ -97,13 +103,17 @@ def mark_first(df: DataFrame, group_cols, order) -> DataFrame:
     )
 
 
-def keep_first(df: DataFrame, group_cols, order) -> DataFrame:
-    """Only the earliest row of each group.
+def keep_first(df: DataFrame, group_cols, order, among: Column | None = None) -> DataFrame:
+    """Only the earliest row of each group, and every row that does not meet ``among``.
 
     Spark applies the limit of one row per group inside every map task as well,
-    so a hot key reaches its final task as one row per map task.
+    so a hot key reaches its final task as one row per map task. A row that takes
+    no part is a group of its own.
     """
-    window = Window.partitionBy(*group_cols).orderBy(*[F.col(c) for c in order])
+    by = [F.col(c) for c in group_cols]
+    if among is not None:
+        by = [F.when(among, c) for c in by] + [F.when(~among, order_key(df, order))]
+    window = Window.partitionBy(*by).orderBy(*[F.col(c) for c in order])
     return df.withColumn("_rank", F.row_number().over(window)).filter("_rank = 1").drop("_rank")
 
 

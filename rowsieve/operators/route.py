@@ -34,8 +34,9 @@ def prepare(df: DataFrame, spec: CleanseSpec, lineage: Lineage, rules=()) -> Dat
         rows = rows.withColumn(PART, F.lit(0))
     rows = with_bucket(rows, spec, lineage)
     target = spec.effective_validation_column
-    value = text_of(rows, target) if (spec.validation or rules) else F.lit(None)
-    return rows.withColumn(REASON, reason(value, target, spec.validation, rules))
+    if not (spec.validation or rules):
+        return rows.withColumn(REASON, F.lit(None).cast("string"))
+    return rows.withColumn(REASON, reason(text_of(rows, target), target, spec.validation, rules))
 
 
 def explodes(spec: CleanseSpec) -> bool:
@@ -61,47 +62,48 @@ def scope_columns(spec: CleanseSpec, lineage: Lineage) -> dict:
     return scope
 
 
-def split_for_dedup(df: DataFrame, spec: CleanseSpec, lineage: Lineage, rules=()):
-    """(rows whose status is already known, rows competing for a key, group columns).
+def with_groups(df: DataFrame, spec: CleanseSpec, lineage: Lineage, rules=()):
+    """(prepared rows with key and scope columns, names of these, which rows compete).
 
-    Invalid rows and rows with an empty key never enter the shuffle.
+    Invalid rows and rows with an empty key do not compete.
     """
     rows = prepare(df, spec, lineage, rules)
-    columns = data_columns(df, lineage)
-    keyed, keys, empty = with_keys(rows, spec, [c for c in columns if c in rows.columns])
-    settled = F.when(F.col(REASON).isNotNull(), F.lit(INVALID)).otherwise(F.lit(UNIQUE))
-    if not keys:
-        return rows.withColumn(STATUS, settled), None, []
-    scope = scope_columns(spec, lineage)
+    columns = [c for c in data_columns(df, lineage) if c in rows.columns]
+    keyed, keys, empty = with_keys(rows, spec, columns)
+    scope = scope_columns(spec, lineage) if keys else {}
     keyed = keyed.withColumns(scope) if scope else keyed
-    competes = F.col(REASON).isNull() & ~empty
-    passed = keyed.filter(~competes).withColumn(STATUS, settled).select(*rows.columns, STATUS)
-    return passed, keyed.filter(competes), [*scope, *keys]
+    return keyed, [*scope, *keys], F.col(REASON).isNull() & ~empty
 
 
 def cleanse(df: DataFrame, spec: CleanseSpec, lineage: Lineage, rules=()) -> DataFrame:
     """Every row of ``df`` with its ``_status``, ``_Reason``, ``_bucket`` and ``_part``.
 
-    Validation comes first, so an invalid row never claims a key.
+    Validation comes first, so an invalid row never claims a key. ``df`` is read
+    twice: keys and positions only to find the winners, then whole rows.
     """
-    passed, contenders, group = split_for_dedup(df, spec, lineage, rules)
-    if contenders is None:
-        return passed
-    marked = mark_first(contenders, group, row_order(spec, lineage))
-    routed = marked.withColumn(
-        STATUS, F.when(F.col("_first"), F.lit(UNIQUE)).otherwise(F.lit(DUPLICATE))
-    ).drop("_first", *group)
-    return passed.unionByName(routed)
+    rows, group, competes = with_groups(df, spec, lineage, rules)
+    is_invalid = F.col(REASON).isNotNull()
+    if not group:
+        return rows.withColumn(STATUS, F.when(is_invalid, F.lit(INVALID)).otherwise(F.lit(UNIQUE)))
+    flagged = rows.withColumn("_competes", competes)
+    marked = mark_first(flagged, group, row_order(spec, lineage), F.col("_competes"))
+    status = (
+        F.when(is_invalid, F.lit(INVALID))
+        .when(F.col("_first") | ~F.col("_competes"), F.lit(UNIQUE))
+        .otherwise(F.lit(DUPLICATE))
+    )
+    return marked.withColumn(STATUS, status).drop("_first", "_competes", *group)
 
 
 def unique_rows(df: DataFrame, spec: CleanseSpec, lineage: Lineage, rules=()) -> DataFrame:
     """Only the unique and invalid rows of ``cleanse``: duplicates never leave their map task."""
-    passed, contenders, group = split_for_dedup(df, spec, lineage, rules)
-    if contenders is None:
-        return passed
-    first = keep_first(contenders, group, row_order(spec, lineage))
-    routed = first.withColumn(STATUS, F.lit(UNIQUE)).drop(*group)
-    return passed.unionByName(routed)
+    rows, group, competes = with_groups(df, spec, lineage, rules)
+    kept = rows
+    if group:
+        flagged = rows.withColumn("_competes", competes)
+        kept = keep_first(flagged, group, row_order(spec, lineage), F.col("_competes"))
+    status = F.when(F.col(REASON).isNotNull(), F.lit(INVALID)).otherwise(F.lit(UNIQUE))
+    return kept.withColumn(STATUS, status).drop("_competes", *group)
 
 
 def user_columns(routed: DataFrame, lineage: Lineage) -> list[str]:

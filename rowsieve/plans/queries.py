@@ -37,8 +37,14 @@ CHECKED = replace(EMAIL, validation=BOTH)
 EXPLODED = replace(CHECKED, explode_multi=True)
 PER_SHEET = replace(EXPLODED, keep_sheets=True)
 DOCS = Lineage(order=("doc_id",), file="source")
-PART_POS = F.col("_part").cast("bigint").alias("part_pos")
-STATUS = F.col("_status").alias("status")
+
+
+def part_pos():
+    return F.col("_part").cast("bigint").alias("part_pos")
+
+
+def status():
+    return F.col("_status").alias("status")
 
 
 # ---- functions and projections ----
@@ -154,7 +160,7 @@ def invalid_reason_counts(spark, sf):
 def validation_only(spark, sf):
     spec = replace(CHECKED, key_mode=KeyMode.NONE, key_columns=(), validation_column="email")
     return route.cleanse(contacts(spark, sf), spec, CONTACTS).select(
-        "contact_id", STATUS, F.col("_Reason").alias("reason")
+        "contact_id", status(), F.col("_Reason").alias("reason")
     )
 
 
@@ -162,18 +168,18 @@ def validation_only(spark, sf):
 
 def explode_multi_value(spark, sf):
     df = contacts(spark, sf).select("contact_id", "email", "segment")
-    return hygiene.explode_multi(df, "Email", ";,|\n\r").select("contact_id", PART_POS, "email", "segment")
+    return hygiene.explode_multi(df, "Email", ";,|\n\r").select("contact_id", part_pos(), "email", "segment")
 
 
 def explode_text_lines(spark, sf):
     df = table(spark, sf, "documents").select("doc_id", "text")
-    return hygiene.explode_multi(df, "text", "\n").select("doc_id", PART_POS, "text")
+    return hygiene.explode_multi(df, "text", "\n").select("doc_id", part_pos(), "text")
 
 
 # ---- dedup and routing ----
 
 def _routed(spark, sf, spec):
-    return route.cleanse(contacts(spark, sf), spec, CONTACTS).select("contact_id", PART_POS, "email", STATUS)
+    return route.cleanse(contacts(spark, sf), spec, CONTACTS).select("contact_id", part_pos(), "email", status())
 
 
 def dedup_single(spark, sf):
@@ -207,29 +213,29 @@ def dedup_multi_lineitem(spark, sf):
     )
     spec = CleanseSpec(key_mode=KeyMode.MULTIPLE, key_columns=("l_returnflag", "l_linestatus", "l_quantity"))
     routed = route.cleanse(df, spec, Lineage(order=("_row",)))
-    return routed.groupBy("l_returnflag", "l_linestatus", "l_quantity", STATUS).agg(F.count("*").alias("n"))
+    return routed.groupBy("l_returnflag", "l_linestatus", "l_quantity", status()).agg(F.count("*").alias("n"))
 
 
 def dedup_part_name(spark, sf):
     spec = CleanseSpec(key_columns=("p_name",))
     routed = route.cleanse(table(spark, sf, "part").select("p_partkey", "p_name"), spec, Lineage(order=("p_partkey",)))
-    return routed.select("p_partkey", "p_name", STATUS)
+    return routed.select("p_partkey", "p_name", status())
 
 
 def dedup_text(spark, sf):
     df = table(spark, sf, "documents").select("doc_id", "text")
-    return route.cleanse(df, CleanseSpec(key_columns=("text",)), Lineage(order=("doc_id",))).select("doc_id", STATUS)
+    return route.cleanse(df, CleanseSpec(key_columns=("text",)), Lineage(order=("doc_id",))).select("doc_id", status())
 
 
 def dedup_per_file(spark, sf):
     spec = CleanseSpec(key_columns=("text",), keep_sheets=False, destination=Destination.IN_PLACE)
     df = table(spark, sf, "documents").select("doc_id", "source", "text")
-    return route.cleanse(df, spec, DOCS).select("doc_id", "source", STATUS)
+    return route.cleanse(df, spec, DOCS).select("doc_id", "source", status())
 
 
 def _whole_row(df, order):
     spec = CleanseSpec(key_mode=KeyMode.ROW)
-    return route.cleanse(df, spec, Lineage(order=order)).select(*order, STATUS)
+    return route.cleanse(df, spec, Lineage(order=order)).select(*order, status())
 
 
 def dedup_whole_row(spark, sf):
@@ -247,25 +253,25 @@ def dedup_whole_row_turns(spark, sf):
 def dedup_user_events(spark, sf):
     df = table(spark, sf, "events").select("event_id", "user_id", "event_type")
     spec = CleanseSpec(key_mode=KeyMode.MULTIPLE, key_columns=("user_id", "event_type"))
-    return route.cleanse(df, spec, Lineage(order=("event_id",))).select("event_id", STATUS)
+    return route.cleanse(df, spec, Lineage(order=("event_id",))).select("event_id", status())
 
 
 def nested_passthrough(spark, sf):
     spec = CleanseSpec(key_columns=("label",))
     df = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
     routed = route.cleanse(df, spec, Lineage(order=("vec_id",)))
-    return routed.select("vec_id", STATUS, F.size("embedding").cast("bigint").alias("dims"))
+    return routed.select("vec_id", status(), F.size("embedding").cast("bigint").alias("dims"))
 
 
 def first_wins(spark, sf):
     unique = route.unique_rows(contacts(spark, sf), EXPLODED, CONTACTS).filter("_status = 'unique'")
-    return unique.select("contact_id", PART_POS, "email", "name")
+    return unique.select("contact_id", part_pos(), "email", "name")
 
 
 def route_status(spark, sf):
     return route.cleanse(contacts(spark, sf), PER_SHEET, CONTACTS).select(
-        "contact_id", PART_POS, "email", "name", "segment", "score",
-        F.col("_bucket").alias("bucket"), STATUS, F.col("_Reason").alias("reason"),
+        "contact_id", part_pos(), "email", "name", "segment", "score",
+        F.col("_bucket").alias("bucket"), status(), F.col("_Reason").alias("reason"),
     )
 
 
@@ -325,7 +331,7 @@ def _unique_contacts(spark, sf):
 def merged_unique(spark, sf):
     rows, order = _unique_contacts(spark, sf)
     numbered = chunk.row_numbers(chunk.sorted_stage(rows, order))
-    return numbered.select(F.col("_rn").alias("rn"), F.col("_bucket").alias("bucket"), "contact_id", PART_POS, "email")
+    return numbered.select(F.col("_rn").alias("rn"), F.col("_bucket").alias("bucket"), "contact_id", part_pos(), "email")
 
 
 def chunk_rows(spark, sf):
@@ -348,13 +354,13 @@ def chunk_lineitem(spark, sf):
 def chunk_per_sheet(spark, sf):
     rows, order = _unique_contacts(spark, sf)
     out = chunk.with_chunk(rows, order, 25, per="_bucket")
-    return out.select("contact_id", PART_POS, F.col("_bucket").alias("bucket"), F.col("_rn").alias("rn"), F.col("_chunk").alias("chunk"))
+    return out.select("contact_id", part_pos(), F.col("_bucket").alias("bucket"), F.col("_rn").alias("rn"), F.col("_chunk").alias("chunk"))
 
 
 def chunk_merged(spark, sf):
     rows, order = _unique_contacts(spark, sf)
     out = chunk.with_chunk(rows, order, 25)
-    return out.select("contact_id", PART_POS, F.col("_rn").alias("rn"), F.col("_chunk").alias("chunk"))
+    return out.select("contact_id", part_pos(), F.col("_rn").alias("rn"), F.col("_chunk").alias("chunk"))
 
 
 def _manifest(spark, sf, **options):
@@ -444,7 +450,7 @@ def scan_workbook(spark, sf):
 def workbook_run(spark, sf):
     rows = read.read_sources(spark, [_workbooks(spark, sf)]).rows
     routed = route.cleanse(rows, PER_SHEET, FILE_LINEAGE)
-    return routed.select("contact_id", PART_POS, F.col("_bucket").alias("bucket"), STATUS)
+    return routed.select("contact_id", part_pos(), F.col("_bucket").alias("bucket"), status())
 
 
 def file_outcomes(spark, sf):
@@ -466,10 +472,10 @@ def sink_csv(spark, sf):
     spec = replace(PER_SHEET, format=OutputFormat.CSV, **ALL_BUCKETS)
     write_run(contacts(spark, sf), spec, CONTACTS, path)
 
-    def back(status, source, reason):
-        df = spark.read.options(**CSV_OPTIONS, multiLine=True).csv(f"{path}/{status}")
+    def back(name, source, reason):
+        df = spark.read.options(**CSV_OPTIONS, multiLine=True).csv(f"{path}/{name}")
         email = F.coalesce("email", F.lit("")).alias("email")
-        return df.select(F.lit(status).alias("status"), source.alias("source"), reason.alias("reason"), email, "name", "segment")
+        return df.select(F.lit(name).alias("status"), source.alias("source"), reason.alias("reason"), email, "name", "segment")
 
     nothing = F.lit(None).cast("string")
     return (

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import SparkSession
 
 from rowsieve.operators.report import file_counts, file_outcomes
+from rowsieve.session import stage
 from rowsieve.sinks.inplace import replace_in_place
 from rowsieve.sinks.write import RunResult, write_run
 from rowsieve.sources.read import Sources, read_sources
@@ -38,6 +39,8 @@ def run(spark: SparkSession, paths: list[str], spec: CleanseSpec, name: str | No
         read = sum(n.values())
         return RunResult(paths[0], read, n.get("unique", 0), n.get("duplicate", 0), n.get("invalid", 0))
     path = output_folder(paths, spec, name or run_name())
+    # Files are decoded once; every later pass reads the columns it needs from the copy.
+    sources.rows = stage(sources.rows, "ingest")
     result = write_run(sources.rows, spec, FILE_LINEAGE, path, mode=mode)
     outcomes(sources).write.mode(mode).parquet(f"{path}/files")
     return result

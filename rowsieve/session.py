@@ -56,9 +56,10 @@ def hadoop_path(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
+def qualified(spark: SparkSession, path: str) -> str | None:
+    """``path`` as listings spell it, or None if nothing is there."""
     fs, p = hadoop_path(spark, path)
-    return bool(fs.exists(p))
+    return fs.makeQualified(p).toString() if fs.exists(p) else None
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rowsieve.operators.columns import REASON, SOURCE, col_ref
 from rowsieve.operators.hygiene import PART
 from rowsieve.operators.route import BUCKET, DUPLICATE, INVALID, STATUS, UNIQUE, cleanse, user_columns
-from rowsieve.session import checkpointed, drop_path, hadoop_path
+from rowsieve.session import checkpointed, drop_path, hadoop_path, stage
 from rowsieve.sinks.write import CSV_OPTIONS
 from rowsieve.spec import FILE_LINEAGE, CleanseSpec, Destination, SpecError
 
@@ -72,8 +73,6 @@ def replace_in_place(spark: SparkSession, rows: DataFrame, spec: CleanseSpec, ke
     folder = {f["_file"].rsplit("/", 1)[0] for f in files}
     root = f"{sorted(folder)[0]}/.rowsieve-{uuid.uuid4().hex}"
 
-    from rowsieve.session import stage
-
     routed = stage(cleanse(rows, spec, FILE_LINEAGE, rules), "inplace")
     columns = [col_ref(c) for c in user_columns(routed, FILE_LINEAGE)]
     plans = [(UNIQUE, columns, "")]
@@ -93,7 +92,8 @@ def replace_in_place(spark: SparkSession, rows: DataFrame, spec: CleanseSpec, ke
                 raise InPlaceError(f"{status}: wrote {written} rows, read back {back}")
 
     have = {(c["_file_ord"], c[STATUS]) for c in counted}
-    for f in files:
+
+    def replace_one(f) -> None:
         base = f["_file"][: -len(".csv")]
         for status, wanted, suffix in plans:
             staged = f"{root}/{status}/_file_ord={f['_file_ord']}"
@@ -102,6 +102,9 @@ def replace_in_place(spark: SparkSession, rows: DataFrame, spec: CleanseSpec, ke
                 empty.coalesce(1).write.options(**CSV_OPTIONS).csv(staged)
             target = f["_file"] if status == UNIQUE else f"{base}{suffix}.csv"
             swap(spark, staged, target, f"{target}.bak" if keep_backup and status == UNIQUE else None)
+
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(replace_one, files))
     drop_path(spark, root)
     return spark.createDataFrame(
         [(c["_file"], c[STATUS], c["rows"]) for c in counted], "file string, status string, rows bigint"

@@ -16,6 +16,7 @@ from rowsieve.sources.files import open_input, task_count
 
 HEAD_BYTES = 1 << 16
 BLOCK_BITS, ROW_BITS = 20, 33
+MAX_HEADER_SCANS = 16  # beyond, one scan serves all headers
 HEADER_SCHEMA = "path string, file_ord int, header array<string>, error string"
 
 
@@ -79,13 +80,9 @@ def usable_header(header) -> list[tuple[int, str]]:
     return out
 
 
-def scan_group(spark: SparkSession, paths: list[str], header, multiline: bool) -> DataFrame:
-    """Rows of files that share ``header``: ``_file``, ``_row`` and its columns as text.
-
-    Columns are read by position and named afterwards, so headers that differ in
-    case or repeat never confuse the reader.
-    """
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(max(1, len(header)))])
+def scan_cells(spark: SparkSession, paths: list[str], width: int, multiline: bool) -> DataFrame:
+    """``_file``, ``_row`` and the cells ``c0``, ``c1``, ... of the data rows, as text."""
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(max(1, width))])
     scan = (
         spark.read.schema(schema)
         .options(header=True, multiLine=multiline, quote='"', escape='"', enforceSchema=True)
@@ -95,36 +92,63 @@ def scan_group(spark: SparkSession, paths: list[str], header, multiline: bool) -
     return scan.select(
         plain_path(F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B"))).alias("_file"),
         row_position(spark, splittable=not multiline).alias("_row"),
-        *[F.col(f"c{i}").alias(name) for i, name in usable_header(header)],
+        *schema.names,
     )
 
 
 def read_csv(spark: SparkSession, files: DataFrame, headers, multiline: bool = True) -> DataFrame:
-    """All CSV files of ``files`` as one frame, with lineage.
+    """All CSV files of ``files`` as one frame, with lineage; all cells are text.
 
-    ``headers`` are the rows of ``read_headers``. There is one scan per distinct
-    header. Without ``multiline`` large files are split over several tasks; their
+    ``headers`` are the rows of ``read_headers``. Columns are read by position and
+    named afterwards, so headers that differ in case or repeat never confuse the
+    reader. Without ``multiline`` large files are split over several tasks; their
     cells must then hold no line ends.
     """
-    groups: dict[tuple, list[str]] = {}
+    groups: dict[tuple, list] = {}
     for h in sorted(headers, key=lambda h: h["file_ord"]):
-        groups.setdefault(tuple(h["header"]), []).append(h["path"])
+        groups.setdefault(tuple(h["header"]), []).append(h)
     columns = merge_headers(groups)
-    rows = None
-    for header, paths in groups.items():
-        scan = scan_group(spark, paths, header, multiline)
-        conformed = conform_names(scan, columns)
-        rows = conformed if rows is None else rows.unionByName(conformed, allowMissingColumns=True)
-    ords = files.select(plain_path(F.col("path")).alias("_file"), F.col("file_ord").alias("_file_ord"))
-    return join_small(rows, ords, "_file").select(
+    scan = scan_per_header if len(groups) <= MAX_HEADER_SCANS else scan_by_position
+    return scan(spark, files, groups, columns, multiline).select(
         "_file", "_file_ord", F.lit("").alias("_sheet"), F.lit(0).alias("_sheet_ord"), "_row",
         *[col_ref(c) for c in columns],
     )
 
 
-def conform_names(df: DataFrame, columns) -> DataFrame:
+def file_ords(files: DataFrame) -> DataFrame:
+    return files.select(plain_path(F.col("path")).alias("_file"), F.col("file_ord").alias("_file_ord"))
+
+
+def scan_per_header(spark, files, groups, columns, multiline) -> DataFrame:
+    """One scan per distinct header: unused columns are not even parsed."""
     spelling = {header_key(c): c for c in columns}
-    return df.select(*[col_ref(c).alias(spelling.get(header_key(c), c)) for c in df.columns])
+    rows = None
+    for header, heads in groups.items():
+        cells = scan_cells(spark, [h["path"] for h in heads], len(header), multiline)
+        named = [F.col(f"c{i}").alias(spelling[header_key(n)]) for i, n in usable_header(header)]
+        part = cells.select("_file", "_row", *named)
+        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+    return join_small(rows, file_ords(files), "_file")
+
+
+def scan_by_position(spark, files, groups, columns, multiline) -> DataFrame:
+    """One scan for any number of headers: each file brings the place of every column."""
+    at = {header_key(c): j for j, c in enumerate(columns)}
+    places = []
+    for header, heads in groups.items():
+        place = [0] * len(columns)  # 1-based; 0 for a column the file lacks
+        for i, name in usable_header(header):
+            place[at[header_key(name)]] = i + 1
+        places += [(h["file_ord"], place) for h in heads]
+    width = max(len(header) for header in groups)
+    cells = scan_cells(spark, [h["path"] for heads in groups.values() for h in heads], width, multiline)
+    packed = cells.select("_file", "_row", F.array(*[f"c{i}" for i in range(max(1, width))]).alias("_cells"))
+    placed = spark.createDataFrame(places, "_file_ord int, _places array<int>")
+    rows = join_small(packed, file_ords(files).join(placed, "_file_ord"), "_file")
+    return rows.select(
+        "_file", "_file_ord", "_row",
+        *[F.get("_cells", F.get("_places", F.lit(j)) - 1).alias(c) for j, c in enumerate(columns)],
+    )
 
 
 def plain_path(path: Column) -> Column:

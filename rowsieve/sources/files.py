@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -9,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from rowsieve.functions.names import extension
 from rowsieve.functions.text import is_blank
 from rowsieve.operators.dedup import keep_first
-from rowsieve.session import path_exists
+from rowsieve.session import qualified
 
 # File types that are read.
 CSV_EXTENSIONS = (".csv",)
 WORKBOOK_EXTENSIONS = (".xlsx", ".xlsm")
 
+FILES_SCHEMA = "path string, length bigint, file_ord int"
+
 
 def admit(paths: DataFrame, path: str, order) -> DataFrame:
     """Paths worth reading: not blank, of a known type, and each only once (without case)."""
@@ -23,31 +26,42 @@ def admit(paths: DataFrame, path: str, order) -> DataFrame:
     return keep_first(wanted.withColumn("_path_key", F.lower(path)), ["_path_key"], order).drop("_path_key")
 
 
+def given_order(path: str, order: dict[str, int]) -> int:
+    """Place in the given list of the entry that ``path`` is, or lies in."""
+    while path not in order and "/" in path:
+        path = path.rsplit("/", 1)[0]
+    return order.get(path, len(order))
+
+
+def extension_of(path: str) -> str | None:
+    """The path's extension if files of that type are read."""
+    return next((e for e in (*CSV_EXTENSIONS, *WORKBOOK_EXTENSIONS) if path.lower().endswith(e)), None)
+
+
 def list_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[str]]:
     """(``path``, ``file_ord``, ``length`` of admitted files, given paths that do not exist).
 
     Files come in the order of ``paths``, inside a folder by path. Only the
-    listing is read: ``content`` is never selected.
+    listing is read: ``content`` is never selected. The list of files is plan
+    input, as for every file scan, so it passes through the driver.
     """
-    given = [p for p in paths if p and p.strip()]
-    missing = [p for p in given if not any(c in p for c in "*?[{") and not path_exists(spark, p)]
-    present = [p for p in given if p not in missing]
-    listed = None
-    for i, p in enumerate(present):
-        one = (
-            spark.read.format("binaryFile")
-            .option("recursiveFileLookup", True)
-            .load(p)
-            .select("path", "length", F.lit(i).alias("_list"))
-        )
-        listed = one if listed is None else listed.unionByName(one)
-    if listed is None:
-        schema = "path string, length bigint, file_ord int"
-        return spark.createDataFrame([], schema), missing
-    admitted = admit(listed, "path", ["_list", "path"])
-    rows = admitted.orderBy("_list", "path").select("path", "length").collect()
-    numbered = [(r["path"], r["length"], i) for i, r in enumerate(rows)]
-    return spark.createDataFrame(numbered, "path string, length bigint, file_ord int"), missing
+    given = list(dict.fromkeys(p for p in paths if p and p.strip()))
+    with ThreadPoolExecutor(16) as pool:
+        found = list(pool.map(lambda p: qualified(spark, p), given))
+    missing = [p for p, q in zip(given, found) if q is None]
+    present = [q for q in found if q is not None]
+    if not present:
+        return spark.createDataFrame([], FILES_SCHEMA), missing
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(present)
+    order = {q: i for i, q in enumerate(present)}
+    listed = [(r["path"], r["length"], given_order(r["path"], order)) for r in listing.select("path", "length").collect()]
+    seen = {i for _, _, i in listed}
+    listed += [(q, 0, i) for q, i in order.items() if i not in seen and extension_of(q)]  # empty files
+    frame = spark.createDataFrame(listed, FILES_SCHEMA)
+    admitted = admit(frame, "path", ["file_ord", "path"]).collect()
+    admitted.sort(key=lambda r: (r["file_ord"], r["path"]))
+    numbered = [(r["path"], r["length"], i) for i, r in enumerate(admitted)]
+    return spark.createDataFrame(numbered, FILES_SCHEMA), missing
 
 
 def task_count(spark: SparkSession, items: int) -> int:
