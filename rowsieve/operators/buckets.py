@@ -40,6 +40,11 @@ def bucket_table(df: DataFrame, order) -> DataFrame:
     )
 
 
+def source_buckets(df: DataFrame, spec: CleanseSpec, lineage: Lineage) -> DataFrame:
+    """``bucket_table`` of unprocessed rows: only labels and positions are read."""
+    return bucket_table(with_bucket(df, spec, lineage), lineage.order)
+
+
 def bucket_order(df: DataFrame, order) -> DataFrame:
     """Buckets numbered from 1 in order of first encounter (one row per bucket)."""
     by_first = Window.orderBy("_bucket_pos")

@@ -6,20 +6,21 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rowsieve.functions.names import clean_file_name, two_digits
 from rowsieve.operators.buckets import join_small
-from rowsieve.session import stage
+from rowsieve.session import scratch_path, stage
 from rowsieve.spec import Chunking, CleanseSpec, OutputFormat
 
 LOCAL_BITS = 33  # monotonically_increasing_id: partition number above, row in partition below
 
 
-def sorted_stage(df: DataFrame, sort_cols) -> DataFrame:
+def sorted_stage(df: DataFrame, sort_cols, path: str | None = None) -> DataFrame:
     """``df`` in order, written once, with ``_rid`` telling each row's place.
 
     The written table fixes partition boundaries, so that counting and numbering
     agree even if executors are lost in between.
     """
     ranged = df.repartitionByRange(*sort_cols).sortWithinPartitions(*sort_cols)
-    return stage(ranged.withColumn("_rid", F.monotonically_increasing_id()), "sorted")
+    path = path or scratch_path(df.sparkSession, "sorted")
+    return stage(ranged.withColumn("_rid", F.monotonically_increasing_id()), path)
 
 
 def partition_no() -> Column:

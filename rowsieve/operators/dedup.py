@@ -15,40 +15,36 @@ from rowsieve.functions.text import compact_key, is_blank, norm_key
 from rowsieve.operators.columns import find_column, text_of
 from rowsieve.spec import CleanseSpec, KeyMode
 
-# Decimal digits that hold any value of an integral type.
-INTEGRAL_DIGITS = {"tinyint": 3, "smallint": 5, "int": 10, "bigint": 19}
-# Positions the library assigns itself: never negative, so no shift is needed.
-POSITION_DIGITS = {"_file_ord": 9, "_row": 19, "_part": 10}
-SIGN_SHIFT = {"tinyint": 2**7, "smallint": 2**15, "int": 2**31, "bigint": 2**63}
+# Bits of whole-number types, and of what a decimal of 38 digits can hold.
+INTEGRAL_BITS = {"tinyint": 8, "smallint": 16, "int": 32, "bigint": 64}
+DECIMAL_BITS = 126
+# Positions the library assigns itself are never negative.
+POSITIONS = {"_file_ord", "_sheet_ord", "_row", "_part", "_pos"}
 
 
 def order_key(df: DataFrame, order) -> Column:
     """One value that sorts rows by ``order``.
 
-    Whole-number columns are packed into one decimal when 38 digits suffice:
-    a minimum over it stays in hash aggregation, over a struct it would sort.
+    Whole-number columns are packed into one decimal where they fit: a minimum
+    over it stays in hash aggregation, over a struct it would have to sort.
     """
-    types = dict(df.dtypes)
+    kinds = dict(df.dtypes)
     if len(order) == 1:
         return F.col(order[0])
-    as_struct = F.struct(*[F.col(c) for c in order])
-    if any(types[c] not in INTEGRAL_DIGITS for c in order):
-        return as_struct
-    widths = [POSITION_DIGITS.get(c) or INTEGRAL_DIGITS[types[c]] for c in order]
-    shifted = [i > 0 and c not in POSITION_DIGITS for i, c in enumerate(order)]
-    widths = [w + 1 if s and types[c] == "bigint" else w for w, s, c in zip(widths, shifted, order)]
-    if sum(widths) > 38:
-        return as_struct
-    packed, scale = None, 0
-    for c, width, shift in reversed(list(zip(order, widths, shifted))):
+    if any(kinds[c] not in INTEGRAL_BITS for c in order):
+        return F.struct(*[F.col(c) for c in order])
+    lead, *rest = order
+    packed, used = F.col(lead).cast("decimal(38,0)"), INTEGRAL_BITS[kinds[lead]] - 1
+    for c in rest:
+        bits = INTEGRAL_BITS[kinds[c]]
         value = F.col(c).cast("decimal(38,0)")
-        if shift:
-            value = value + F.lit(Decimal(SIGN_SHIFT[types[c]]))
-        if scale:
-            value = value * F.lit(Decimal(10) ** scale)
-        packed = value if packed is None else value + packed
-        scale += width
-    return packed.cast("decimal(38,0)")
+        if c in POSITIONS:
+            bits -= 1
+        else:
+            value = value + F.lit(Decimal(2 ** (bits - 1)))
+        used += bits
+        packed = (packed * F.lit(Decimal(2**bits)) + value).cast("decimal(38,0)")
+    return packed if used <= DECIMAL_BITS else F.struct(*[F.col(c) for c in order])
 
 
 def with_keys(df: DataFrame, spec: CleanseSpec, data_cols) -> tuple[DataFrame, list[str], Column]:
@@ -82,25 +78,21 @@ def with_keys(df: DataFrame, spec: CleanseSpec, data_cols) -> tuple[DataFrame, l
     return out.withColumns({k: compact_key(F.col(k)) for k in keys}), keys, F.lit(False)
 
 
-def mark_first(df: DataFrame, group_cols, order, among: Column | None = None) -> DataFrame:
-    """Add ``_first``: is this the earliest row of its group?
+def winners(contenders: DataFrame, group_cols, order) -> DataFrame:
+    """Position ``_pos`` of the earliest row of each group; nothing else is shuffled."""
+    placed = contenders.withColumn("_pos", order_key(contenders, order))
+    return placed.groupBy(*group_cols).agg(F.min("_pos").alias("_pos")).select("_pos")
 
-    Only rows that meet ``among`` take part; they alone are grouped, the others
-    get false. All rows meet their winner by row position, so neither a hot key
-    nor a mass of rows that take no part ends up in one task.
+
+def mark_first(df: DataFrame, first: DataFrame, order) -> DataFrame:
+    """Add ``_first``: is this row's position among the winners'?
+
+    All rows, whether they competed or not, are spread by their unique position,
+    so neither a hot key nor a mass of rows without one ends up in one task.
     """
-    ordered = df.withColumn("_pos", order_key(df, order))
-    winners = (
-        (ordered if among is None else ordered.filter(among))
-        .groupBy(*group_cols)
-        .agg(F.min("_pos").alias("_pos"))
-        .select("_pos", F.lit(True).alias("_first"))
-    )
-    return (
-        ordered.join(winners, "_pos", "left")
-        .withColumn("_first", F.coalesce("_first", F.lit(False)))
-        .drop("_pos")
-    )
+    placed = df.withColumn("_pos", order_key(df, order))
+    found = placed.join(first.withColumn("_first", F.lit(True)), "_pos", "left")
+    return found.withColumn("_first", F.coalesce("_first", F.lit(False))).drop("_pos")
 
 
 def keep_first(df: DataFrame, group_cols, order, among: Column | None = None) -> DataFrame:
@@ -118,9 +110,12 @@ def keep_first(df: DataFrame, group_cols, order, among: Column | None = None) ->
 
 
 def dedup(df: DataFrame, group_cols, order, strategy: str = "aggregate") -> DataFrame:
-    """``mark_first`` by default; ``window`` needs one shuffle less but puts each
-    key's rows into one task, so it is for keys known to repeat rarely."""
+    """Add ``_first`` to every row of ``df``.
+
+    ``window`` needs one shuffle less but puts each key's rows into one task, so
+    it is for keys known to repeat rarely; nothing in the library uses it.
+    """
     if strategy == "aggregate":
-        return mark_first(df, group_cols, order)
+        return mark_first(df, winners(df, group_cols, order), order)
     window = Window.partitionBy(*group_cols).orderBy(*[F.col(c) for c in order])
     return df.withColumn("_first", F.row_number().over(window) == 1)

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from rowsieve.operators.buckets import bucket_table
+from rowsieve.operators.buckets import source_buckets
 from rowsieve.operators.columns import REASON, data_columns
 from rowsieve.operators.dedup import with_keys
 from rowsieve.operators.hygiene import PART, drop_blank_rows
-from rowsieve.operators.route import BUCKET, prepare, row_order, scope_columns
+from rowsieve.operators.route import BUCKET, prepare, scope_columns
 from rowsieve.spec import CleanseSpec, Lineage
 
 COUNTS = ("rows_read", "unique_rows", "duplicate_rows", "invalid_rows")
@@ -23,6 +23,7 @@ def status_counts(df: DataFrame, spec: CleanseSpec, lineage: Lineage, by, rules=
     rows = prepare(df, spec, lineage, rules)
     columns = [c for c in data_columns(df, lineage) if c in rows.columns]
     keyed, keys, empty = with_keys(rows, spec, columns)
+    # The sheet scope is a grouping even where nothing is deduplicated.
     scope = scope_columns(spec, lineage)
     keyed = keyed.withColumns(scope) if scope else keyed
     kind = F.when(F.col(REASON).isNotNull(), F.lit("invalid")).when(empty, F.lit("kept")).otherwise(F.lit("keyed"))
@@ -45,21 +46,31 @@ def status_counts(df: DataFrame, spec: CleanseSpec, lineage: Lineage, by, rules=
     )
 
 
-def bucket_counts(df: DataFrame, spec: CleanseSpec, lineage: Lineage, rules=()) -> DataFrame:
-    """``bucket_ord``, ``bucket`` (first spelling) and ``COUNTS``, one row per bucket."""
-    if not spec.keep_sheets:
-        counts = status_counts(df, spec, lineage, [], rules).filter("rows_read > 0")
-        return counts.select(F.lit(1).cast("bigint").alias("bucket_ord"), F.lit(spec.unique_name).alias("bucket"), *COUNTS)
-    counts = status_counts(df, spec, lineage, ["_scope"], rules)
-    buckets = bucket_table(prepare(df, spec, lineage, rules), row_order(spec, lineage))
+def numbered_counts(counts: DataFrame, buckets: DataFrame) -> DataFrame:
+    """``counts`` (by ``_bucket_key``) for all ``buckets``, numbered in order of encounter."""
     by_first = Window.orderBy("_bucket_pos")  # one row per bucket
-    return counts.join(buckets, F.col("_scope") == F.col("_bucket_key")).select(
+    return buckets.join(counts, "_bucket_key", "left").select(
         F.row_number().over(by_first).cast("bigint").alias("bucket_ord"),
         F.col("_bucket_name").alias("bucket"),
-        *COUNTS,
+        *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in COUNTS],
     )
 
 
+def bucket_counts(df: DataFrame, spec: CleanseSpec, lineage: Lineage, rules=(), buckets: DataFrame | None = None) -> DataFrame:
+    """``bucket_ord``, ``bucket`` (first spelling) and ``COUNTS``, one row per bucket.
+
+    ``buckets`` is a ``bucket_table``; by default it comes from the rows.
+    """
+    if buckets is None:
+        buckets = source_buckets(df, spec, lineage)
+    if spec.keep_sheets:
+        counts = status_counts(df, spec, lineage, ["_scope"], rules).withColumnRenamed("_scope", "_bucket_key")
+    else:
+        key = F.lower(F.lit(spec.unique_name)).alias("_bucket_key")
+        counts = status_counts(df, spec, lineage, [], rules).select(key, *COUNTS)
+    return numbered_counts(counts, buckets)
+
+
 def run_totals(df: DataFrame, spec: CleanseSpec, lineage: Lineage, rules=()) -> DataFrame:
     counts = status_counts(df, spec, lineage, [], rules)
     return counts.select(*[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in COUNTS])

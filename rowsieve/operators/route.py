@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from rowsieve.functions.rules import reason
-from rowsieve.operators.buckets import attach_bucket_names, bucket_table, with_bucket
-from rowsieve.operators.columns import REASON, SOURCE, data_columns, drop_reserved, resolve, text_of
-from rowsieve.operators.dedup import keep_first, mark_first, with_keys
+from rowsieve.operators.buckets import attach_bucket_names, source_buckets, with_bucket
+from rowsieve.operators.columns import REASON, SOURCE, col_ref, data_columns, drop_reserved, text_of
+from rowsieve.operators.dedup import keep_first, mark_first, winners, with_keys
 from rowsieve.operators.hygiene import PART, drop_blank_rows, explode_multi
 from rowsieve.spec import CleanseSpec, KeyMode, Lineage, SpecError
 
@@ -16,10 +16,11 @@ STATUS = "_status"
 BUCKET = "_bucket"
 
 
-def prepare(df: DataFrame, spec: CleanseSpec, lineage: Lineage, rules=()) -> DataFrame:
+def prepare(df: DataFrame, spec: CleanseSpec, lineage: Lineage, rules=(), blank_rows: bool = False) -> DataFrame:
     """Rows as read, without blank ones, exploded, labelled and checked.
 
-    Adds ``_bucket``, ``_part`` and ``_Reason`` (null for a valid row).
+    Adds ``_bucket``, ``_part`` and ``_Reason`` (null for a valid row). With
+    ``blank_rows`` they stay in, for a caller that drops them in another way.
     """
     spec.check()
     rows = drop_reserved(df)
@@ -27,7 +28,8 @@ def prepare(df: DataFrame, spec: CleanseSpec, lineage: Lineage, rules=()) -> Dat
     taken = {BUCKET, PART, STATUS} & {c.lower() for c in columns}
     if taken:
         raise SpecError(f"columns {sorted(taken)} are reserved; rename them first")
-    rows = drop_blank_rows(rows, columns)
+    if lineage.blank_rows and not blank_rows:
+        rows = drop_blank_rows(rows, columns)
     if explodes(spec):
         rows = explode_multi(rows, spec.key_columns[0], spec.delimiters)
     else:
@@ -62,12 +64,12 @@ def scope_columns(spec: CleanseSpec, lineage: Lineage) -> dict:
     return scope
 
 
-def with_groups(df: DataFrame, spec: CleanseSpec, lineage: Lineage, rules=()):
+def with_groups(df: DataFrame, spec: CleanseSpec, lineage: Lineage, rules=(), blank_rows: bool = False):
     """(prepared rows with key and scope columns, names of these, which rows compete).
 
     Invalid rows and rows with an empty key do not compete.
     """
-    rows = prepare(df, spec, lineage, rules)
+    rows = prepare(df, spec, lineage, rules, blank_rows)
     columns = [c for c in data_columns(df, lineage) if c in rows.columns]
     keyed, keys, empty = with_keys(rows, spec, columns)
     scope = scope_columns(spec, lineage) if keys else {}
@@ -85,14 +87,17 @@ def cleanse(df: DataFrame, spec: CleanseSpec, lineage: Lineage, rules=()) -> Dat
     is_invalid = F.col(REASON).isNotNull()
     if not group:
         return rows.withColumn(STATUS, F.when(is_invalid, F.lit(INVALID)).otherwise(F.lit(UNIQUE)))
-    flagged = rows.withColumn("_competes", competes)
-    marked = mark_first(flagged, group, row_order(spec, lineage), F.col("_competes"))
+    order = row_order(spec, lineage)
+    # A row with a single non-empty key is not blank: its other columns need not be read.
+    single = spec.key_mode is KeyMode.SINGLE
+    contenders, _, _ = with_groups(df, spec, lineage, rules, blank_rows=single)
+    marked = mark_first(rows, winners(contenders.filter(competes), group, order), order)
     status = (
         F.when(is_invalid, F.lit(INVALID))
-        .when(F.col("_first") | ~F.col("_competes"), F.lit(UNIQUE))
+        .when(F.col("_first") | ~competes, F.lit(UNIQUE))
         .otherwise(F.lit(DUPLICATE))
     )
-    return marked.withColumn(STATUS, status).drop("_first", "_competes", *group)
+    return marked.withColumn(STATUS, status).drop("_first", *group)
 
 
 def unique_rows(df: DataFrame, spec: CleanseSpec, lineage: Lineage, rules=()) -> DataFrame:
@@ -111,18 +116,20 @@ def user_columns(routed: DataFrame, lineage: Lineage) -> list[str]:
     return [c for c in data_columns(routed, lineage) if c not in own]
 
 
-def audit(routed: DataFrame, status: str, lineage: Lineage, order, keep=()) -> DataFrame:
-    """Rows of one status, preceded by the bucket they came from (and the reason)."""
-    named = attach_bucket_names(routed.filter(F.col(STATUS) == status), bucket_table(routed, order))
-    lead = [F.col(BUCKET).alias(SOURCE)]
-    if status == INVALID:
-        lead.append(F.col(REASON))
-    return named.select(*lead, *[resolve(named, c) for c in user_columns(routed, lineage)], *keep)
+def audit(rows: DataFrame, df: DataFrame, spec: CleanseSpec, lineage: Lineage, lead) -> DataFrame:
+    """``rows`` under the bucket they came from, in its first spelling."""
+    columns = user_columns(rows, lineage)
+    named = attach_bucket_names(rows, source_buckets(df, spec, lineage))
+    return named.select(F.col(BUCKET).alias(SOURCE), *lead, *[col_ref(c) for c in columns])
 
 
-def duplicates(routed: DataFrame, spec: CleanseSpec, lineage: Lineage) -> DataFrame:
-    return audit(routed, DUPLICATE, lineage, row_order(spec, lineage))
+def duplicates(df: DataFrame, spec: CleanseSpec, lineage: Lineage, rules=()) -> DataFrame:
+    """Rows removed as duplicates, preceded by ``_Source``."""
+    rows = cleanse(df, spec, lineage, rules).filter(F.col(STATUS) == DUPLICATE)
+    return audit(rows, df, spec, lineage, [])
 
 
-def invalid(routed: DataFrame, spec: CleanseSpec, lineage: Lineage) -> DataFrame:
-    return audit(routed, INVALID, lineage, row_order(spec, lineage))
+def invalid(df: DataFrame, spec: CleanseSpec, lineage: Lineage, rules=()) -> DataFrame:
+    """Rows that failed validation, preceded by ``_Source`` and ``_Reason``; nothing is deduplicated."""
+    rows = prepare(df, spec, lineage, rules).filter(F.col(REASON).isNotNull())
+    return audit(rows, df, spec, lineage, [F.col(REASON)])

@@ -217,7 +217,7 @@ ORACLE_SQL = {
         FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
       words AS (SELECT doc_id, line_no, generate_subscripts(ws, 1) - 1 AS pos, {trim('unnest(ws)')} AS header
         FROM (SELECT doc_id, line_no, string_split(line, ' ') AS ws FROM lines))
-      SELECT header, doc_id AS file_ord, CAST(line_no AS BIGINT) AS sheet_ord, CAST(pos AS BIGINT) AS pos FROM words WHERE header <> ''
+      SELECT header, doc_id AS file_ord FROM words WHERE header <> ''
       QUALIFY row_number() OVER (PARTITION BY lower(header) ORDER BY doc_id, line_no, pos) = 1""",
     "scan_csv": """SELECT 'customer' AS kind, CAST(c_custkey AS VARCHAR) AS id, c_name AS name, CAST(c_acctbal AS VARCHAR) AS balance,
         'a, "b"' || chr(10) || c_mktsegment AS segment, CAST(NULL AS VARCHAR) AS key FROM customer

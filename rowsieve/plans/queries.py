@@ -275,20 +275,16 @@ def route_status(spark, sf):
     )
 
 
-def _contact_routed(spark, sf):
-    return route.cleanse(contacts(spark, sf), PER_SHEET, CONTACTS)
-
-
 def _audit_columns(df, *more):
     return df.select(F.col("_Source").alias("source"), *more, "email", "name", "segment", "score")
 
 
 def duplicates_audit(spark, sf):
-    return _audit_columns(route.duplicates(_contact_routed(spark, sf), PER_SHEET, CONTACTS))
+    return _audit_columns(route.duplicates(contacts(spark, sf), PER_SHEET, CONTACTS))
 
 
 def invalid_audit(spark, sf):
-    bad = route.invalid(_contact_routed(spark, sf), PER_SHEET, CONTACTS)
+    bad = route.invalid(contacts(spark, sf), PER_SHEET, CONTACTS)
     return _audit_columns(bad, F.col("_Reason").alias("reason"))
 
 
@@ -322,10 +318,10 @@ def totals_by_file_rollup(spark, sf):
 # ---- order and chunks ----
 
 def _unique_contacts(spark, sf):
-    routed = route.unique_rows(contacts(spark, sf), PER_SHEET, CONTACTS).filter("_status = 'unique'")
-    order = ("contact_id", "_part")
-    found = buckets.bucket_table(route.prepare(contacts(spark, sf), PER_SHEET, CONTACTS), order)
-    return buckets.attach_bucket_names(routed, found), ["_bucket_pos", *order]
+    df = contacts(spark, sf)
+    rows = route.unique_rows(df, PER_SHEET, CONTACTS).filter("_status = 'unique'")
+    found = buckets.source_buckets(df, PER_SHEET, CONTACTS)
+    return buckets.attach_bucket_names(rows, found), ["_bucket_pos", "contact_id", "_part"]
 
 
 def merged_unique(spark, sf):
@@ -410,10 +406,9 @@ def select_by_glob(spark, sf):
 
 def scan_headers(spark, sf):
     docs = table(spark, sf, "documents")
-    lines = docs.select(F.col("doc_id").alias("file_ord"), F.posexplode(F.split("text", "\n")).alias("sheet_ord", "line"))
-    words = lines.select("file_ord", "sheet_ord", F.posexplode(F.split("line", " ")).alias("pos", "header"))
-    out = read.scan_headers(words.withColumn("header", utrim(F.col("header"))))
-    return out.select("header", "file_ord", F.col("sheet_ord").cast("bigint").alias("sheet_ord"), F.col("pos").cast("bigint").alias("pos"))
+    lines = docs.select(F.col("doc_id").alias("_file_ord"), F.posexplode(F.split("text", "\n")).alias("_sheet_ord", "line"))
+    words = lines.select("_file_ord", "_sheet_ord", F.posexplode(F.split("line", " ")).alias("_pos", "header"))
+    return read.scan_headers(words.withColumn("header", utrim(F.col("header")))).select("header", "file_ord")
 
 
 def _csv_sources(spark, sf):

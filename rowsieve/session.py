@@ -37,16 +37,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, path: str) -> DataFrame:
     """Write ``df`` once to shared storage and continue from the written table.
 
     Unlike a checkpoint the staged table is columnar: later passes read only the
-    columns they need.
+    columns they need. Whoever knows the last of these passes drops the path.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def hadoop_path(spark: SparkSession, path: str):

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from rowsieve.operators.columns import REASON, SOURCE, col_ref
 from rowsieve.operators.hygiene import PART
 from rowsieve.operators.route import BUCKET, DUPLICATE, INVALID, STATUS, UNIQUE, cleanse, user_columns
-from rowsieve.session import checkpointed, drop_path, hadoop_path, stage
+from rowsieve.session import checkpointed, drop_path, hadoop_path, scratch_path, stage
 from rowsieve.sinks.write import CSV_OPTIONS
-from rowsieve.spec import FILE_LINEAGE, CleanseSpec, Destination, SpecError
+from rowsieve.spec import FILE_LINEAGE, CleanseSpec, Destination, Lineage, SpecError
 
 PIECE_BITS = 20  # rows of a file that stay together in one output part
 
@@ -56,7 +56,7 @@ def swap(spark: SparkSession, staged: str, target: str, backup: str | None) -> N
         fs.delete(backup_path, True)
 
 
-def replace_in_place(spark: SparkSession, rows: DataFrame, spec: CleanseSpec, keep_backup: bool = True, rules=()) -> DataFrame:
+def replace_in_place(spark: SparkSession, rows: DataFrame, spec: CleanseSpec, keep_backup: bool = True, rules=(), lineage: Lineage = FILE_LINEAGE) -> DataFrame:
     """Replace each source of ``rows`` (from ``read_sources``) by its unique rows.
 
     Every file is deduplicated on its own, all files in one job. The cleaned rows
@@ -73,15 +73,18 @@ def replace_in_place(spark: SparkSession, rows: DataFrame, spec: CleanseSpec, ke
     folder = {f["_file"].rsplit("/", 1)[0] for f in files}
     root = f"{sorted(folder)[0]}/.rowsieve-{uuid.uuid4().hex}"
 
-    routed = stage(cleanse(rows, spec, FILE_LINEAGE, rules), "inplace")
-    columns = [col_ref(c) for c in user_columns(routed, FILE_LINEAGE)]
+    scratch = scratch_path(spark, "inplace")
+    routed = stage(cleanse(rows, spec, lineage, rules), scratch)
+    columns = [col_ref(c) for c in user_columns(routed, lineage)]
     plans = [(UNIQUE, columns, "")]
     if spec.emit_duplicates:
         plans.append((DUPLICATE, [F.col(BUCKET).alias(SOURCE), *columns], f"_{spec.duplicates_name}"))
     if spec.emit_invalid:
         plans.append((INVALID, [F.col(BUCKET).alias(SOURCE), F.col(REASON), *columns], f"_{spec.invalid_name}"))
 
-    counts = routed.groupBy("_file", "_file_ord", STATUS).agg(F.count("*").alias("rows"))
+    counts = routed.groupBy("_file", "_file_ord", STATUS).agg(
+        F.count("*").alias("rows"), F.count_if(F.col(PART) == 0).alias("read")
+    )
     counted = counts.collect()
     for status, wanted, _ in plans:
         part = routed.filter(F.col(STATUS) == status)
@@ -106,6 +109,8 @@ def replace_in_place(spark: SparkSession, rows: DataFrame, spec: CleanseSpec, ke
     with ThreadPoolExecutor(8) as pool:
         list(pool.map(replace_one, files))
     drop_path(spark, root)
+    drop_path(spark, scratch)
     return spark.createDataFrame(
-        [(c["_file"], c[STATUS], c["rows"]) for c in counted], "file string, status string, rows bigint"
+        [(c["_file"], c[STATUS], c["rows"], c["read"]) for c in counted],
+        "file string, status string, rows bigint, rows_read bigint",
     )

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from rowsieve.operators.buckets import attach_bucket_names, bucket_table
+from rowsieve.operators.buckets import attach_bucket_names, source_buckets
 from rowsieve.operators.chunk import chunk_of, manifest, row_numbers, sorted_stage
 from rowsieve.operators.columns import REASON, SOURCE, col_ref, with_types_as_text
 from rowsieve.operators.hygiene import PART
 from rowsieve.operators.names import sanitize_names
-from rowsieve.operators.report import COUNTS, bucket_counts
+from rowsieve.operators.report import COUNTS, bucket_counts, numbered_counts
 from rowsieve.operators.route import (
     BUCKET,
     DUPLICATE,
@@ -19,11 +19,11 @@ from rowsieve.operators.route import (
     STATUS,
     UNIQUE,
     cleanse,
-    prepare,
     row_order,
     unique_rows,
     user_columns,
 )
+from rowsieve.session import checkpointed, drop_path, scratch_path
 from rowsieve.spec import Chunking, CleanseSpec, Lineage, OutputFormat
 
 # Cells are written as they are: without these options the writer trims them.
@@ -54,36 +54,32 @@ def write_rows(df: DataFrame, path: str, fmt: OutputFormat, partitions=(), mode=
         df.write.mode(mode).partitionBy(*partitions).parquet(path)
 
 
-def route_to_stage(df: DataFrame, spec: CleanseSpec, lineage: Lineage, rules=()) -> DataFrame:
+def route_to_stage(df: DataFrame, spec: CleanseSpec, lineage: Lineage, buckets: DataFrame, path: str, rules=()) -> DataFrame:
     """Routed rows with first-spelling buckets, written once in output order.
 
     Duplicates that nobody asked for are dropped inside the map tasks.
     """
     route = cleanse if spec.emit_duplicates else unique_rows
-    buckets = bucket_table(prepare(df, spec, lineage, rules), row_order(spec, lineage))
     named = attach_bucket_names(route(df, spec, lineage, rules), buckets)
-    return sorted_stage(named, [STATUS, "_bucket_pos", *row_order(spec, lineage)])
+    return sorted_stage(named, [STATUS, "_bucket_pos", *row_order(spec, lineage)], path)
 
 
-def staged_counts(staged: DataFrame) -> DataFrame:
+def staged_counts(staged: DataFrame, buckets: DataFrame) -> DataFrame:
     """``bucket_counts`` of a staged frame that holds all three statuses."""
-    per_status = staged.groupBy(BUCKET, "_bucket_pos", STATUS).agg(
+    per_status = staged.groupBy(F.lower(BUCKET).alias("_bucket_key"), STATUS).agg(
         F.count("*").alias("_n"), F.count_if(F.col(PART) == 0).alias("_read")
     )
 
     def of(status):
         return F.coalesce(F.sum(F.when(F.col(STATUS) == status, F.col("_n"))), F.lit(0))
 
-    counts = per_status.groupBy(BUCKET, "_bucket_pos").agg(
+    counts = per_status.groupBy("_bucket_key").agg(
         F.sum("_read").alias("rows_read"),
         of(UNIQUE).alias("unique_rows"),
         of(DUPLICATE).alias("duplicate_rows"),
         of(INVALID).alias("invalid_rows"),
     )
-    by_first = Window.orderBy("_bucket_pos")  # one row per bucket
-    return counts.select(
-        F.row_number().over(by_first).cast("bigint").alias("bucket_ord"), F.col(BUCKET).alias("bucket"), *COUNTS
-    )
+    return numbered_counts(counts, buckets)
 
 
 def unique_output(staged: DataFrame, spec: CleanseSpec) -> tuple[DataFrame, list[str]]:
@@ -98,19 +94,34 @@ def unique_output(staged: DataFrame, spec: CleanseSpec) -> tuple[DataFrame, list
     return rows.sortWithinPartitions(*partitions, "_rid"), partitions
 
 
-def write_run(df: DataFrame, spec: CleanseSpec, lineage: Lineage, path: str, rules=(), mode="errorifexists") -> RunResult:
+def write_run(
+    df: DataFrame,
+    spec: CleanseSpec,
+    lineage: Lineage,
+    path: str,
+    rules=(),
+    mode="errorifexists",
+    buckets: DataFrame | None = None,
+) -> RunResult:
     """Cleanse ``df`` and write the chosen buckets below ``path``.
 
     ``unique`` has one directory per bucket and chunk, ``duplicates`` and
     ``invalid`` carry ``_Source`` (and ``_Reason``), ``manifest`` and ``counts``
     say what was written. Buckets never share a directory, so no source sheet
-    can collide with an audit table.
+    can collide with an audit table. ``buckets`` is a ``bucket_table`` of all
+    sheets, if there are some without rows.
     """
     spec.check()
-    staged = route_to_stage(df, spec, lineage, rules)
-    counted = staged_counts(staged) if spec.emit_duplicates else bucket_counts(df, spec, lineage, rules)
+    spark = df.sparkSession
+    buckets = checkpointed(source_buckets(df, spec, lineage) if buckets is None else buckets)
+    scratch = scratch_path(spark, "routed")
+    staged = route_to_stage(df, spec, lineage, buckets, scratch, rules)
+    if spec.emit_duplicates:
+        counted = staged_counts(staged, buckets)
+    else:
+        counted = bucket_counts(df, spec, lineage, rules, buckets)
     counted.write.mode(mode).parquet(f"{path}/counts")
-    counts = df.sparkSession.read.parquet(f"{path}/counts")
+    counts = spark.read.parquet(f"{path}/counts")
     totals = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS]).first()
     columns = [col_ref(c) for c in user_columns(staged, lineage) if c not in ("_rid", "_bucket_pos")]
 
@@ -128,4 +139,5 @@ def write_run(df: DataFrame, spec: CleanseSpec, lineage: Lineage, path: str, rul
         if wanted:
             rows = staged.filter(F.col(STATUS) == status).sortWithinPartitions("_rid")
             write_rows(rows.select(*lead, *columns), f"{path}/{folder}", spec.format, (), mode)
+    drop_path(spark, scratch)
     return RunResult(path, *[int(totals[c]) for c in COUNTS])

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from rowsieve.functions.names import extension
 from rowsieve.functions.text import utrim
 from rowsieve.operators.columns import col_ref, merge_headers
+from rowsieve.operators.dedup import order_key
 from rowsieve.sources.csv import plain_path, read_csv, read_headers
 from rowsieve.sources.files import CSV_EXTENSIONS, list_files
 from rowsieve.sources.sheets import select_sheets
-from rowsieve.sources.workbook import list_sheets, read_sheets
+from rowsieve.sources.workbook import ROW_BITS, list_sheets, read_sheets
 from rowsieve.spec import CleanseSpec
 
 LINEAGE_COLUMNS = ("_file", "_file_ord", "_sheet", "_sheet_ord", "_row")
@@ -25,17 +26,25 @@ class Sources:
     rows: DataFrame | None
     outcomes: DataFrame  # file, error, sheets_selected
     columns: list[str]
-    headers: DataFrame  # file_ord, sheet_ord, pos, header
+    headers: DataFrame  # _file_ord, _sheet_ord, _pos, header
+    sheets: DataFrame  # _file, _file_ord, _sheet, _row: where each sheet read begins
 
 
 def scan_headers(headers: DataFrame) -> DataFrame:
-    """Distinct headers (trimmed, without case) in first-encounter order."""
-    named = headers.filter(F.col("header") != "").withColumn(
-        "_at", F.struct("file_ord", "sheet_ord", "pos")
+    """Distinct headers (trimmed, without case) with the file and place (``first_at``)
+    where each was first met; sorting by the place gives the order of encounter."""
+    place = order_key(headers, ["_file_ord", "_sheet_ord", "_pos"])
+    spellings = (
+        headers.filter(F.col("header") != "")
+        .select("header", "_file_ord", place.alias("_at"))
+        .groupBy("header")
+        .agg(F.min("_at").alias("_at"), F.min("_file_ord").alias("_file_ord"))
     )
-    return named.groupBy(F.lower("header").alias("_key")).agg(
-        F.min_by("header", "_at").alias("header"), F.min("_at").alias("_at")
-    ).select("header", F.col("_at.file_ord").alias("file_ord"), F.col("_at.sheet_ord").alias("sheet_ord"), F.col("_at.pos").alias("pos"))
+    return spellings.groupBy(F.lower("header").alias("_key")).agg(
+        F.min_by("header", "_at").alias("header"),
+        F.min("_file_ord").alias("file_ord"),
+        F.min("_at").alias("first_at"),
+    ).drop("_key")
 
 
 def read_sources(spark: SparkSession, paths: list[str], spec: CleanseSpec = CleanseSpec(), multiline: bool = True) -> Sources:
@@ -94,7 +103,11 @@ def read_sources(spark: SparkSession, paths: list[str], spec: CleanseSpec = Clea
         if s["error"] is None and s["sheet_ord"] == 0 and s["file_ord"] not in picked_per_file
     ]
     flat = [(f, s, i, h) for f, s, header in shown for i, h in enumerate(header)]
-    headers = spark.createDataFrame(flat, "file_ord int, sheet_ord int, pos int, header string").withColumn(
+    headers = spark.createDataFrame(flat, "_file_ord int, _sheet_ord int, _pos int, header string").withColumn(
         "header", utrim(F.col("header"))
     )
-    return Sources(rows, outcomes, columns, headers)
+    begins = [(h["path"], h["file_ord"], "", 0) for h in csv_good] + [
+        (s["path"], s["file_ord"], s["sheet"], s["sheet_ord"] << ROW_BITS) for s in chosen
+    ]
+    starts = spark.createDataFrame(begins, "_file string, _file_ord int, _sheet string, _row bigint")
+    return Sources(rows, outcomes, columns, headers, starts)

@@ -55,13 +55,15 @@ class Lineage:
 
     ``order`` must be non-null and unique per row: it decides which of several
     equal rows comes first. ``sheet`` and ``file`` name the columns holding the
-    row's table and file; both are optional for plain tables.
+    row's table and file; both are optional for plain tables. Where no row can be
+    blank in all its data columns, ``blank_rows=False`` saves reading them to find out.
     """
 
     order: tuple[str, ...]
     sheet: str | None = None
     file: str | None = None
     extra: tuple[str, ...] = ()
+    blank_rows: bool = True
 
     @property
     def columns(self) -> tuple[str, ...]:

@@ -38,7 +38,7 @@ def test_csv_headers_that_differ(spark, tmp_path):
     sources = read_sources(spark, [b, a, a])
     assert sources.columns == ["EMAIL", "age", "Name"]
     assert data(sources.rows, "EMAIL", "age", "Name") == [(" e@f.co ", "7", None), ("x@y.co", None, 'x, "q"\nz')]
-    assert [r["header"] for r in scan_headers(sources.headers).orderBy("file_ord", "pos").collect()] == ["EMAIL", "age", "Name"]
+    assert [r["header"] for r in scan_headers(sources.headers).orderBy("first_at").collect()] == ["EMAIL", "age", "Name"]
 
 
 @pytest.mark.parametrize("limit", [16, 1])
@@ -192,3 +192,21 @@ def test_incremental(spark, tmp_path):
     go()
     go()
     assert [(r.rows_read, r.unique_rows, r.duplicate_rows) for r in seen] == [(2, 1, 1), (1, 1, 0)]
+
+
+def test_in_place_run(spark, tmp_path):
+    a = write(tmp_path, "a.csv", "email,n\nx@y.co;z@y.co,1\n , \nX@y.co,2\n")
+    spec = CleanseSpec(key_columns=("email",), destination=Destination.IN_PLACE, explode_multi=True)
+    result = run(spark, [a], spec)
+    assert (result.rows_read, result.unique_rows, result.duplicate_rows) == (2, 2, 1)
+    assert (tmp_path / "a.csv").read_text() == "email,n\nx@y.co,1\nz@y.co,1\n"
+
+
+def test_sheet_without_rows_is_listed(spark, tmp_path):
+    (tmp_path / "w.xlsx").write_bytes(workbook_bytes({"Empty": [["id"]], "Full": [["id"], ["1"], ["1"]]}))
+    spec = CleanseSpec(key_columns=("id",), output_dir=str(tmp_path / "out"))
+    result = run(spark, [str(tmp_path / "w.xlsx")], spec, name="x")
+    counts = spark.read.parquet(f"{result.path}/counts").orderBy("bucket_ord").collect()
+    assert [(r["bucket"], r["rows_read"], r["unique_rows"]) for r in counts] == [("Empty", 0, 0), ("Full", 2, 1)]
+    listed = spark.read.parquet(f"{result.path}/manifest").orderBy("bucket_ord").collect()
+    assert [(r["name"], r["rows"]) for r in listed] == [("Empty", 0), ("Full", 1)]

@@ -258,6 +258,7 @@ def test_hot_key_plan_and_result(spark, conf):
 def test_rows_without_a_key_stay_spread(spark, conf):
     """Two thirds of the rows are invalid or have no key: they are grouped with nobody."""
     conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    conf("spark.sql.adaptive.coalescePartitions.enabled", "false")
     values = F.when(F.col("id") % 3 == 0, F.lit("")).when(F.col("id") % 3 == 1, F.lit("bad-mail")).otherwise(
         F.concat((F.col("id") % 100).cast("string"), F.lit("@x.co")))
     df = spark.range(30_000).select("id", values.alias("v"), F.lit("x").alias("w"))
@@ -274,12 +275,21 @@ def test_counts_shuffle_keys_only(spark):
     assert exchanges and all("score" not in line and "acctbal" not in line for line in exchanges)
 
 
-def test_scan_reads_needed_columns_only(spark):
-    df = spark.read.parquet(f"{SF}/lineitem.parquet").withColumn("_row", F.col("_metadata.row_index"))
-    slim = df.select("l_returnflag", "l_linestatus", "_row")
-    spec = CleanseSpec(key_mode=KeyMode.MULTIPLE, key_columns=("l_returnflag", "l_linestatus"))
-    schemas = [line for line in plan(cleanse(slim, spec, Lineage(order=("_row",)))).splitlines() if "ReadSchema" in line]
-    assert schemas and all("l_shipdate" not in line for line in schemas)
+def test_winners_read_keys_and_positions_only(spark):
+    """The pass that finds winners leaves all other columns unread."""
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    routed = cleanse(df, CleanseSpec(key_columns=("text",)), Lineage(order=("doc_id",)))
+    schemas = [line.split("ReadSchema: ")[1] for line in plan(routed).splitlines() if "ReadSchema" in line]
+    assert len(schemas) == 2 and "struct<doc_id:bigint,text:string>" in schemas
+    both = CleanseSpec(key_mode=KeyMode.MULTIPLE, key_columns=("lang", "source"))
+    slim = plan(cleanse(df, both, Lineage(order=("doc_id",), blank_rows=False)))
+    assert "struct<doc_id:bigint,lang:string,source:string>" in slim
+
+
+def test_blank_rows_may_be_ruled_out(spark):
+    df = spark.createDataFrame([(0, "", "x"), (1, "k", "y"), (2, "K", "")], "id int, a string, b string")
+    spec = CleanseSpec(key_columns=("a",))
+    assert statuses(df, spec, Lineage(order=("id",), blank_rows=False)) == statuses(df, spec) == ["unique", "unique", "duplicate"]
 
 
 # ---- buckets, chunks, names ----
