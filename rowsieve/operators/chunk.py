@@ -85,30 +85,30 @@ def manifest(counts: DataFrame, spec: CleanseSpec, run: str) -> DataFrame:
     ``counts`` comes from ``bucket_counts``. ``name`` is the sheet's name, ``file``
     the output it stands in.
     """
-    csv = spec.format is OutputFormat.CSV
-    one_name = spec.chunking in (Chunking.MERGED_SHEETS, Chunking.SEPARATE_FILES) or not spec.keep_sheets
+    csv, chunking = spec.format is OutputFormat.CSV, spec.effective_chunking
+    merged = chunking in (Chunking.MERGED_SHEETS, Chunking.SEPARATE_FILES)
+    one_name = merged or not spec.keep_sheets
     if one_name:
         totals = counts.agg(F.coalesce(F.sum("unique_rows"), F.lit(0)).alias("rows")).select(
             F.lit(1).cast("bigint").alias("bucket_ord"), F.lit(spec.unique_name).alias("bucket"), "rows"
         )
     else:
         totals = counts.select("bucket_ord", "bucket", F.col("unique_rows").alias("rows"))
-    chunks_sheets = spec.chunking is Chunking.PER_SHEET and (spec.keep_sheets or csv)
-    if chunks_sheets or spec.chunking in (Chunking.MERGED_SHEETS, Chunking.SEPARATE_FILES):
-        sized = chunk_sizes(totals, "rows", spec.chunk_rows)
-    else:
+    if chunking is Chunking.NONE:
         one = F.lit(1).cast("bigint")
         sized = totals.select("*", one.alias("chunks"), one.alias("chunk"), F.col("rows").alias("chunk_rows"))
+    else:
+        sized = chunk_sizes(totals, "rows", spec.chunk_rows)
     bucket = F.col("bucket")
     name, several = bucket, F.col("chunks") > 1
     if csv:
         label = bucket if one_name else clean_file_name(bucket)
-        if spec.chunking is Chunking.NONE:
+        if chunking is Chunking.NONE:
             alone = F.count("*").over(Window.partitionBy(F.lit(0))) == 1  # one row per bucket
             label = F.when(alone, F.lit(spec.unique_name)).otherwise(label)
         number = F.when(several, F.concat(F.lit("_"), two_digits(F.col("chunk")))).otherwise(F.lit(""))
         file = F.concat(F.lit(run + "_"), label, number, F.lit(".csv"))
-    elif spec.chunking is Chunking.SEPARATE_FILES:
+    elif chunking is Chunking.SEPARATE_FILES:
         number = F.when(several, F.concat(F.lit("_part"), two_digits(F.col("chunk")))).otherwise(F.lit(""))
         file = F.concat(F.lit(run), number)
     else:

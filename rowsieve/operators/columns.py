@@ -75,7 +75,7 @@ def conform(df: DataFrame, columns, keep=()) -> DataFrame:
     return df.select(
         *[col_ref(c) for c in keep],
         *[
-            (col_ref(found) if (found := find_column(df, c)) else F.lit(None)).alias(c)
+            (col_ref(found) if (found := find_column(df, c)) else F.lit(None).cast("string")).alias(c)
             for c in columns
         ],
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from rowsieve.functions.names import SHEET_NAME_MAX, clean_sheet_name
 
@@ -23,32 +23,35 @@ def name_stem(name: Column) -> Column:
     return F.regexp_replace(F.left(stripped, F.lit(SHORTEST_BASE)), SUFFIX_TAIL, "")
 
 
-def sanitize_names(df: DataFrame, name: str, order) -> DataFrame:
+def sanitize_names(df: DataFrame, name: str, order, within=()) -> DataFrame:
     """Add ``sheet_name``: valid, and unlike all names given to earlier rows.
 
+    Names must differ among rows that agree on ``within``, the workbook for example.
     A name can be taken only by one with the same base or by a numbered one.
     Others keep their cleaned name without looking further. At most 999 rows can
     find a free name from the same base, so the rows settled in order per stem are
     bounded however often a name repeats; all later ones keep the cleaned name.
     """
-    cleaned = df.withColumn("_base", clean_sheet_name(F.col(name))).withColumn("_key", F.lower("_base"))
-    slim = cleaned.select(*order, "_base", "_key")
-    per_key = Window.partitionBy("_key")
+    cleaned = df.withColumn("_base", clean_sheet_name(F.col(name)))
+    slim = cleaned.select(
+        *order, *[F.col(c).alias(f"_in{i}") for i, c in enumerate(within)], "_base", F.lower("_base").alias("_key")
+    )
+    book = [f"_in{i}" for i in range(len(within))]
+    per_key = Window.partitionBy(*book, "_key")
     ranked = (
         slim.withColumn("_rank", F.row_number().over(per_key.orderBy(*order)))
         .filter(F.col("_rank") <= LAST_SUFFIX)
         .withColumn("_same", F.count("*").over(per_key))
     )
     touched = ranked.filter((F.col("_same") > 1) | F.col("_base").rlike(NUMBERED)).select(
-        *order, "_base", name_stem(F.col("_base")).alias("_stem")
+        *order, *book, "_base", name_stem(F.col("_base")).alias("_stem")
     )
-    fields = {f.name: f.dataType.simpleString() for f in touched.schema}
-    schema = ", ".join(f"`{c}` {fields[c]}" for c in order) + ", _given string"
-    settled = touched.groupBy("_stem").applyInPandas(_settle(tuple(order)), schema)
+    schema = T.StructType([f for f in touched.schema if f.name in order] + [T.StructField("_given", T.StringType())])
+    settled = touched.groupBy(*book, "_stem").applyInPandas(_settle([f.name for f in schema][:-1]), schema)
     return (
         cleaned.join(settled, list(order), "left")
         .withColumn("sheet_name", F.coalesce("_given", "_base"))
-        .drop("_base", "_key", "_given")
+        .drop("_base", "_given")
     )
 
 
@@ -62,7 +65,7 @@ def _candidates(base: str, start: int) -> Iterator[tuple[int, str]]:
 
 def _settle(order):
     def settle(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(list(order), kind="stable")
+        rows = rows.sort_values(order, kind="stable")
         taken: set[str] = set()
         tried: dict[str, int] = {}  # names never become free again
         given = []
@@ -76,6 +79,6 @@ def _settle(order):
                     break
             taken.add(name.lower())
             given.append(name)
-        return rows[list(order)].assign(_given=given)
+        return rows[order].assign(_given=given)
 
     return settle

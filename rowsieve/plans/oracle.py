@@ -219,6 +219,8 @@ ORACLE_SQL = {
         FROM (SELECT doc_id, line_no, string_split(line, ' ') AS ws FROM lines))
       SELECT header, doc_id AS file_ord FROM words WHERE header <> ''
       QUALIFY row_number() OVER (PARTITION BY lower(header) ORDER BY doc_id, line_no, pos) = 1""",
+    "scan_table": """SELECT o_custkey, o_orderkey, o_orderstatus, o_totalprice, o_orderkey AS _row FROM orders
+      QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1""",
     "scan_csv": """SELECT 'customer' AS kind, CAST(c_custkey AS VARCHAR) AS id, c_name AS name, CAST(c_acctbal AS VARCHAR) AS balance,
         'a, "b"' || chr(10) || c_mktsegment AS segment, CAST(NULL AS VARCHAR) AS key FROM customer
       UNION ALL SELECT 'supplier', NULL, s_name, CAST(s_acctbal AS VARCHAR), NULL, CAST(s_suppkey AS VARCHAR) FROM supplier""",

@@ -17,6 +17,7 @@ from rowsieve.session import scratch_path
 from rowsieve.sinks.inplace import replace_in_place
 from rowsieve.sinks.write import CSV_OPTIONS, write_run
 from rowsieve.sources import read, sheets
+from rowsieve.sources import table as table_source
 from rowsieve.sources.files import admit
 from rowsieve.spec import (
     FILE_LINEAGE,
@@ -68,7 +69,7 @@ def resolve_column(spark, sf):
 
 def conform_columns(spark, sf):
     return columns.conform(table(spark, sf, "supplier"), ["S_SUPPKEY", "s_phone", "s_name"]).select(
-        F.col("S_SUPPKEY").alias("suppkey"), F.col("s_phone").cast("string").alias("phone"), F.col("s_name").alias("name")
+        F.col("S_SUPPKEY").alias("suppkey"), F.col("s_phone").alias("phone"), F.col("s_name").alias("name")
     )
 
 
@@ -411,6 +412,13 @@ def scan_headers(spark, sf):
     return read.scan_headers(words.withColumn("header", utrim(F.col("header")))).select("header", "file_ord")
 
 
+def scan_table(spark, sf):
+    """First order of each customer, in the order the rows are stored."""
+    df, lineage = table_source.read_parquet(spark, f"{sf}/orders.parquet")
+    routed = route.unique_rows(df, CleanseSpec(key_columns=("o_custkey",)), lineage)
+    return routed.select("o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice", "_row")
+
+
 def _csv_sources(spark, sf):
     """Two folders of CSV files with differing headers."""
     root = scratch_path(spark, "csv")
@@ -529,7 +537,7 @@ QUERIES = {
         bucket_order, rows_per_file, totals_by_file_rollup, file_outcomes,
         merged_unique, chunk_rows, chunk_lineitem, chunk_per_sheet, chunk_merged,
         chunk_files_manifest, chunk_sheets_manifest, chunk_csv_manifest,
-        admit_files, first_n_sheets, select_by_glob, scan_headers, scan_csv, scan_workbook, workbook_run,
+        admit_files, first_n_sheets, select_by_glob, scan_headers, scan_table, scan_csv, scan_workbook, workbook_run,
         sink_csv, sink_dataset, in_place, incremental,
     )
 }

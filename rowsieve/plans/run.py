@@ -11,7 +11,7 @@ from rowsieve.operators.buckets import source_buckets
 from rowsieve.operators.hygiene import drop_blank_rows
 from rowsieve.operators.report import file_counts, file_outcomes
 from rowsieve.operators.route import DUPLICATE, INVALID, UNIQUE
-from rowsieve.session import drop_path, scratch_path, stage
+from rowsieve.session import drop_path, scratch_path, sized_shuffles, stage
 from rowsieve.sinks.inplace import replace_in_place
 from rowsieve.sinks.write import RunResult, write_run
 from rowsieve.sources.read import Sources, read_sources
@@ -37,19 +37,20 @@ def run(spark: SparkSession, paths: list[str], spec: CleanseSpec, name: str | No
     sources = read_sources(spark, paths, spec, multiline)
     if sources.rows is None:
         raise SpecError("no readable file among the given paths")
-    # Files are decoded once; every later pass reads the columns it needs from the copy.
     scratch = scratch_path(spark, "ingest")
-    rows = stage(drop_blank_rows(sources.rows, sources.columns), scratch)
-    lineage = replace(FILE_LINEAGE, blank_rows=False)
-    if spec.destination is Destination.IN_PLACE:
-        done = replace_in_place(spark, rows, spec, lineage=lineage).collect()
-        n = {s: sum(r["rows"] for r in done if r["status"] == s) for s in (UNIQUE, DUPLICATE, INVALID)}
-        result = RunResult(paths[0], sum(r["rows_read"] for r in done), n[UNIQUE], n[DUPLICATE], n[INVALID])
-    else:
-        path = output_folder(paths, spec, name or run_name())
-        buckets = source_buckets(sources.sheets, spec, lineage)
-        result = write_run(rows, spec, lineage, path, mode=mode, buckets=buckets)
-        files = file_outcomes(sources.outcomes, file_counts(rows, lineage, []))
-        files.write.mode(mode).parquet(f"{path}/files")
+    with sized_shuffles(spark, sources.nbytes):
+        # Files are decoded once; every later pass reads the columns it needs from the copy.
+        rows = stage(drop_blank_rows(sources.rows, sources.columns), scratch)
+        lineage = replace(FILE_LINEAGE, blank_rows=False)
+        if spec.destination is Destination.IN_PLACE:
+            done = replace_in_place(spark, rows, spec, lineage=lineage).collect()
+            n = {s: sum(r["rows"] for r in done if r["status"] == s) for s in (UNIQUE, DUPLICATE, INVALID)}
+            result = RunResult(paths[0], sum(r["rows_read"] for r in done), n[UNIQUE], n[DUPLICATE], n[INVALID])
+        else:
+            path = output_folder(paths, spec, name or run_name())
+            buckets = source_buckets(sources.sheets, spec, lineage)
+            result = write_run(rows, spec, lineage, path, mode=mode, buckets=buckets)
+            files = file_outcomes(sources.outcomes, file_counts(rows, lineage, []))
+            files.write.mode(mode).parquet(f"{path}/files")
     drop_path(spark, scratch)
     return result

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +48,24 @@ def stage(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+SHUFFLE_TARGET = 128 << 20
+
+
+@contextmanager
+def sized_shuffles(spark: SparkSession, nbytes: int):
+    """Enough shuffle partitions for ``nbytes`` of input, never fewer than configured.
+
+    Adaptive execution merges those that turn out small.
+    """
+    name = "spark.sql.shuffle.partitions"
+    configured = spark.conf.get(name)
+    spark.conf.set(name, str(max(int(configured), -(-nbytes // SHUFFLE_TARGET))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, configured)
+
+
 def hadoop_path(spark: SparkSession, path: str):
     """(file system, path) of ``path`` as the cluster itself sees it."""
     jvm = spark.sparkContext._jvm

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
@@ -36,6 +37,9 @@ CSV_OPTIONS = {
 }
 
 
+log = logging.getLogger(__name__)
+
+
 @dataclass(frozen=True)
 class RunResult:
     path: str
@@ -85,9 +89,9 @@ def staged_counts(staged: DataFrame, buckets: DataFrame) -> DataFrame:
 def unique_output(staged: DataFrame, spec: CleanseSpec) -> tuple[DataFrame, list[str]]:
     """(unique rows with their directory columns, names of those columns)."""
     rows = staged.filter(F.col(STATUS) == UNIQUE)
-    merged = spec.chunking in (Chunking.MERGED_SHEETS, Chunking.SEPARATE_FILES)
+    merged = spec.effective_chunking in (Chunking.MERGED_SHEETS, Chunking.SEPARATE_FILES)
     partitions = [] if merged or not spec.keep_sheets else [BUCKET]
-    if spec.chunking is not Chunking.NONE:
+    if spec.effective_chunking is not Chunking.NONE:
         numbered = row_numbers(rows, None if merged else BUCKET)
         rows = numbered.withColumn("_chunk", chunk_of(F.col("_rn"), spec.rows_per_chunk))
         partitions = [*partitions, "_chunk"]
@@ -130,7 +134,9 @@ def write_run(
         if totals["unique_rows"] == 0:
             partitions = []  # an empty frame still writes its header
         write_rows(rows.select(*columns, *partitions), f"{path}/unique", spec.format, partitions, mode)
-        listed = sanitize_names(manifest(counts, spec, "Processed"), "name", ["file", "bucket_ord", "chunk"])
+        listed = manifest(counts, spec, path.rstrip("/").rsplit("/", 1)[-1])
+        if spec.format is not OutputFormat.CSV:
+            listed = sanitize_names(listed, "name", ["bucket_ord", "chunk"], within=["file"])
         listed.write.mode(mode).parquet(f"{path}/manifest")
     for wanted, status, folder, lead in (
         (spec.emit_duplicates, DUPLICATE, "duplicates", [F.col(BUCKET).alias(SOURCE)]),
@@ -140,4 +146,5 @@ def write_run(
             rows = staged.filter(F.col(STATUS) == status).sortWithinPartitions("_rid")
             write_rows(rows.select(*lead, *columns), f"{path}/{folder}", spec.format, (), mode)
     drop_path(spark, scratch)
+    log.info("%s: %s", path, totals.asDict())
     return RunResult(path, *[int(totals[c]) for c in COUNTS])

@@ -14,7 +14,7 @@ from rowsieve.sources.csv import plain_path, read_csv, read_headers
 from rowsieve.sources.files import CSV_EXTENSIONS, list_files
 from rowsieve.sources.sheets import select_sheets
 from rowsieve.sources.workbook import ROW_BITS, list_sheets, read_sheets
-from rowsieve.spec import CleanseSpec
+from rowsieve.spec import CleanseSpec, SpecError
 
 LINEAGE_COLUMNS = ("_file", "_file_ord", "_sheet", "_sheet_ord", "_row")
 
@@ -28,6 +28,7 @@ class Sources:
     columns: list[str]
     headers: DataFrame  # _file_ord, _sheet_ord, _pos, header
     sheets: DataFrame  # _file, _file_ord, _sheet, _row: where each sheet read begins
+    nbytes: int  # size of all files
 
 
 def scan_headers(headers: DataFrame) -> DataFrame:
@@ -73,6 +74,9 @@ def read_sources(spark: SparkSession, paths: list[str], spec: CleanseSpec = Clea
         key=lambda h: h[:2],
     )
     columns = merge_headers(h[2] for h in heads)
+    clash = {c.lower() for c in columns} & set(LINEAGE_COLUMNS)
+    if clash:
+        raise SpecError(f"headers {sorted(clash)} are reserved; rename them first")
     rows = None
     if csv_good:
         rows = read_csv(spark, csv_files, csv_good, multiline)
@@ -110,4 +114,4 @@ def read_sources(spark: SparkSession, paths: list[str], spec: CleanseSpec = Clea
         (s["path"], s["file_ord"], s["sheet"], s["sheet_ord"] << ROW_BITS) for s in chosen
     ]
     starts = spark.createDataFrame(begins, "_file string, _file_ord int, _sheet string, _row bigint")
-    return Sources(rows, outcomes, columns, headers, starts)
+    return Sources(rows, outcomes, columns, headers, starts, sum(r["length"] for r in found))

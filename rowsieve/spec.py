@@ -120,6 +120,13 @@ class CleanseSpec:
     def rows_per_chunk(self) -> int:
         return max(1, self.chunk_rows)
 
+    @property
+    def effective_chunking(self) -> Chunking:
+        """Splitting each sheet needs sheets to be kept, unless every table is a CSV of its own."""
+        if self.chunking is Chunking.PER_SHEET and not self.keep_sheets and self.format is not OutputFormat.CSV:
+            return Chunking.NONE
+        return self.chunking
+
     @property
     def effective_validation_column(self) -> str:
         if self.validation_column.strip():

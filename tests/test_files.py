@@ -210,3 +210,49 @@ def test_sheet_without_rows_is_listed(spark, tmp_path):
     assert [(r["bucket"], r["rows_read"], r["unique_rows"]) for r in counts] == [("Empty", 0, 0), ("Full", 2, 1)]
     listed = spark.read.parquet(f"{result.path}/manifest").orderBy("bucket_ord").collect()
     assert [(r["name"], r["rows"]) for r in listed] == [("Empty", 0), ("Full", 1)]
+
+
+@pytest.mark.parametrize("fmt", list(OutputFormat))
+def test_awkward_headers(spark, tmp_path, fmt):
+    a = write(tmp_path, "a.csv", "Full Name (x),a.b,`t`;=,e mail\nAnn,1,2,a@b.co\nBob,,,A@B.co\n")
+    b = write(tmp_path, "b.csv", "A.B,full name (X)\n7,Zoe\n")
+    spec = CleanseSpec(key_columns=("E Mail",), keep_sheets=False, output_dir=str(tmp_path / "out"), format=fmt, emit_duplicates=True)
+    result = run(spark, [a, b], spec, name="x")
+    assert (result.rows_read, result.unique_rows, result.duplicate_rows) == (3, 2, 1)
+    reader = spark.read.options(**CSV_OPTIONS) if fmt is OutputFormat.CSV else spark.read
+    back = reader.format(fmt.value).load(f"{result.path}/unique")
+    assert back.columns == ["Full Name (x)", "a.b", "`t`;=", "e mail"]
+    assert sorted(r[0:2] for r in map(tuple, back.collect())) == [("Ann", "1"), ("Zoe", "7")]
+
+
+def test_reserved_headers_are_refused(spark, tmp_path):
+    with pytest.raises(SpecError):
+        read_sources(spark, [write(tmp_path, "a.csv", "id,_row\n1,2\n")])
+
+
+def test_shuffles_grow_with_the_input(spark):
+    from rowsieve.session import sized_shuffles
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    with sized_shuffles(spark, 10 << 40):
+        assert spark.conf.get("spark.sql.shuffle.partitions") == str((10 << 40) // (128 << 20))
+    with sized_shuffles(spark, 1):
+        assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_separate_files_keep_their_sheet_name(spark, tmp_path):
+    spec = replace(PER_SHEET, chunking=Chunking.SEPARATE_FILES, chunk_rows=30)
+    result = write_run(contacts(spark, SF), spec, CONTACTS, str(tmp_path / "Processed_1"))
+    listed = spark.read.parquet(f"{result.path}/manifest").orderBy("chunk").collect()
+    assert [(r["file"], r["sheet_name"], r["rows"]) for r in listed] == [
+        ("Processed_1_part01", "Unique", 30), ("Processed_1_part02", "Unique", 30), ("Processed_1_part03", "Unique", 11)
+    ]
+
+
+@pytest.mark.parametrize("fmt, chunks", [(OutputFormat.PARQUET, 1), (OutputFormat.CSV, 7)])
+def test_splitting_sheets_that_are_not_kept(spark, tmp_path, fmt, chunks):
+    spec = replace(PER_SHEET, keep_sheets=False, chunking=Chunking.PER_SHEET, chunk_rows=10, format=fmt)
+    result = write_run(contacts(spark, SF), spec, CONTACTS, str(tmp_path / "out"))
+    assert spark.read.parquet(f"{result.path}/manifest").count() == chunks
+    assert len(list((tmp_path / "out" / "unique").glob("_chunk=*"))) == (chunks if chunks > 1 else 0)
