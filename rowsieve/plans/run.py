@@ -31,10 +31,10 @@ def outcomes(sources: Sources):
     return file_outcomes(sources.outcomes, file_counts(sources.rows, FILE_LINEAGE, sources.columns))
 
 
-def run(spark: SparkSession, paths: list[str], spec: CleanseSpec, name: str | None = None, mode="errorifexists", multiline: bool = True) -> RunResult:
+def run(spark: SparkSession, paths: list[str], spec: CleanseSpec, name: str | None = None, mode="errorifexists") -> RunResult:
     """Read ``paths``, cleanse them together and write the result."""
     spec.check()
-    sources = read_sources(spark, paths, spec, multiline)
+    sources = read_sources(spark, paths, spec)
     if sources.rows is None:
         raise SpecError("no readable file among the given paths")
     scratch = scratch_path(spark, "ingest")

@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from rowsieve.functions.text import UNICODE_SPACE
 from rowsieve.operators.buckets import conf_bytes, join_small
 from rowsieve.operators.columns import REASON, SOURCE, col_ref, header_key, merge_headers
-from rowsieve.sources.files import open_input, task_count
+from rowsieve.sources.files import open_input, plain_file, plain_path, row_position, task_count
+from rowsieve.sources.records import files_with_long_records, scan_records
 
 HEAD_BYTES = 1 << 16
-BLOCK_BITS, ROW_BITS = 20, 33
+WHOLE, LINES, RECORDS = "whole", "lines", "records"
 MAX_HEADER_SCANS = 16  # beyond, one scan serves all headers
 HEADER_SCHEMA = "path string, file_ord int, header array<string>, error string"
 
@@ -53,22 +55,6 @@ def read_headers(spark: SparkSession, files: DataFrame, count: int) -> DataFrame
     return spread.mapInPandas(heads, HEADER_SCHEMA)
 
 
-def row_position(spark: SparkSession, splittable: bool) -> Column:
-    """Place of a row in its file, for a column read straight from the scan.
-
-    A task numbers the rows of a file, or of one split of it, in order. Splits
-    start at least a mebibyte apart, so their start leads and the number follows.
-    """
-    number = F.monotonically_increasing_id().bitwiseAND((1 << ROW_BITS) - 1)
-    if not splittable:
-        return number
-    for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
-        if conf_bytes(spark, name) < 1 << BLOCK_BITS:
-            raise ValueError(f"{name} must be at least 1 MiB to read split CSV files in order")
-    block = F.shiftright(F.col("_metadata.file_block_start"), BLOCK_BITS)
-    return F.shiftleft(block, ROW_BITS).bitwiseOR(number)
-
-
 def usable_header(header) -> list[tuple[int, str]]:
     """(position, trimmed name) of the columns that count: named, first of their name."""
     seen, out = set(), []
@@ -80,7 +66,7 @@ def usable_header(header) -> list[tuple[int, str]]:
     return out
 
 
-def scan_cells(spark: SparkSession, paths: list[str], width: int, multiline: bool) -> DataFrame:
+def scan_plain(spark: SparkSession, paths: list[str], width: int, multiline: bool) -> DataFrame:
     """``_file``, ``_row`` and the cells ``c0``, ``c1``, ... of the data rows, as text."""
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(max(1, width))])
     scan = (
@@ -90,26 +76,53 @@ def scan_cells(spark: SparkSession, paths: list[str], width: int, multiline: boo
         .csv(paths)
     )
     return scan.select(
-        plain_path(F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B"))).alias("_file"),
-        row_position(spark, splittable=not multiline).alias("_row"),
-        *schema.names,
+        plain_file().alias("_file"), row_position(spark, splittable=not multiline).alias("_row"), *schema.names
     )
 
 
-def read_csv(spark: SparkSession, files: DataFrame, headers, multiline: bool = True) -> DataFrame:
+def scan_cells(spark: SparkSession, paths: list[str], width: int, kinds: dict[str, str]) -> DataFrame:
+    """Rows of files of any size: each file is read in the way ``file_kinds`` gives."""
+    scans = {
+        WHOLE: lambda some: scan_plain(spark, some, width, multiline=True),
+        LINES: lambda some: scan_plain(spark, some, width, multiline=False),
+        RECORDS: lambda some: scan_records(spark, some, width),
+    }
+    rows = None
+    for kind, scan in scans.items():
+        some = [p for p in paths if kinds[p] == kind]
+        if some:
+            part = scan(some)
+            rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+def file_kinds(spark: SparkSession, files: DataFrame) -> dict[str, str]:
+    """How to read each file: one that fits a task as a whole, a larger one split by
+    lines, or by records if cells of it run over line ends."""
+    whole = conf_bytes(spark, "spark.sql.files.maxPartitionBytes")
+    found = files.collect()
+    large = [f["path"] for f in found if f["length"] > whole]
+    long = files_with_long_records(spark, large) if large else set()
+    as_named = {f: re.sub("^file:/+", "file:/", f) for f in large}
+    return {
+        f["path"]: WHOLE if f["path"] not in as_named else RECORDS if as_named[f["path"]] in long else LINES
+        for f in found
+    }
+
+
+def read_csv(spark: SparkSession, files: DataFrame, headers) -> DataFrame:
     """All CSV files of ``files`` as one frame, with lineage; all cells are text.
 
     ``headers`` are the rows of ``read_headers``. Columns are read by position and
     named afterwards, so headers that differ in case or repeat never confuse the
-    reader. Without ``multiline`` large files are split over several tasks; their
-    cells must then hold no line ends.
+    reader.
     """
     groups: dict[tuple, list] = {}
     for h in sorted(headers, key=lambda h: h["file_ord"]):
         groups.setdefault(tuple(h["header"]), []).append(h)
     columns = merge_headers(groups)
     scan = scan_per_header if len(groups) <= MAX_HEADER_SCANS else scan_by_position
-    return scan(spark, files, groups, columns, multiline).select(
+    return scan(spark, files, groups, columns, file_kinds(spark, files)).select(
         "_file", "_file_ord", F.lit("").alias("_sheet"), F.lit(0).alias("_sheet_ord"), "_row",
         *[col_ref(c) for c in columns],
     )
@@ -119,19 +132,19 @@ def file_ords(files: DataFrame) -> DataFrame:
     return files.select(plain_path(F.col("path")).alias("_file"), F.col("file_ord").alias("_file_ord"))
 
 
-def scan_per_header(spark, files, groups, columns, multiline) -> DataFrame:
+def scan_per_header(spark, files, groups, columns, kinds) -> DataFrame:
     """One scan per distinct header: unused columns are not even parsed."""
     spelling = {header_key(c): c for c in columns}
     rows = None
     for header, heads in groups.items():
-        cells = scan_cells(spark, [h["path"] for h in heads], len(header), multiline)
+        cells = scan_cells(spark, [h["path"] for h in heads], len(header), kinds)
         named = [F.col(f"c{i}").alias(spelling[header_key(n)]) for i, n in usable_header(header)]
         part = cells.select("_file", "_row", *named)
         rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
     return join_small(rows, file_ords(files), "_file")
 
 
-def scan_by_position(spark, files, groups, columns, multiline) -> DataFrame:
+def scan_by_position(spark, files, groups, columns, kinds) -> DataFrame:
     """One scan for any number of headers: each file brings the place of every column."""
     at = {header_key(c): j for j, c in enumerate(columns)}
     places = []
@@ -141,7 +154,7 @@ def scan_by_position(spark, files, groups, columns, multiline) -> DataFrame:
             place[at[header_key(name)]] = i + 1
         places += [(h["file_ord"], place) for h in heads]
     width = max(len(header) for header in groups)
-    cells = scan_cells(spark, [h["path"] for heads in groups.values() for h in heads], width, multiline)
+    cells = scan_cells(spark, [h["path"] for heads in groups.values() for h in heads], width, kinds)
     packed = cells.select("_file", "_row", F.array(*[f"c{i}" for i in range(max(1, width))]).alias("_cells"))
     placed = spark.createDataFrame(places, "_file_ord int, _places array<int>")
     rows = join_small(packed, file_ords(files).join(placed, "_file_ord"), "_file")
@@ -149,8 +162,3 @@ def scan_by_position(spark, files, groups, columns, multiline) -> DataFrame:
         "_file", "_file_ord", "_row",
         *[F.get("_cells", F.get("_places", F.lit(j)) - 1).alias(c) for j, c in enumerate(columns)],
     )
-
-
-def plain_path(path: Column) -> Column:
-    """One spelling for local paths, which Spark gives as file:/x or file:///x."""
-    return F.regexp_replace(path, "^file:/+", "file:/")

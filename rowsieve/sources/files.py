@@ -5,10 +5,11 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import unquote, urlparse
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rowsieve.functions.names import extension
 from rowsieve.functions.text import is_blank
+from rowsieve.operators.buckets import conf_bytes
 from rowsieve.operators.dedup import keep_first
 from rowsieve.session import qualified
 
@@ -16,6 +17,7 @@ from rowsieve.session import qualified
 CSV_EXTENSIONS = (".csv",)
 WORKBOOK_EXTENSIONS = (".xlsx", ".xlsm")
 
+BLOCK_BITS, ROW_BITS = 20, 33  # a block starts at a multiple of a mebibyte
 FILES_SCHEMA = "path string, length bigint, file_ord int"
 
 
@@ -79,3 +81,29 @@ def open_input(path: str):
     uri = "s3" + path[len(parsed.scheme):] if parsed.scheme in ("s3a", "s3n") else path
     filesystem, inner = fs.FileSystem.from_uri(uri)
     return filesystem.open_input_file(inner)
+
+
+def plain_path(path: Column) -> Column:
+    """One spelling for local paths, which Spark gives as file:/x or file:///x."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
+def plain_file() -> Column:
+    """The scanned file's path, for a column read straight from the scan."""
+    return plain_path(F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B")))
+
+
+def row_position(spark: SparkSession, splittable: bool) -> Column:
+    """Place of a row in its file, for a column read straight from the scan.
+
+    A task numbers the rows of a file, or of one split of it, in order. Splits
+    start at least a mebibyte apart, so their start leads and the number follows.
+    """
+    number = F.monotonically_increasing_id().bitwiseAND((1 << ROW_BITS) - 1)
+    if not splittable:
+        return number
+    for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        if conf_bytes(spark, name) < 1 << BLOCK_BITS:
+            raise ValueError(f"{name} must be at least 1 MiB to read split CSV files in order")
+    block = F.shiftright(F.col("_metadata.file_block_start"), BLOCK_BITS)
+    return F.shiftleft(block, ROW_BITS).bitwiseOR(number)

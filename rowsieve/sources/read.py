@@ -10,8 +10,8 @@ from rowsieve.functions.names import extension
 from rowsieve.functions.text import utrim
 from rowsieve.operators.columns import col_ref, merge_headers
 from rowsieve.operators.dedup import order_key
-from rowsieve.sources.csv import plain_path, read_csv, read_headers
-from rowsieve.sources.files import CSV_EXTENSIONS, list_files
+from rowsieve.sources.csv import read_csv, read_headers
+from rowsieve.sources.files import CSV_EXTENSIONS, list_files, plain_path
 from rowsieve.sources.sheets import select_sheets
 from rowsieve.sources.workbook import ROW_BITS, list_sheets, read_sheets
 from rowsieve.spec import CleanseSpec, SpecError
@@ -48,7 +48,7 @@ def scan_headers(headers: DataFrame) -> DataFrame:
     ).drop("_key")
 
 
-def read_sources(spark: SparkSession, paths: list[str], spec: CleanseSpec = CleanseSpec(), multiline: bool = True) -> Sources:
+def read_sources(spark: SparkSession, paths: list[str], spec: CleanseSpec = CleanseSpec()) -> Sources:
     """All admitted files under ``paths``: CSV files and the selected sheets of workbooks.
 
     File lists and headers are read first; they are plan input and stay small.
@@ -79,7 +79,7 @@ def read_sources(spark: SparkSession, paths: list[str], spec: CleanseSpec = Clea
         raise SpecError(f"headers {sorted(clash)} are reserved; rename them first")
     rows = None
     if csv_good:
-        rows = read_csv(spark, csv_files, csv_good, multiline)
+        rows = read_csv(spark, csv_files, csv_good)
     if chosen:
         own = merge_headers(s["header"] for s in chosen)
         frame = read_sheets(spark, spark.createDataFrame(chosen, schema), own, len(chosen))

@@ -1,6 +1,8 @@
 """Reading and writing files."""
 
+import csv
 import io
+import random
 import zipfile
 from dataclasses import replace
 
@@ -14,7 +16,9 @@ from rowsieve.plans.queries import PER_SHEET
 from rowsieve.plans.run import run
 from rowsieve.sinks.inplace import replace_in_place
 from rowsieve.sinks.write import CSV_OPTIONS, write_run
-from rowsieve.sources.csv import first_record
+from rowsieve.sources.csv import file_kinds, first_record
+from rowsieve.sources.files import list_files
+from rowsieve.sources.records import scan_records
 from rowsieve.sources.read import read_sources, scan_headers
 from rowsieve.spec import FILE_LINEAGE, SpecError
 from rowsieve.streaming.incremental import run_incremental
@@ -53,19 +57,58 @@ def test_many_headers_in_one_scan(spark, tmp_path, monkeypatch, limit):
     assert got[8] == ("4", "b4", None, "a4")
 
 
-def test_order_across_splits(spark, tmp_path, conf):
-    """A file split over several tasks keeps its row order."""
+def small_splits(conf):
     conf("spark.sql.files.maxPartitionBytes", str(1 << 20))
     conf("spark.sql.files.openCostInBytes", str(1 << 20))
-    lines = [f"{i},{'x' * 40}" for i in range(120_000)]
-    path = write(tmp_path, "big.csv", "id,pad\n" + "\n".join(lines) + "\n")
-    rows = read_sources(spark, [path], multiline=False).rows
+
+
+def test_order_across_splits(spark, tmp_path, conf):
+    """A file larger than a split is read by several tasks and keeps its row order."""
+    small_splits(conf)
+    lines = [f'{i},"{"x" * 40}",5" pipe' for i in range(90_000)]
+    path = write(tmp_path, "big.csv", "id,pad,note\n" + "\n".join(lines) + "\n")
+    assert file_kinds(spark, list_files(spark, [path])[0]) == {f"file:{path}": "lines"}
+    rows = read_sources(spark, [path]).rows
     assert rows.rdd.getNumPartitions() > 3
-    ordered = rows.orderBy("_row").select(F.col("id").cast("int").alias("id")).collect()
-    assert [r["id"] for r in ordered] == list(range(120_000))
+    ordered = rows.orderBy("_row").select(F.col("id").cast("int").alias("id"), "note").collect()
+    assert [r["id"] for r in ordered] == list(range(90_000)) and {r["note"] for r in ordered} == {'5" pipe'}
     conf("spark.sql.files.openCostInBytes", "1000")
     with pytest.raises(ValueError):
-        read_sources(spark, [path], multiline=False)
+        read_sources(spark, [path])
+
+
+def random_cell(rng):
+    kind = rng.randrange(7)
+    if kind == 0:
+        return ""
+    if kind == 1:
+        return "a,b" * rng.randrange(1, 3)
+    if kind == 2:
+        return "\n".join(rng.choice(["", "x", 'say "hi"', '"', ",", '","', 'end"', '"start', "p,q"]) for _ in range(rng.randrange(2, 6)))
+    if kind == 3:
+        return 'quote " inside'
+    return "plain" * rng.randrange(1, 4)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_records_over_many_lines(spark, tmp_path, conf, seed):
+    """Records found by many tasks equal those of a sequential reader."""
+    small_splits(conf)
+    rng = random.Random(seed)
+    data_rows = [[str(i), *(random_cell(rng) for _ in range(3))] for i in range(30_000)]
+    data_rows[15_000][1] = "\n".join(f'line {i}, "{i}"' for i in range(150_000))  # a cell larger than two splits
+    data_rows[20_000][2] = 'x"y,' * 400_000
+    data_rows[20_001][3] = "a,\n" + '"",' * 200_000
+    path = tmp_path / "big.csv"
+    with open(path, "w", newline="") as f:
+        out = csv.writer(f, lineterminator="\n")
+        out.writerow(["id", "two\nlines", "c", "d"])
+        out.writerows(data_rows)
+    assert file_kinds(spark, list_files(spark, [str(path)])[0]) == {f"file:{path}": "records"}
+    rows = scan_records(spark, [str(path)], 4).orderBy("_row").select("c0", "c1", "c2", "c3").collect()
+    got = [[c or "" for c in r] for r in rows]
+    assert len(got) == len(data_rows)
+    assert all(g == w for g, w in zip(got, data_rows))
 
 
 def test_first_record_reads_on():
