@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import functions as F
 
 from rowsieve.functions import links, names
 from rowsieve.functions.rules import reason
 from rowsieve.functions.text import canon_str, norm_key, utrim
-from rowsieve.operators import buckets, chunk, columns, dedup, hygiene, report, route
+from rowsieve.operators import buckets, chunk, columns, hygiene, report, route
 from rowsieve.operators.names import sanitize_names
 from rowsieve.plans.fixtures import CONTACTS, contacts, table, write_csv, write_workbooks
 from rowsieve.plans.run import outcomes

@@ -9,9 +9,8 @@ from datetime import datetime, timedelta
 from xml.etree.ElementTree import iterparse
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, types as T
 
-from rowsieve.functions.text import UNICODE_SPACE
 from rowsieve.sources.csv import usable_header
 from rowsieve.sources.files import open_input, task_count
 
@@ -32,10 +31,6 @@ def tag(element) -> str:
     return element.tag.rsplit("}", 1)[-1]
 
 
-def attribute(element, name: str) -> str | None:
-    return next((v for k, v in element.attrib.items() if k.rsplit("}", 1)[-1] == name), None)
-
-
 def elements(book: zipfile.ZipFile, member: str, *wanted: str):
     """Elements of a zip member as they are completed; freed once handled."""
     if member not in book.namelist():

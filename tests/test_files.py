@@ -20,7 +20,7 @@ from rowsieve.sources.csv import file_kinds, first_record
 from rowsieve.sources.files import list_files
 from rowsieve.sources.records import scan_records
 from rowsieve.sources.read import read_sources, scan_headers
-from rowsieve.spec import FILE_LINEAGE, SpecError
+from rowsieve.spec import SpecError
 from rowsieve.streaming.incremental import run_incremental
 
 
