@@ -54,7 +54,7 @@ def bucket_order(df: DataFrame, order) -> DataFrame:
     )
 
 
-def join_small(df: DataFrame, small: DataFrame, on: str) -> DataFrame:
+def join_small(df: DataFrame, small: DataFrame, on: str, materialised: bool = False) -> DataFrame:
     """Left join of a frame expected to be small, whatever its size turns out to be.
 
     Its measured size decides: below the session's broadcast threshold it is
@@ -62,7 +62,7 @@ def join_small(df: DataFrame, small: DataFrame, on: str) -> DataFrame:
     salt too, so that a key holding most rows of ``df`` still spreads evenly.
     """
     spark = df.sparkSession
-    small = checkpointed(small)
+    small = small if materialised else checkpointed(small)
     threshold = conf_bytes(spark, "spark.sql.autoBroadcastJoinThreshold")
     size = small.agg(F.coalesce(F.sum(row_bytes(small)), F.lit(0))).first()[0]
     if size <= threshold:
@@ -92,8 +92,8 @@ def conf_bytes(spark, name: str) -> int:
     return int(digits) * {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}[value[len(digits):][:1]]
 
 
-def attach_bucket_names(df: DataFrame, buckets: DataFrame) -> DataFrame:
+def attach_bucket_names(df: DataFrame, buckets: DataFrame, materialised: bool = False) -> DataFrame:
     """Replace ``_bucket`` by its first spelling and add ``_bucket_pos`` to sort by."""
     keyed = df.withColumn("_bucket_key", F.lower("_bucket"))
-    joined = join_small(keyed, buckets, "_bucket_key")
+    joined = join_small(keyed, buckets, "_bucket_key", materialised)
     return joined.withColumn("_bucket", F.col("_bucket_name")).drop("_bucket_key", "_bucket_name")

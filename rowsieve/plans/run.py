@@ -28,15 +28,26 @@ def output_folder(paths: list[str], spec: CleanseSpec, run: str) -> str:
 
 
 def outcomes(sources: Sources):
+    """Status per file given, with the rows read from it."""
+    if sources.rows is None:
+        nothing = sources.outcomes.sparkSession.createDataFrame([], "file string, rows_read bigint")
+        return file_outcomes(sources.outcomes, nothing)
     return file_outcomes(sources.outcomes, file_counts(sources.rows, FILE_LINEAGE, sources.columns))
 
 
 def run(spark: SparkSession, paths: list[str], spec: CleanseSpec, name: str | None = None, mode="errorifexists") -> RunResult:
-    """Read ``paths``, cleanse them together and write the result."""
+    """Read ``paths``, cleanse them together and write the result.
+
+    Without any readable sheet only the outcome of the files is written.
+    """
     spec.check()
+    if not paths:
+        raise SpecError("no files to process")
     sources = read_sources(spark, paths, spec)
+    path = output_folder(paths, spec, name or run_name())
     if sources.rows is None:
-        raise SpecError("no readable file among the given paths")
+        outcomes(sources).write.mode(mode).parquet(f"{path}/files")
+        return RunResult(path, 0, 0, 0, 0)
     scratch = scratch_path(spark, "ingest")
     with sized_shuffles(spark, sources.nbytes):
         # Files are decoded once; every later pass reads the columns it needs from the copy.
@@ -47,10 +58,10 @@ def run(spark: SparkSession, paths: list[str], spec: CleanseSpec, name: str | No
             n = {s: sum(r["rows"] for r in done if r["status"] == s) for s in (UNIQUE, DUPLICATE, INVALID)}
             result = RunResult(paths[0], sum(r["rows_read"] for r in done), n[UNIQUE], n[DUPLICATE], n[INVALID])
         else:
-            path = output_folder(paths, spec, name or run_name())
             buckets = source_buckets(sources.sheets, spec, lineage)
             result = write_run(rows, spec, lineage, path, mode=mode, buckets=buckets)
             files = file_outcomes(sources.outcomes, file_counts(rows, lineage, []))
             files.write.mode(mode).parquet(f"{path}/files")
-    drop_path(spark, scratch)
+    for used in filter(None, (scratch, sources.scratch)):
+        drop_path(spark, used)
     return result

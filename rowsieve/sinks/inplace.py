@@ -70,8 +70,8 @@ def replace_in_place(spark: SparkSession, rows: DataFrame, spec: CleanseSpec, ke
     files = checkpointed(rows.select("_file", "_file_ord").distinct()).collect()
     if any(not f["_file"].lower().endswith(".csv") for f in files):
         raise SpecError("only CSV files are replaced in place")
-    folder = {f["_file"].rsplit("/", 1)[0] for f in files}
-    root = f"{sorted(folder)[0]}/.rowsieve-{uuid.uuid4().hex}"
+    folder = min(f["_file"].rsplit("/", 1)[0] for f in files)
+    root = f"{folder}/.rowsieve-{uuid.uuid4().hex}"
 
     scratch = scratch_path(spark, "inplace")
     routed = stage(cleanse(rows, spec, lineage, rules), scratch)

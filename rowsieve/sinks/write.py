@@ -61,10 +61,15 @@ def write_rows(df: DataFrame, path: str, fmt: OutputFormat, partitions=(), mode=
 def route_to_stage(df: DataFrame, spec: CleanseSpec, lineage: Lineage, buckets: DataFrame, path: str, rules=()) -> DataFrame:
     """Routed rows with first-spelling buckets, written once in output order.
 
-    Duplicates that nobody asked for are dropped inside the map tasks.
+    With duplicates all rows are kept, as they are counted from here. Else only
+    what is to be written; duplicates are then dropped inside the map tasks.
     """
-    route = cleanse if spec.emit_duplicates else unique_rows
-    named = attach_bucket_names(route(df, spec, lineage, rules), buckets)
+    if spec.emit_duplicates:
+        rows = cleanse(df, spec, lineage, rules)
+    else:
+        wanted = [s for s, emit in ((UNIQUE, spec.emit_unique), (INVALID, spec.emit_invalid)) if emit]
+        rows = unique_rows(df, spec, lineage, rules).filter(F.col(STATUS).isin(wanted))
+    named = attach_bucket_names(rows, buckets, materialised=True)
     return sorted_stage(named, [STATUS, "_bucket_pos", *row_order(spec, lineage)], path)
 
 

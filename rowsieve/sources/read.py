@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rowsieve.functions.names import extension
 from rowsieve.functions.text import utrim
+from rowsieve.operators.buckets import join_small
 from rowsieve.operators.columns import col_ref, merge_headers
 from rowsieve.operators.dedup import order_key
+from rowsieve.session import scratch_path, stage
 from rowsieve.sources.csv import read_csv, read_headers
 from rowsieve.sources.files import CSV_EXTENSIONS, list_files, plain_path
 from rowsieve.sources.sheets import select_sheets
@@ -29,6 +31,7 @@ class Sources:
     headers: DataFrame  # _file_ord, _sheet_ord, _pos, header
     sheets: DataFrame  # _file, _file_ord, _sheet, _row: where each sheet read begins
     nbytes: int  # size of all files
+    scratch: str | None  # staged copy of workbook rows, which ``rows`` reads
 
 
 def scan_headers(headers: DataFrame) -> DataFrame:
@@ -73,6 +76,8 @@ def read_sources(spark: SparkSession, paths: list[str], spec: CleanseSpec = Clea
         + [(s["file_ord"], s["sheet_ord"], s["header"]) for s in chosen],
         key=lambda h: h[:2],
     )
+    errors = {h["file_ord"]: h["error"] for h in [*csv_heads, *sheets] if h["error"] is not None}
+    scratch = None
     columns = merge_headers(h[2] for h in heads)
     clash = {c.lower() for c in columns} & set(LINEAGE_COLUMNS)
     if clash:
@@ -83,7 +88,15 @@ def read_sources(spark: SparkSession, paths: list[str], spec: CleanseSpec = Clea
     if chosen:
         own = merge_headers(s["header"] for s in chosen)
         frame = read_sheets(spark, spark.createDataFrame(chosen, schema), own, len(chosen))
-        frame = frame.withColumn("_file", plain_path(F.col("_file")))
+        # Decoding is dear: it happens once. A file with an unreadable sheet gives no rows.
+        scratch = scratch_path(spark, "workbooks")
+        decoded = stage(frame, scratch)
+        broken = decoded.filter(F.col("_error").isNotNull()).groupBy("_file_ord").agg(F.min("_error").alias("_broken"))
+        found_broken = broken.collect()
+        if found_broken:
+            decoded = join_small(decoded, broken, "_file_ord").filter(F.col("_broken").isNull()).drop("_broken")
+        errors |= {b["_file_ord"]: b["_broken"] for b in found_broken}
+        frame = decoded.drop("_error").withColumn("_file", plain_path(F.col("_file")))
         rows = frame if rows is None else rows.unionByName(frame, allowMissingColumns=True)
     if rows is not None:
         by_key = {c.lower(): c for c in rows.columns}
@@ -92,7 +105,6 @@ def read_sources(spark: SparkSession, paths: list[str], spec: CleanseSpec = Clea
     picked_per_file: dict[int, int] = {}
     for s in chosen:
         picked_per_file[s["file_ord"]] = picked_per_file.get(s["file_ord"], 0) + 1
-    errors = {h["file_ord"]: h["error"] for h in [*csv_heads, *sheets] if h["error"] is not None}
     outcome = [
         (r["path"], errors.get(r["file_ord"]),
          1 if r["path"].lower().endswith(CSV_EXTENSIONS) else picked_per_file.get(r["file_ord"], 0))
@@ -111,7 +123,9 @@ def read_sources(spark: SparkSession, paths: list[str], spec: CleanseSpec = Clea
         "header", utrim(F.col("header"))
     )
     begins = [(h["path"], h["file_ord"], "", 0) for h in csv_good] + [
-        (s["path"], s["file_ord"], s["sheet"], s["sheet_ord"] << ROW_BITS) for s in chosen
+        (s["path"], s["file_ord"], s["sheet"], s["sheet_ord"] << ROW_BITS)
+        for s in chosen
+        if s["file_ord"] not in errors
     ]
     starts = spark.createDataFrame(begins, "_file string, _file_ord int, _sheet string, _row bigint")
-    return Sources(rows, outcomes, columns, headers, starts, sum(r["length"] for r in found))
+    return Sources(rows, outcomes, columns, headers, starts, sum(r["length"] for r in found), scratch)

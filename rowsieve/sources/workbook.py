@@ -6,6 +6,7 @@ import re
 import zipfile
 from collections.abc import Iterator
 from datetime import datetime, timedelta
+from itertools import islice
 from xml.etree.ElementTree import iterparse
 
 import pandas as pd
@@ -169,33 +170,40 @@ def read_sheets(spark: SparkSession, sheets: DataFrame, columns: list[str], coun
     """Rows of the given sheets with lineage, under ``columns``; all cells are text.
 
     A sheet is opened by its own task, which reads that sheet's part of the
-    workbook only and passes rows on in batches.
+    workbook only and passes rows on in batches. Where decoding fails, the last row
+    of the sheet holds nothing but ``_error``.
     """
-    lineage = ["_file", "_file_ord", "_sheet", "_sheet_ord", "_row"]
+    lineage = ["_error", "_file", "_file_ord", "_sheet", "_sheet_ord", "_row"]
     positions = {c.lower(): i for i, c in enumerate(columns)}
     schema = T.StructType(
         [
+            T.StructField("_error", T.StringType()),
             T.StructField("_file", T.StringType()), T.StructField("_file_ord", T.IntegerType()),
             T.StructField("_sheet", T.StringType()), T.StructField("_sheet_ord", T.IntegerType()),
             T.StructField("_row", T.LongType()), *[T.StructField(c, T.StringType()) for c in columns],
         ]
     )
 
+    def decode_sheet(s) -> Iterator[list]:
+        origin = [s.path, s.file_ord, s.sheet, s.sheet_ord]
+        n = 0
+        try:
+            with open_input(s.path) as stream, zipfile.ZipFile(stream) as book:
+                rows = Sheet(book, s.member).rows()
+                places = [(i, positions[n.lower()]) for i, n in usable_header(header_of(rows))]
+                for n, cells in enumerate(rows):
+                    values = [None] * len(columns)
+                    for i, at in places:
+                        values[at] = cells.get(i)
+                    yield [None, *origin, (s.sheet_ord << ROW_BITS) | n, *values]
+        except Exception as e:  # reported as this file's outcome
+            yield [f"{type(e).__name__}: {e}", *origin, (s.sheet_ord << ROW_BITS) | n, *[None] * len(columns)]
+
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for s in batch.itertuples(index=False):
-                with open_input(s.path) as stream, zipfile.ZipFile(stream) as book:
-                    rows = Sheet(book, s.member).rows()
-                    places = [(i, positions[n.lower()]) for i, n in usable_header(header_of(rows))]
-                    out = []
-                    for n, cells in enumerate(rows):
-                        values = [None] * len(columns)
-                        for i, at in places:
-                            values[at] = cells.get(i)
-                        out.append([s.path, s.file_ord, s.sheet, s.sheet_ord, (s.sheet_ord << ROW_BITS) | n, *values])
-                        if len(out) == BATCH_ROWS:
-                            yield pd.DataFrame(out, columns=lineage + columns)
-                            out = []
+                rows = decode_sheet(s)
+                while out := list(islice(rows, BATCH_ROWS)):
                     yield pd.DataFrame(out, columns=lineage + columns)
 
     spread = sheets.select("path", "file_ord", "sheet", "sheet_ord", "member").repartition(

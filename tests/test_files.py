@@ -299,3 +299,31 @@ def test_splitting_sheets_that_are_not_kept(spark, tmp_path, fmt, chunks):
     result = write_run(contacts(spark, SF), spec, CONTACTS, str(tmp_path / "out"))
     assert spark.read.parquet(f"{result.path}/manifest").count() == chunks
     assert len(list((tmp_path / "out" / "unique").glob("_chunk=*"))) == (chunks if chunks > 1 else 0)
+
+
+def test_a_sheet_that_breaks_off(spark, tmp_path):
+    """The run goes on; the broken file gives no rows at all."""
+    from rowsieve.plans.run import outcomes
+
+    good = workbook_bytes({"S": [["id"], ["1"]], "T": [["id"], ["2"]]})
+    (tmp_path / "good.xlsx").write_bytes(good)
+    with zipfile.ZipFile(io.BytesIO(good)) as old, zipfile.ZipFile(tmp_path / "bad.xlsx", "w") as new:
+        for member in old.namelist():
+            text = old.read(member).decode()
+            if member.endswith("sheet2.xml"):
+                text = text.replace("</sheetData>", "<row><c><v>3</v></broken>")
+            new.writestr(member, text)
+    sources = read_sources(spark, [str(tmp_path / "bad.xlsx"), str(tmp_path / "good.xlsx")])
+    assert data(sources.rows, "id", "_sheet") == [("1", "S"), ("2", "T")]
+    found = {r["file"].rsplit("/", 1)[1]: (r["status"], r["rows_read"]) for r in outcomes(sources).collect()}
+    assert found == {"bad.xlsx": ("Failed", 0), "good.xlsx": ("Processed", 2)}
+
+
+def test_run_without_a_readable_file(spark, tmp_path):
+    (tmp_path / "x.xlsx").write_text("no workbook")
+    spec = CleanseSpec(key_columns=("id",), output_dir=str(tmp_path / "out"))
+    result = run(spark, [str(tmp_path / "x.xlsx"), str(tmp_path / "gone.csv")], spec, name="r")
+    assert result.rows_read == 0
+    assert {r["status"] for r in spark.read.parquet(f"{result.path}/files").collect()} == {"Failed"}
+    with pytest.raises(SpecError):
+        run(spark, [], spec)
