@@ -6,7 +6,7 @@ import logging
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from rowsieve.functions.text import UNICODE_SPACE, canon_str
+from rowsieve.functions.text import UNICODE_SPACE, canon_str, is_blank
 from rowsieve.spec import Lineage
 
 log = logging.getLogger(__name__)
@@ -49,6 +49,18 @@ def text_of(df: DataFrame, name: str) -> Column:
     return canon_str(col_ref(found), df.schema[found].dataType)
 
 
+def is_text(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, T.StringType)
+
+
+def blank_test(df: DataFrame, name: str) -> Column:
+    """Does the column hold nothing but white space? Only text can, unless it is null."""
+    found = find_column(df, name)
+    if found is None or is_text(df, found):
+        return is_blank(text_of(df, name))
+    return col_ref(found).isNull()
+
+
 def drop_reserved(df: DataFrame) -> DataFrame:
     reserved = {SOURCE.lower(), REASON.lower()}
     return df.drop(*[col_ref(c) for c in df.columns if header_key(c) in reserved])

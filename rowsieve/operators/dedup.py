@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from rowsieve.functions.text import compact_key, is_blank, norm_key
-from rowsieve.operators.columns import find_column, text_of
+from rowsieve.functions.text import compact_key, norm_key, or_empty
+from rowsieve.operators.columns import blank_test, col_ref, find_column, text_of
 from rowsieve.spec import CleanseSpec, KeyMode
 
 # Bits of whole-number types, and of what a decimal of 38 digits can hold.
@@ -67,15 +67,29 @@ def with_keys(df: DataFrame, spec: CleanseSpec, data_cols) -> tuple[DataFrame, l
     if not names:
         return df, [], F.lit(True)
     keys = [f"_k{i}" for i in range(len(names))]
-    out = df.withColumns({k: norm_key(text_of(df, n), spec.case_sensitive) for k, n in zip(keys, names)})
-    if len(names) == 1:
-        return out.withColumn("_k0", compact_key(F.col("_k0"))), keys, is_blank(text_of(df, names[0]))
-    if spec.key_mode is KeyMode.ROW:
+    if spec.key_mode is KeyMode.ROW and len(names) > 1:
         # Lengths make the joined text unambiguous, so one narrow key serves any width.
+        out = df.withColumns({k: key_text(df, n, spec.case_sensitive) for k, n in zip(keys, names)})
         pieces = [p for k in keys for p in (F.length(k).cast("string"), F.lit(":"), F.col(k))]
         out = out.withColumn("_key", F.concat(*pieces)).drop(*keys)
         return out.withColumn("_key", compact_key(F.col("_key"))), ["_key"], F.lit(False)
-    return out.withColumns({k: compact_key(F.col(k)) for k in keys}), keys, F.lit(False)
+    plain = {k: col_ref(find_column(df, n)) for k, n in zip(keys, names) if has_plain_key(df, n)}
+    text = {k: key_text(df, n, spec.case_sensitive) for k, n in zip(keys, names) if k not in plain}
+    out = df.withColumns(plain | text)
+    out = out.withColumns({k: compact_key(F.col(k)) for k in text}) if text else out
+    return out, keys, blank_test(df, names[0]) if len(names) == 1 else F.lit(False)
+
+
+def has_plain_key(df: DataFrame, name: str) -> bool:
+    """Numbers, dates and booleans are equal exactly if their texts are; null is the empty text."""
+    found = find_column(df, name)
+    return found is not None and isinstance(df.schema[found].dataType, (T.NumericType, T.BooleanType, T.DateType))
+
+
+def key_text(df: DataFrame, name: str, case_sensitive: bool) -> Column:
+    if has_plain_key(df, name):
+        return or_empty(text_of(df, name))
+    return norm_key(text_of(df, name), case_sensitive)
 
 
 def winners(contenders: DataFrame, group_cols, order) -> DataFrame:

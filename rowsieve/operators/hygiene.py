@@ -6,15 +6,18 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from rowsieve.functions.text import or_empty, utrim
-from rowsieve.operators.columns import col_ref, find_column, text_of
+from rowsieve.functions.text import utrim
+from rowsieve.operators.columns import blank_test, col_ref, find_column, is_text, text_of
 
 PART = "_part"
 
 
 def drop_blank_rows(df: DataFrame, columns) -> DataFrame:
-    """Keep rows in which at least one of ``columns`` holds more than white space."""
-    filled = [utrim(or_empty(text_of(df, c))) != "" for c in columns]
+    """Keep rows in which at least one of ``columns`` holds more than white space.
+
+    Columns that are not text come first: a look at one of them mostly settles it.
+    """
+    filled = [~blank_test(df, c) for c in sorted(columns, key=lambda c: is_text(df, find_column(df, c)))]
     return df.filter(reduce(lambda a, b: a | b, filled)) if filled else df
 
 

@@ -170,6 +170,26 @@ def test_whole_row_parts_do_not_run_together(spark):
     assert statuses(df, CleanseSpec(key_mode=KeyMode.ROW)) == ["unique", "unique", "duplicate"]
 
 
+@pytest.mark.parametrize("kind, values", [
+    ("double", [0.0, -0.0, 1.0, 1.0, None, None, float("nan"), float("nan")]),
+    ("bigint", [1, 1, None, None, 2]),
+    ("boolean", [True, None, True, None]),
+    ("date", ["2024-01-01", None, "2024-01-01", "2024-01-02", None]),
+    ("decimal(10,2)", ["1.5", "1.50", None, None]),
+    ("timestamp", ["2024-01-01 00:00:00", None, "2024-01-01 00:00:00", None]),
+])
+def test_keys_that_are_not_text(spark, kind, values):
+    """Same result as for the texts of the values; a null key never makes rows equal."""
+    source = "double" if kind == "double" else "string"
+    texts = [v if v is None or source == "double" else str(v) for v in values]
+    df = spark.createDataFrame(list(enumerate(texts)), f"id bigint, v {source}").select("id", F.col("v").cast(kind).alias("v"), F.lit("x").alias("w"))
+    as_text = df.withColumn("v", canon_str(F.col("v"), df.schema["v"].dataType))
+    for spec in (CleanseSpec(key_columns=("v",)), CleanseSpec(key_mode=KeyMode.MULTIPLE, key_columns=("v", "w")), CleanseSpec(key_mode=KeyMode.ROW)):
+        got = statuses(df, spec)
+        assert got == statuses(as_text, spec) and "duplicate" in got
+    assert all(s == "unique" for s, v in zip(statuses(df, CleanseSpec(key_columns=("v",))), values) if v is None)
+
+
 def test_invalid_rows_claim_no_key(spark):
     df = spark.createDataFrame([(0, "k", "bad"), (1, "k", "a@b.co"), (2, "K", "c@d.co")], "id int, k string, mail string")
     spec = CleanseSpec(key_columns=("k",), validation=Validation.EMAIL, validation_column="mail")
