@@ -67,9 +67,11 @@ def read_sources(spark: SparkSession, paths: list[str], spec: CleanseSpec = Clea
     csv_good = [h for h in csv_heads if h["error"] is None]
     sheets = list_sheets(spark, books, len(found) - n_csv).collect() if n_csv < len(found) else []
     schema = "path string, file_ord int, sheet string, sheet_ord int, member string, header array<string>, error string"
-    listed = spark.createDataFrame([s for s in sheets if s["error"] is None], schema)
-    picked = select_sheets(listed, spec, "file_ord", "sheet", "sheet_ord")
-    chosen = sorted(picked.collect(), key=lambda s: (s["file_ord"], s["sheet_ord"]))
+    chosen = []
+    if any(s["error"] is None for s in sheets):
+        listed = spark.createDataFrame([s for s in sheets if s["error"] is None], schema)
+        picked = select_sheets(listed, spec, "file_ord", "sheet", "sheet_ord")
+        chosen = sorted(picked.collect(), key=lambda s: (s["file_ord"], s["sheet_ord"]))
 
     heads = sorted(
         [(h["file_ord"], 0, h["header"]) for h in csv_good]
