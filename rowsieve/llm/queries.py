@@ -6,6 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rowsieve.llm.decontaminate import contaminated
+from rowsieve.llm.lengths import length_histogram, length_report
+from rowsieve.llm.packing import pack
+from rowsieve.llm.pii import find_pii
 from rowsieve.llm.quality import fit_quality, judge_quality
 from rowsieve.llm.simhash import CLOSE, near_duplicates
 from rowsieve.llm.tables import table
@@ -16,6 +20,21 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), CLOSE)
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document in a sequence of 2048 tokens."""
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document."""
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold half or more of a benchmark item."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -23,9 +42,18 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("score")
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact histogram of encoded lengths with its suffix sums."""
+    return length_report(length_histogram(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op7_pii": op7_pii,
+    "op8_decontamination": op8_decontamination,
     "op9_quality_rules": op9_quality_rules,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {}
