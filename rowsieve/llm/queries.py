@@ -11,8 +11,35 @@ from rowsieve.llm.lengths import length_histogram, length_report
 from rowsieve.llm.packing import pack
 from rowsieve.llm.pii import find_pii
 from rowsieve.llm.quality import fit_quality, judge_quality
+from rowsieve.llm.sharding import shards
 from rowsieve.llm.simhash import CLOSE, near_duplicates
 from rowsieve.llm.tables import table
+from rowsieve.llm.toxicity import fit_toxicity, score_toxicity
+from rowsieve.llm.urls import ALLOW, BLOCK, judge_urls, publish
+from rowsieve.llm.warc import archive_round_trip
+
+# Rules on URLs, and hosts on the block list, as given.
+RULES = [
+    ("org/", ALLOW),
+    ("example.org/es/", BLOCK),
+    ("example.org/en/1", BLOCK),
+    ("com/fr/", ALLOW),
+    ("com/de/", BLOCK),
+]
+BLOCKED_HOSTS = ["casino-win.example.com", "cheap-pills.example.com", "free-bets.example.com"]
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 8 shards of nearly equal bytes."""
+    return shards(table(spark, sf_dir, "documents"))
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the URL of every page."""
+    schema = "entry string, verdict int"
+    rules = publish(spark, spark.createDataFrame(RULES, schema))
+    blocked = publish(spark, spark.createDataFrame([(h, BLOCK) for h in BLOCKED_HOSTS], schema))
+    return judge_urls(table(spark, sf_dir, "pages"), rules, blocked)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,11 +47,22 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), CLOSE)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document, learnt from labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every piece of every document in a sequence of 2048 tokens."""
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of all pages, written to archives and read back."""
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in every document."""
     return find_pii(table(spark, sf_dir, "documents"))
@@ -48,12 +86,61 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
+    "op2_url_filters": op2_url_filters,
     "op3_simhash": op3_simhash,
+    "op4_toxicity": op4_toxicity,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_warc": op6_warc,
     "op7_pii": op7_pii,
     "op8_decontamination": op8_decontamination,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_RULE_ROWS = ", ".join(
+    "('{}', '{}', '{}', '{}')".format(*entry.partition("/")[::2], entry, "block" if verdict else "allow")
+    for entry, verdict in RULES
+)
+_HOST_ROWS = ", ".join(f"('{h}')" for h in BLOCKED_HOSTS)
+
+#: Queries whose rows SQL can tell.
+ORACLE_SQL: dict[str, str] = {
+    "op2_url_filters": f"""
+        WITH rules(h, p, rule, verdict) AS (
+            SELECT h, '/' || p, rule, verdict FROM (VALUES {_RULE_ROWS}) AS r(h, p, rule, verdict)
+        ),
+        blocked(b) AS (VALUES {_HOST_ROWS}),
+        parsed AS (
+            SELECT page_id,
+                   translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''),
+                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path
+            FROM pages
+        )
+        SELECT page_id, host, path,
+               (SELECT max_by(rule, length(rule)) FROM rules
+                WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS rule,
+               coalesce(
+                   (SELECT max_by(verdict, length(rule)) FROM rules
+                    WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)),
+                   CASE WHEN EXISTS (SELECT 1 FROM blocked WHERE host = b OR ends_with(host, '.' || b))
+                        THEN 'block' ELSE 'allow' END) AS verdict
+        FROM parsed
+    """,
+    "op6_warc": """
+        WITH p AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes,
+                   sha256(coalesce(html, '')) AS payload_digest
+            FROM pages
+        ),
+        q AS (
+            SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first
+            FROM p
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+        FROM q
+    """,
+}
