@@ -5,6 +5,8 @@ import pytest
 
 import __spark_entry__ as entry_points
 from conftest import SF
+from rowsieve.plans.oracle import ORACLE_SQL
+from rowsieve.plans.queries import QUERIES
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -22,15 +24,17 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(entry_points.queries()) == set(entry_points.oracle_sql())
+    assert set(QUERIES) == set(ORACLE_SQL)
+    assert set(QUERIES) <= set(entry_points.queries())
+    assert set(ORACLE_SQL) <= set(entry_points.oracle_sql()) <= set(entry_points.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, duck, name):
-    df = entry_points.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
     got = sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
-    result = duck.execute(entry_points.oracle_sql()[name])
+    result = duck.execute(ORACLE_SQL[name])
     kinds = {d[0]: str(d[1]).upper() for d in result.description}
     names = list(kinds)
     assert sorted(names) == columns
