@@ -172,35 +172,37 @@ def _patterns(side: str) -> Column:
     def pair(at: int) -> Column:
         return F.concat_ws(" ", F.slice(words, at, 2))
 
-    def pattern(name: str, text: Column, near: bool) -> Column:
-        return F.struct(F.concat(F.lit(f"{side} {name} "), text).alias("pattern"), F.lit(near).alias("near"))
+    def pattern(name: str, text: Column, distance: int) -> Column:
+        return F.struct(F.concat(F.lit(f"{side} {name} "), text).alias("pattern"), F.lit(distance).alias("distance"))
 
-    rows = [pattern("1", F.get(words, F.lit(0)), True), pattern("2", pair(1), True)]
-    rows += [pattern("1", F.get(words, F.lit(k)), False) for k in range(2, 7)]
-    rows += [pattern("2", pair(k), False) for k in range(3, 8)]
+    rows = []
+    for distance in (1, *FAR):
+        rows += [pattern("1", F.get(words, F.lit(distance - 1)), distance), pattern("2", pair(distance), distance)]
     return F.array(*rows)
 
 
-FAR = 5
+FAR = (3, 4, 5, 6, 7)
 
 
 def _score_patterns(scored: DataFrame) -> DataFrame:
     """(kind, pattern, trust) of patterns that stand out, from instances and their scores.
 
-    An identifier counts once per pattern, however many copies of its text there are.
+    An identifier counts once per pattern and distance, however many copies of its text there
+    are.
     Support is the sum of the scores of a pattern's identifiers, trust their mean (with one
     unknown added). Lift compares how often the pattern stands next to identifiers and
     further away from them.
     """
-    each = scored.groupBy("kind", "pattern", "near", "identifier").agg(F.max("score").alias("score"))
+    each = scored.groupBy("kind", "pattern", "distance", "identifier").agg(F.max("score").alias("score"))
+    near = F.col("distance") == 1
     return (
         each.groupBy("kind", "pattern")
         .agg(
-            F.sum(F.when(F.col("near"), F.col("score")).otherwise(0.0)).alias("support"),
-            F.sum(F.when(F.col("near"), 1.0).otherwise(0.0)).alias("near"),
-            F.sum(F.when(~F.col("near"), 1.0).otherwise(0.0)).alias("far"),
+            F.sum(F.when(near, F.col("score")).otherwise(0.0)).alias("support"),
+            F.sum(F.when(near, 1.0).otherwise(0.0)).alias("near"),
+            F.sum(F.when(~near, 1.0).otherwise(0.0)).alias("far"),
         )
-        .where((F.col("support") >= MIN_SUPPORT) & (F.col("near") >= MIN_LIFT * F.col("far") / FAR))
+        .where((F.col("support") >= MIN_SUPPORT) & (F.col("near") >= MIN_LIFT * F.col("far") / len(FAR)))
         .select("kind", "pattern", (F.col("support") / (F.col("near") + 1)).alias("trust"))
     )
 
@@ -217,7 +219,7 @@ def _discover(instances: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         .select("row", "kind", "start", "end", "seed", "identifier", "found.*")
         .where(F.col("pattern").isNotNull() & ~F.col("pattern").endswith(" "))
     )
-    unseen = graph.where(~F.col("seed") & F.col("near"))
+    unseen = graph.where(~F.col("seed") & (F.col("distance") == 1))
     scores = None
     for _ in range(rounds):
         scored = graph.withColumn("score", F.when(F.col("seed"), 1.0).otherwise(0.0))

@@ -100,8 +100,9 @@ class BadArchive(ValueError):
 
 def read_frames(source) -> Iterator[bytes]:
     """The decoded frames of an archive, read piece by piece."""
-    data = source.read(READ_BYTES)
-    held = None
+    data, held = b"", None
+    while len(data) < 8 and (more := source.read(READ_BYTES)):
+        data += more
     if data[:4] == struct.pack("<I", SKIPPABLE):
         if len(data) < 8:
             raise BadArchive("dictionary frame cut off")
@@ -211,11 +212,13 @@ def with_revisits(pages: DataFrame, min_shared: int = MIN_SHARED) -> DataFrame:
     )
 
 
-def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+def write_archives(
+    records: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, sample_bytes: int = SAMPLE_BYTES
+) -> DataFrame:
     """Write ``records`` (as of ``with_revisits``) as archives; (path, records) of each.
 
     Every task writes its own rows, a new archive after each ``archive_bytes``. A dictionary
-    is trained for each on its first payloads, ``SAMPLE_BYTES`` of them. A file gets its
+    is trained for each on its first records, ``sample_bytes`` of them. A file gets its
     name when it is whole; names hold the attempt, so one that is run again leaves no mark:
     only the files listed here count, and the list is written.
     """
@@ -251,7 +254,7 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE
                     waiting.append(data)
                     samples.append(data[: 1 << 16])
                     state["size"] += len(data)
-                    if state["size"] < SAMPLE_BYTES:
+                    if state["size"] < sample_bytes:
                         continue
                     name, sink, writer = opened()
                     held, waiting, state["size"] = waiting, [], 0

@@ -36,7 +36,7 @@ def shingle_hashes(text: str | None, width: int) -> Iterator[np.ndarray]:
     data = (text or "").encode().lower()
     held: list[bytes] = []
     made = False
-    for block in blocks(data):
+    for block in blocks(data, BLOCK):
         held += block.split()
         if len(held) >= width:
             rows = zip(*(held[k:] for k in range(width)), strict=False)

@@ -1,0 +1,37 @@
+"""Small tables with awkward rows, for the tests of this folder."""
+
+SF = "/root/testdata/sf0.001"
+
+#: Texts that each operator meets: null, empty, blank, ties, repeats, other scripts, long.
+AWKWARD = [
+    (0, None),
+    (1, ""),
+    (2, " \t\n\r\x0b\x0c "),
+    (3, "one"),
+    (3, "one"),
+    (4, "One  two\nthree"),
+    (5, "one two three"),
+    (6, "naïve café 日本語 ÀÉ ÀÉ ÀÉ ÀÉ"),
+    (7, "same line\nsame line\n\nsame line\nother"),
+    (8, "word " * 3000),
+    (9, "x" * 50_000),
+    (10, "a b c d e f g h i j " * 2000 + "end"),
+    (None, "no id"),
+    (None, None),
+    (11, "a  b   c \n\n d <|endoftext|> 1234567890123456 don't"),
+]
+
+
+def documents(spark, rows=AWKWARD):
+    """Documents with columns that clash with names the operators use inside."""
+    schema = (
+        "doc_id long, text string, lang string, source string, n_chars long, "
+        "row string, size string, rank int, _text string, root string, `a.b` string"
+    )
+    full = [(i, t, "en", "s", None if t is None else len(t), "r", "z", 1, "t", "o", "d") for i, t in rows]
+    return spark.createDataFrame(full, schema)
+
+
+def rows(df, *columns):
+    """All rows as tuples, sorted."""
+    return sorted((tuple(r[c] for c in columns or df.columns) for r in df.collect()), key=repr)

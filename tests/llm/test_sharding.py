@@ -1,0 +1,52 @@
+"""Shards: contiguous, balanced in bytes, gapless."""
+
+import zlib
+
+import pytest
+from helpers import AWKWARD, SF, documents
+
+from rowsieve.llm.sharding import shards
+
+
+def check(got, data, n):
+    def facts(i, t):
+        raw = (t or "").encode()
+        return i, len(raw) + 1, zlib.crc32(raw)
+
+    assert sorted(map(repr, ((r.doc_id, r.size, r.text_crc32) for r in got))) == sorted(repr(facts(i, t)) for i, t in data)
+    assert all(r.law == "bytes" and r.grown_shard is None and 0 <= r.shard < n for r in got)
+    ordered = sorted(got, key=lambda r: (r.shard, r.slot))
+    # Contiguous in order of doc_id, nulls first, and cut by the middle of each row.
+    keys = [(r.doc_id is not None, r.doc_id or 0, r.size, r.text_crc32) for r in ordered]
+    assert keys == sorted(keys)
+    total, before, slots = sum(r.size for r in got), 0, {}
+    for r in ordered:
+        assert r.shard == min(n - 1, (2 * before + r.size) * n // (2 * total))
+        assert r.slot == slots.get(r.shard, 0)
+        slots[r.shard] = r.slot + 1
+        before += r.size
+
+
+@pytest.mark.parametrize("n", [1, 3, 8])
+def test_awkward_rows(spark, n):
+    check(shards(documents(spark), n).collect(), AWKWARD, n)
+    assert shards(documents(spark, []), n).count() == 0
+    check(shards(documents(spark, [(1, "a")]), n).collect(), [(1, "a")], n)
+
+
+def test_one_key_for_many_rows(spark):
+    data = [(5, "same text")] * 400 + [(k, "x" * k) for k in range(100)]
+    check(shards(documents(spark, data), 8).collect(), data, 8)
+
+
+def test_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = shards(docs).collect()
+    check(got, [tuple(r) for r in docs.select("doc_id", "text").collect()], 8)
+    sizes = [sum(r.size for r in got if r.shard == k) for k in range(8)]
+    assert max(sizes) - min(sizes) <= 2 * max(r.size for r in got)
+
+
+def test_native_plan(spark):
+    plan = shards(documents(spark))._jdf.queryExecution().toString()
+    assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
