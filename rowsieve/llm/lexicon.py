@@ -10,16 +10,20 @@ KEPT_STEPS = 200_000
 
 @dataclass(frozen=True)
 class Term:
-    """``text`` as a whole word, or as the beginning of one (``stem``); ``weight``: its odds."""
+    """``text`` as a whole word, or as the beginning of one (``stem``).
+
+    ``weight``: its odds; ``edits``: how many edits still count as this term.
+    """
 
     text: str
     stem: bool
     weight: float
+    edits: int = 0
+
 
-    @property
-    def edits(self) -> int:
-        """Edits that still count as this term: none for short words and stems."""
-        return 0 if self.stem or len(self.text) < 5 else 1 if len(self.text) < 8 else 2
+def usual_edits(text: str, stem: bool) -> int:
+    """None for stems and short words, where an edit makes another word."""
+    return 0 if stem or len(text) < 5 else 1 if len(text) < 8 else 2
 
 
 class Lexicon:

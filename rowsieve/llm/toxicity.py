@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowsieve.llm.arrow import map_rows
-from rowsieve.llm.lexicon import Lexicon, Term
+from rowsieve.llm.lexicon import Lexicon, Term, usual_edits
 
 SAMPLE_ROWS = 10_000
 MAX_TERMS = 2_000
@@ -100,8 +100,8 @@ def _sample(labels: DataFrame, rows: int) -> DataFrame:
 def learn_terms(train: DataFrame, max_terms: int = MAX_TERMS) -> list[Term]:
     """Words and stems that stand mostly in toxic texts of ``train`` (doc_id, text, toxic).
 
-    A text counts a word once. A term needs a share of the toxic texts (2 in 100, at least
-    4 texts) and four toxic texts in five of those it stands in, one clean text added. A
+    A text counts a word once. A term needs a share of the toxic texts (1 in 200, at least
+    5 texts) and four toxic texts in five of those it stands in, one clean text added. A
     stem is taken if it is found in a third more toxic texts than any word that begins with
     it, so plain words stay words; what a taken stem covers is left out.
     """
@@ -123,7 +123,7 @@ def learn_terms(train: DataFrame, max_terms: int = MAX_TERMS) -> list[Term]:
     rows = (
         seen.groupBy("text", "stem")
         .agg(F.sum("toxic").alias("hits"), F.count("*").alias("texts"))
-        .where((F.col("hits") >= max(4, 0.02 * toxic)) & (F.col("hits") >= 0.8 * (F.col("texts") + 1)))
+        .where((F.col("hits") >= max(5, 0.005 * toxic)) & (F.col("hits") >= 0.8 * (F.col("texts") + 1)))
         .orderBy(F.desc("hits"), "text", "stem")
         .limit(10 * max_terms)
         .collect()
@@ -145,8 +145,29 @@ def learn_terms(train: DataFrame, max_terms: int = MAX_TERMS) -> list[Term]:
             words_[r.text] = odds
         elif 3 * r.hits > 4 * most[len(r.text)].get(r.text, 0):
             stems[r.text] = odds
-    terms = [Term(t, True, w) for t, w in stems.items()] + [Term(t, False, w) for t, w in words_.items()]
-    return sorted(terms, key=lambda t: (-t.weight, t.text))[:max_terms]
+    terms = [Term(t, True, w) for t, w in stems.items()]
+    terms += [Term(t, False, w, usual_edits(t, False)) for t, w in words_.items()]
+    return _checked(train, sorted(terms, key=lambda t: (-t.weight, t.text))[:max_terms])
+
+
+def _checked(train: DataFrame, terms: list[Term]) -> list[Term]:
+    """``terms`` without edits where words an edit away stand in clean texts too."""
+
+    def setup():
+        lexicon = Lexicon(terms)
+
+        def work(rows):
+            for text, toxic in rows:
+                found = lexicon.find(_WORD.findall(text.lower()))
+                for term in {x[1] for x in found if x and x[0]}:
+                    yield term, toxic
+
+        return work
+
+    near = map_rows(train.select("text", "toxic"), setup, "term int, toxic int").groupBy("term")
+    counts = {r.term: (r.hits, r.texts) for r in near.agg(F.sum("toxic").alias("hits"), F.count("*").alias("texts")).collect()}
+    clean = {k for k, (hits, texts) in counts.items() if hits < 0.8 * texts}
+    return [replace(t, edits=0) if k in clean else t for k, t in enumerate(terms)]
 
 
 def _logistic(rows: np.ndarray, labels: np.ndarray, penalty: float = 1.0, steps: int = 50) -> np.ndarray:
