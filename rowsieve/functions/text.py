@@ -13,10 +13,6 @@ UNICODE_SPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
-# Keys at least this long are grouped by their SHA-256, whose 64 hex digits no
-# shorter key can equal.
-DIGEST_LENGTH = 64
-
 
 def utrim(c: Column) -> Column:
     """Strip Unicode white space at both ends (Spark's plain trim knows only U+0020)."""
@@ -49,8 +45,8 @@ def norm_key(c: Column, case_sensitive: bool = False) -> Column:
 
 
 def compact_key(key: Column) -> Column:
-    """Same grouping as ``key`` with at most 64 characters to shuffle."""
-    return F.when(F.length(key) >= DIGEST_LENGTH, F.sha2(key, 256)).otherwise(key)
+    """Same grouping as ``key`` with 32 bytes to shuffle, however long it is."""
+    return F.unhex(F.sha2(key, 256))
 
 
 def parse_list(text: str) -> list[str]:

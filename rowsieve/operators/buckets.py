@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from rowsieve.functions.names import base_name, extension
+from rowsieve.operators.chunk import numbered
 from rowsieve.operators.dedup import order_key
-from rowsieve.session import checkpointed
+from rowsieve.operators.small import join_small
 from rowsieve.spec import CleanseSpec, Lineage
 
 
@@ -47,51 +48,12 @@ def source_buckets(df: DataFrame, spec: CleanseSpec, lineage: Lineage) -> DataFr
 
 def bucket_order(df: DataFrame, order) -> DataFrame:
     """Buckets numbered from 1 in order of first encounter (one row per bucket)."""
-    by_first = Window.orderBy("_bucket_pos")
-    return bucket_table(df, order).select(
-        F.row_number().over(by_first).cast("bigint").alias("bucket_ord"),
+    return numbered(bucket_table(df, order), ["_bucket_pos"]).select(
+        F.col("_rn").alias("bucket_ord"),
         F.col("_bucket_name").alias("bucket"),
     )
 
 
-def join_small(df: DataFrame, small: DataFrame, on: str, materialised: bool = False) -> DataFrame:
-    """Left join of a frame expected to be small, whatever its size turns out to be.
-
-    Its measured size decides: below the session's broadcast threshold it is
-    broadcast; above, it is repeated once per shuffle partition and joined on a
-    salt too, so that a key holding most rows of ``df`` still spreads evenly.
-    """
-    spark = df.sparkSession
-    small = small if materialised else checkpointed(small)
-    threshold = conf_bytes(spark, "spark.sql.autoBroadcastJoinThreshold")
-    size = small.agg(F.coalesce(F.sum(row_bytes(small)), F.lit(0))).first()[0]
-    if size <= threshold:
-        return df.join(F.broadcast(small), on, "left")
-    salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    salted = df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [on, "_salt"], "left").drop("_salt")
-
-
-def row_bytes(df: DataFrame):
-    """Rough size of a row: text by its bytes, arrays of numbers by their length."""
-    size = F.lit(16 * len(df.columns))
-    for field in df.schema:
-        kind = field.dataType.simpleString()
-        if kind == "string":
-            size = size + F.coalesce(F.octet_length(field.name), F.lit(0))
-        elif kind.startswith("array"):
-            size = size + F.coalesce(F.size(field.name) * 8, F.lit(0))
-    return size
-
-
-def conf_bytes(spark, name: str) -> int:
-    """A size setting of the session; it may be given as 10485760, 10485760b or 10MB."""
-    value = spark.conf.get(name).strip().lower()
-    digits = value.rstrip("bkmgt")
-    return int(digits) * {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}[value[len(digits):][:1]]
-
-
 def attach_bucket_names(df: DataFrame, buckets: DataFrame, materialised: bool = False) -> DataFrame:
     """Replace ``_bucket`` by its first spelling and add ``_bucket_pos`` to sort by."""
     keyed = df.withColumn("_bucket_key", F.lower("_bucket"))

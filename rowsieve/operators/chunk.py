@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rowsieve.functions.names import clean_file_name, two_digits
-from rowsieve.operators.buckets import join_small
-from rowsieve.session import scratch_path, stage
+from rowsieve.operators.small import join_small
+from rowsieve.session import checkpointed, scratch_path, stage
 from rowsieve.spec import Chunking, CleanseSpec, OutputFormat
 
+CHUNK_RUN = 4096
 LOCAL_BITS = 33  # monotonically_increasing_id: partition number above, row in partition below
 
 
@@ -51,6 +52,13 @@ def row_numbers(staged: DataFrame, group: str | None = None) -> DataFrame:
     )
 
 
+def numbered(df: DataFrame, sort_cols, group: str | None = None) -> DataFrame:
+    """``df`` with ``_rn`` from 1 in order (within ``group``), for frames of a row per bucket or file."""
+    ranged = df.repartitionByRange(*sort_cols).sortWithinPartitions(*sort_cols)
+    placed = checkpointed(ranged.withColumn("_rid", F.monotonically_increasing_id()))
+    return row_numbers(placed, group).drop("_rid")
+
+
 def chunk_of(rn: Column, size: int) -> Column:
     return (F.floor((rn - 1) / F.lit(max(1, size))) + 1).cast("bigint")
 
@@ -70,7 +78,11 @@ def chunk_sizes(totals: DataFrame, rows: str, size: int) -> DataFrame:
     size = max(1, size)
     n = F.col(rows)
     chunks = F.greatest(F.lit(1), F.ceil(n / F.lit(size))).cast("bigint")
-    out = totals.withColumn("chunks", chunks).withColumn("chunk", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("chunks"))))
+    # One merged frame can have any number of chunks: runs of them are dealt to tasks first.
+    first = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("chunks"), F.lit(CHUNK_RUN)))
+    runs = totals.withColumn("chunks", chunks).withColumn("_run", first).repartition("_run")
+    last = F.least(F.col("chunks"), F.col("_run") + (CHUNK_RUN - 1))
+    out = runs.withColumn("chunk", F.explode(F.sequence(F.col("_run"), last))).drop("_run")
     return out.withColumn("chunk_rows", F.least(F.lit(size), n - (F.col("chunk") - 1) * size).cast("bigint"))
 
 
@@ -102,12 +114,13 @@ def manifest(counts: DataFrame, spec: CleanseSpec, run: str) -> DataFrame:
     bucket = F.col("bucket")
     name, several = bucket, F.col("chunks") > 1
     if csv:
-        label = bucket if one_name else clean_file_name(bucket)
-        if chunking is Chunking.NONE:
-            alone = F.count("*").over(Window.partitionBy(F.lit(0))) == 1  # one row per bucket
-            label = F.when(alone, F.lit(spec.unique_name)).otherwise(label)
+        label = F.concat(F.lit("_"), bucket if one_name else clean_file_name(bucket))
+        if chunking is Chunking.NONE and totals.limit(2).count() == 1:
+            # A single table without audit tables is the run's own file.
+            audited = spec.emit_duplicates or spec.emit_invalid
+            label = F.lit(f"_{spec.unique_name}" if audited else "")
         number = F.when(several, F.concat(F.lit("_"), two_digits(F.col("chunk")))).otherwise(F.lit(""))
-        file = F.concat(F.lit(run + "_"), label, number, F.lit(".csv"))
+        file = F.concat(F.lit(run), label, number, F.lit(".csv"))
     elif chunking is Chunking.SEPARATE_FILES:
         number = F.when(several, F.concat(F.lit("_part"), two_digits(F.col("chunk")))).otherwise(F.lit(""))
         file = F.concat(F.lit(run), number)

@@ -3,16 +3,32 @@
 from __future__ import annotations
 
 import logging
+import re
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from rowsieve.functions.text import UNICODE_SPACE, canon_str, is_blank
-from rowsieve.spec import Lineage
+from rowsieve.spec import Lineage, SpecError
 
 log = logging.getLogger(__name__)
 
 # Names of the audit columns; input columns of these names are dropped.
 SOURCE, REASON = "_Source", "_Reason"
+AUDIT = frozenset({SOURCE.lower(), REASON.lower()})
+
+# Names the library gives to columns while it works; no input column may have one.
+INTERNAL = frozenset(
+    "_at _base _block _bucket _bucket_key _bucket_name _bucket_pos _cells _chunk _competes _error _file _file_ord "
+    "_first _from _given _key _kind _line _n _part _parts _path_key _pid _piece _pos _rank _read _rid _rn _row _run "
+    "_salt _scope _scope_file _sheet _sheet_key _sheet_ord _shift _status _stem".split()
+)
+
+
+def check_names(columns) -> None:
+    """Refuse names that would be lost or mixed up on the way."""
+    taken = sorted({c for c in columns if header_key(c) in INTERNAL or re.fullmatch("_k[0-9]+|_in[0-9]+", header_key(c))})
+    if taken:
+        raise SpecError(f"columns {taken} are reserved; rename them first")
 
 
 def header_key(name: str) -> str:
@@ -62,8 +78,7 @@ def blank_test(df: DataFrame, name: str) -> Column:
 
 
 def drop_reserved(df: DataFrame) -> DataFrame:
-    reserved = {SOURCE.lower(), REASON.lower()}
-    return df.drop(*[col_ref(c) for c in df.columns if header_key(c) in reserved])
+    return df.drop(*[col_ref(c) for c in df.columns if header_key(c) in AUDIT])
 
 
 def data_columns(df: DataFrame, lineage: Lineage) -> list[str]:
@@ -77,7 +92,7 @@ def merge_headers(headers) -> list[str]:
     for header in headers:
         for name in header:
             trimmed = (name or "").strip(UNICODE_SPACE)
-            if trimmed and trimmed not in (SOURCE, REASON):
+            if trimmed and trimmed.lower() not in AUDIT:
                 names.setdefault(trimmed.lower(), trimmed)
     return list(names.values())
 

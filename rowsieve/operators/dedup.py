@@ -8,6 +8,7 @@ the unique row position, which spreads evenly however often a key occurs.
 from __future__ import annotations
 
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -105,10 +106,32 @@ def mark_first(df: DataFrame, first: DataFrame, order) -> DataFrame:
     so neither a hot key nor a mass of rows without one ends up in one task.
     """
     placed = df.withColumn("_pos", order_key(df, order))
+    if not library_made(order):
+        missing = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in order])
+        placed = placed.withColumn("_pos", F.when(missing, refuse("has a null")).otherwise(F.col("_pos")))
     found = placed.join(first.withColumn("_first", F.lit(True)), "_pos", "left")
     return found.withColumn("_first", F.coalesce("_first", F.lit(False))).drop("_pos")
 
 
+def library_made(order) -> bool:
+    """Positions that the library assigns are unique and not null."""
+    return set(order) <= POSITIONS
+
+
+def repeated(df: DataFrame, order, like: DataFrame) -> DataFrame:
+    """No row, in the shape of ``like`` (``_pos``); the query fails if two rows share a position.
+
+    Only the columns of ``order`` are read.
+    """
+    times = df.groupBy(*[F.col(c) for c in order]).count().filter("count > 1")
+    return times.select(refuse("repeats").cast(like.schema["_pos"].dataType).alias("_pos"))
+
+
+def refuse(what: str) -> Column:
+    """Fail the query: which of several rows comes first would be left to chance."""
+    return F.raise_error(F.lit(f"the row order {what}; Lineage.order must be unique and not null"))
+
+
 def keep_first(df: DataFrame, group_cols, order, among: Column | None = None) -> DataFrame:
     """Only the earliest row of each group, and every row that does not meet ``among``.
 

@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from rowsieve.functions.names import SHEET_NAME_MAX, clean_sheet_name
+from rowsieve.operators.chunk import numbered
+from rowsieve.operators.small import join_small
 
-# Numbers tried after a taken name.
-FIRST_SUFFIX, LAST_SUFFIX = 2, 999
-NUMBERED = r" \(([2-9]|[1-9][0-9]{1,2})\)$"
+# Fixed value: the first number tried after a taken name.
+FIRST_SUFFIX = 2
+NUMBERED = r" \(([2-9]|[1-9][0-9]+)\)$"
 # A suffix in full or cut short, any number of times, at the end of a name.
-SUFFIX_TAIL = r"( \(?[0-9]{0,3}\)?)+$"
-SHORTEST_BASE = SHEET_NAME_MAX - len(f" ({LAST_SUFFIX})")
+SUFFIX_TAIL = r"( \(?[0-9]*\)?)+$"
+SHORTEST_BASE = SHEET_NAME_MAX - len(" (99999999)")
 
 
 def name_stem(name: Column) -> Column:
@@ -27,29 +30,38 @@ def sanitize_names(df: DataFrame, name: str, order, within=()) -> DataFrame:
     """Add ``sheet_name``: valid, and unlike all names given to earlier rows.
 
     Names must differ among rows that agree on ``within``, the workbook for example.
-    A name can be taken only by one with the same base or by a numbered one.
-    Others keep their cleaned name without looking further. At most 999 rows can
-    find a free name from the same base, so the rows settled in order per stem are
-    bounded however often a name repeats; all later ones keep the cleaned name.
+    A name can be taken only by one with the same base or by a numbered one, so a
+    row's rank among those of its base is its number, however often a name repeats
+    and however many tasks its rows are dealt to. Only where repeated names meet
+    numbered ones, or names so long that a number cuts them short, are the rows of
+    one stem settled in order.
     """
     cleaned = df.withColumn("_base", clean_sheet_name(F.col(name)))
-    slim = cleaned.select(
-        *order, *[F.col(c).alias(f"_in{i}") for i, c in enumerate(within)], "_base", F.lower("_base").alias("_key")
-    )
     book = [f"_in{i}" for i in range(len(within))]
-    per_key = Window.partitionBy(*book, "_key")
-    ranked = (
-        slim.withColumn("_rank", F.row_number().over(per_key.orderBy(*order)))
-        .filter(F.col("_rank") <= LAST_SUFFIX)
-        .withColumn("_same", F.count("*").over(per_key))
+    slim = cleaned.select(*order, *[F.col(c).alias(b) for c, b in zip(within, book)], "_base").withColumn(
+        "_group", F.struct(*book, F.lower("_base").alias("key"))
+    )
+    ranked = numbered(slim, ["_group", *order], "_group")
+    suffix = F.concat(F.lit(" ("), F.col("_rn").cast("string"), F.lit(")"))
+    with_number = F.concat(F.left("_base", F.lit(SHEET_NAME_MAX) - F.length(suffix)), suffix)
+    ranked = ranked.withColumns(
+        {
+            "_stem": name_stem(F.col("_base")),
+            "_given": F.when(F.col("_rn") == 1, F.col("_base")).otherwise(with_number),
+            "_meets": F.col("_base").rlike(NUMBERED)
+            | ((F.col("_rn") > 1) & (F.length("_base") + F.length(suffix) > SHEET_NAME_MAX)),
+        }
     )
-    touched = ranked.filter((F.col("_same") > 1) | F.col("_base").rlike(NUMBERED)).select(
-        *order, *book, "_base", name_stem(F.col("_base")).alias("_stem")
+    stems = ranked.groupBy(F.struct(*book, "_stem").alias("_at")).agg(
+        ((F.max("_rn") > 1) & F.max("_meets")).alias("_unsure")
     )
-    schema = T.StructType([f for f in touched.schema if f.name in order] + [T.StructField("_given", T.StringType())])
-    settled = touched.groupBy(*book, "_stem").applyInPandas(_settle([f.name for f in schema][:-1]), schema)
+    flagged = join_small(ranked.withColumn("_at", F.struct(*book, "_stem")), stems.filter("_unsure"), "_at")
+    unsure = F.coalesce("_unsure", F.lit(False))
+    schema = T.StructType([f for f in flagged.schema if f.name in order] + [T.StructField("_given", T.StringType())])
+    settled = flagged.filter(unsure).groupBy("_at").applyInPandas(_settle([f.name for f in schema][:-1]), schema)
+    given = flagged.filter(~unsure).select(*schema.names).unionByName(settled)
     return (
-        cleaned.join(settled, list(order), "left")
+        cleaned.join(given, list(order), "left")
         .withColumn("sheet_name", F.coalesce("_given", "_base"))
         .drop("_base", "_given")
     )
@@ -58,14 +70,14 @@ def sanitize_names(df: DataFrame, name: str, order, within=()) -> DataFrame:
 def _candidates(base: str, start: int) -> Iterator[tuple[int, str]]:
     if start < FIRST_SUFFIX:
         yield 1, base
-    for i in range(max(start, FIRST_SUFFIX), LAST_SUFFIX + 1):
+    for i in count(max(start, FIRST_SUFFIX)):
         suffix = f" ({i})"
         yield i, base[: SHEET_NAME_MAX - len(suffix)] + suffix
 
 
 def _settle(order):
     def settle(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
+        rows = rows.sort_values(list(order), kind="stable")
         taken: set[str] = set()
         tried: dict[str, int] = {}  # names never become free again
         given = []

@@ -6,9 +6,10 @@ the rest are duplicates, so nothing wide is shuffled and no row order is needed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from rowsieve.operators.buckets import source_buckets
+from rowsieve.operators.chunk import numbered
 from rowsieve.operators.columns import REASON, data_columns
 from rowsieve.operators.dedup import with_keys
 from rowsieve.operators.hygiene import PART, drop_blank_rows
@@ -48,9 +49,8 @@ def status_counts(df: DataFrame, spec: CleanseSpec, lineage: Lineage, by, rules=
 
 def numbered_counts(counts: DataFrame, buckets: DataFrame) -> DataFrame:
     """``counts`` (by ``_bucket_key``) for all ``buckets``, numbered in order of encounter."""
-    by_first = Window.orderBy("_bucket_pos")  # one row per bucket
-    return buckets.join(counts, "_bucket_key", "left").select(
-        F.row_number().over(by_first).cast("bigint").alias("bucket_ord"),
+    return numbered(buckets.join(counts, "_bucket_key", "left"), ["_bucket_pos"]).select(
+        F.col("_rn").alias("bucket_ord"),
         F.col("_bucket_name").alias("bucket"),
         *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in COUNTS],
     )
@@ -77,10 +77,14 @@ def run_totals(df: DataFrame, spec: CleanseSpec, lineage: Lineage, rules=()) ->
 
 
 def reason_counts(df: DataFrame, spec: CleanseSpec, lineage: Lineage, rules=()) -> DataFrame:
+    """Invalid rows per bucket (first spelling) and reason."""
     rows = prepare(df, spec, lineage, rules).filter(F.col(REASON).isNotNull())
-    return rows.groupBy(F.col(BUCKET).alias("bucket"), F.col(REASON).alias("reason")).agg(
+    counts = rows.groupBy(F.lower(BUCKET).alias("_bucket_key"), F.col(REASON).alias("reason")).agg(
         F.count("*").alias("n")
     )
+    return counts.join(source_buckets(df, spec, lineage), "_bucket_key").select(
+        F.col("_bucket_name").alias("bucket"), "reason", "n"
+    )
 
 
 def file_counts(df: DataFrame, lineage: Lineage, columns) -> DataFrame:
@@ -107,7 +111,8 @@ def totals_by_file(df: DataFrame, spec: CleanseSpec, lineage: Lineage, rules=())
 def file_outcomes(files: DataFrame, counts: DataFrame) -> DataFrame:
     """Status per admitted file.
 
-    ``files`` has ``file``, ``error`` (null if readable) and ``sheets_selected``;
+    ``files`` has ``file``, ``error`` (null if readable), ``sheets_selected`` and, where
+    there is something to say, ``note``;
     ``counts`` comes from ``file_counts``. Both hold one row per file.
     """
     status = (
@@ -115,8 +120,9 @@ def file_outcomes(files: DataFrame, counts: DataFrame) -> DataFrame:
         .when(F.col("sheets_selected") == 0, F.lit("Skipped"))
         .otherwise(F.lit("Processed"))
     )
+    note = F.col("note") if "note" in files.columns else F.lit(None).cast("string")
     message = F.coalesce(
-        F.col("error"), F.when(F.col("sheets_selected") == 0, F.lit("No matching sheets")), F.lit("")
+        F.col("error"), note, F.when(F.col("sheets_selected") == 0, F.lit("No matching sheets")), F.lit("")
     )
     return files.join(counts.select("file", "rows_read"), "file", "left").select(
         "file",

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from rowsieve.functions.rules import reason
 from rowsieve.operators.buckets import attach_bucket_names, source_buckets, with_bucket
-from rowsieve.operators.columns import REASON, SOURCE, col_ref, data_columns, drop_reserved, text_of
-from rowsieve.operators.dedup import keep_first, mark_first, winners, with_keys
+from rowsieve.operators.columns import REASON, SOURCE, check_names, col_ref, data_columns, drop_reserved, text_of
+from rowsieve.operators.dedup import keep_first, library_made, mark_first, repeated, winners, with_keys
 from rowsieve.operators.hygiene import PART, drop_blank_rows, explode_multi
-from rowsieve.spec import CleanseSpec, KeyMode, Lineage, SpecError
+from rowsieve.spec import CleanseSpec, KeyMode, Lineage
 
 UNIQUE, DUPLICATE, INVALID = "unique", "duplicate", "invalid"
 STATUS = "_status"
@@ -25,9 +25,7 @@ def prepare(df: DataFrame, spec: CleanseSpec, lineage: Lineage, rules=(), blank_
     spec.check()
     rows = drop_reserved(df)
     columns = data_columns(rows, lineage)
-    taken = {BUCKET, PART, STATUS} & {c.lower() for c in columns}
-    if taken:
-        raise SpecError(f"columns {sorted(taken)} are reserved; rename them first")
+    check_names(columns)
     if lineage.blank_rows and not blank_rows:
         rows = drop_blank_rows(rows, columns)
     if explodes(spec):
@@ -91,7 +89,10 @@ def cleanse(df: DataFrame, spec: CleanseSpec, lineage: Lineage, rules=()) -> Dat
     # A row with a single non-empty key is not blank: its other columns need not be read.
     single = spec.key_mode is KeyMode.SINGLE
     contenders, _, _ = with_groups(df, spec, lineage, rules, blank_rows=single)
-    marked = mark_first(rows, winners(contenders.filter(competes), group, order), order)
+    first = winners(contenders.filter(competes), group, order)
+    if not library_made(lineage.order):
+        first = first.unionByName(repeated(df, lineage.order, first))
+    marked = mark_first(rows, first, order)
     status = (
         F.when(is_invalid, F.lit(INVALID))
         .when(F.col("_first") | ~competes, F.lit(UNIQUE))

@@ -237,8 +237,18 @@ ORACLE_SQL = {
     "incremental": SHEETS + f" SELECT {TOTALS} FROM routed GROUP BY sheet",
     "sanitize_names": """WITH n AS (SELECT p_partkey, left(replace(p_type || '/' || p_name, '/', '_'), 31) AS base FROM part),
       r AS (SELECT *, row_number() OVER (PARTITION BY lower(base) ORDER BY p_partkey) AS rn FROM n)
-      SELECT p_partkey, CASE WHEN rn = 1 OR rn > 999 THEN base
+      SELECT p_partkey, CASE WHEN rn = 1 THEN base
         ELSE left(base, 31 - length(' (' || rn || ')')) || ' (' || rn || ')' END AS sheet_name FROM r""",
 }
 # Rows of a workbook come from files whose order is that of their names.
 ORACLE_SQL["workbook_run"] = SHEETS + f""" SELECT CAST(contact_id AS VARCHAR) AS contact_id, {PART}, bucket, status FROM routed"""
+ORACLE_SQL |= {
+    "sanitize_names_many": """WITH r AS (SELECT c_custkey, 'Customers_ all' AS base, row_number() OVER (ORDER BY c_custkey) AS rn FROM customer)
+      SELECT c_custkey, CASE WHEN rn = 1 THEN base ELSE left(base, 31 - length(' (' || rn || ')')) || ' (' || rn || ')' END AS sheet_name FROM r""",
+    "scan_csv_split": """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
+      'say "' || l_linestatus || '",' || chr(10) || l_returnflag AS note FROM lineitem""",
+    "reserved_columns": "SELECT min(s_suppkey) AS suppkey, 's_suppkey,s_name' AS columns FROM supplier GROUP BY lower(trim(s_name))",
+    "in_place_large": """SELECT o_custkey, min(o_orderkey) AS o_orderkey, arg_min(o_orderstatus, o_orderkey) AS o_orderstatus
+      FROM orders GROUP BY o_custkey""",
+    "incremental_default_folder": SHEETS + f" SELECT {TOTALS} FROM routed WHERE sheet = 'Vendors' GROUP BY sheet",
+}

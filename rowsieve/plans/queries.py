@@ -127,6 +127,12 @@ def sanitize_sheet_names(spark, sf):
     return sanitize_names(df, "name", ["p_partkey"]).select("p_partkey", "sheet_name")
 
 
+def sanitize_names_many(spark, sf):
+    """One name for all rows: each gets a number of its own."""
+    df = table(spark, sf, "customer").select("c_custkey", F.lit("Customers: all").alias("name"))
+    return sanitize_names(df, "name", ["c_custkey"]).select("c_custkey", "sheet_name")
+
+
 def output_names(spark, sf):
     df = table(spark, sf, "orders")
     return df.select(
@@ -437,6 +443,34 @@ def scan_csv(spark, sf):
     return rows.select(kind, "id", F.col("Name").alias("name"), "balance", F.col("Segment").alias("segment"), F.col("Key").alias("key"))
 
 
+def scan_csv_split(spark, sf):
+    """One CSV file larger than a split, so that many tasks find its records."""
+    root = scratch_path(spark, "split")
+    rows = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.concat(F.lit('say "'), "l_linestatus", F.lit('",\n'), "l_returnflag").alias("note")
+    )
+    write_csv(rows.coalesce(1), root)
+    name = "spark.sql.files.maxPartitionBytes"
+    saved = {n: spark.conf.get(n) for n in (name, "spark.sql.files.openCostInBytes")}
+    try:
+        for n in saved:
+            spark.conf.set(n, str(1 << 20))
+        found = read.read_sources(spark, [root]).rows
+    finally:
+        for n, value in saved.items():
+            spark.conf.set(n, value)
+    key = [F.col(c).cast("bigint").alias(c) for c in ("l_orderkey", "l_linenumber")]
+    return found.select(*key, "note")
+
+
+def reserved_columns(spark, sf):
+    """Input columns named like the audit columns are left out, in any case of letters."""
+    df = table(spark, sf, "supplier").select("s_suppkey", "s_name", F.lit(1).alias("_SOURCE"), F.lit(2).alias("_reason"))
+    kept = route.unique_rows(df, CleanseSpec(key_columns=("s_name",)), Lineage(order=("s_suppkey",)))
+    own = route.user_columns(kept, Lineage(order=()))
+    return kept.select(F.col("s_suppkey").cast("bigint").alias("suppkey"), F.lit(",".join(own)).alias("columns"))
+
+
 def _workbooks(spark, sf):
     root = scratch_path(spark, "books")
     rows = contacts(spark, sf).repartitionByRange(8, "contact_id").sortWithinPartitions("contact_id")
@@ -511,6 +545,27 @@ def in_place(spark, sf):
     return back.select(F.col("contact_id").cast("bigint").alias("contact_id"), "email", "segment")
 
 
+def in_place_large(spark, sf):
+    """All orders as one CSV file, replaced by the first order of each customer."""
+    root = scratch_path(spark, "inplace")
+    orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderstatus").orderBy("o_orderkey")
+    write_csv(orders.coalesce(1), root)
+    spec = CleanseSpec(key_columns=("o_custkey",), destination=Destination.IN_PLACE)
+    replace_in_place(spark, read.read_sources(spark, [root], spec).rows, spec, keep_backup=False)
+    back = read.read_sources(spark, [root]).rows
+    return back.select(*[F.col(c).cast("bigint").alias(c) for c in ("o_custkey", "o_orderkey")], "o_orderstatus")
+
+
+def incremental_default_folder(spark, sf):
+    """Without an output folder three calls on one file give one batch."""
+    root = scratch_path(spark, "incremental")
+    write_csv(contacts(spark, sf).filter("sheet = 'Vendors'"), f"{root}/in")
+    for _ in range(3):
+        run_incremental(spark, f"{root}/in", replace(EXPLODED, **ALL_BUCKETS), f"{root}/checkpoint")
+    counts = spark.read.option("basePath", f"{root}/in/_processed").parquet(f"{root}/in/_processed/*/counts")
+    return counts.select("rows_read", "unique_rows", "duplicate_rows", "invalid_rows")
+
+
 def incremental(spark, sf):
     """Two sheets arriving one after the other as files; each run takes the new ones only."""
     root = scratch_path(spark, "incremental")
@@ -539,6 +594,7 @@ QUERIES = {
         chunk_files_manifest, chunk_sheets_manifest, chunk_csv_manifest,
         admit_files, first_n_sheets, select_by_glob, scan_headers, scan_table, scan_csv, scan_workbook, workbook_run,
         sink_csv, sink_dataset, in_place, incremental,
+        sanitize_names_many, scan_csv_split, reserved_columns, in_place_large, incremental_default_folder,
     )
 }
 QUERIES["sanitize_names"] = sanitize_sheet_names

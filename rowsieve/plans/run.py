@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import replace
 from datetime import datetime
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, functions as F
 
 from rowsieve.operators.buckets import source_buckets
 from rowsieve.operators.hygiene import drop_blank_rows
 from rowsieve.operators.report import file_counts, file_outcomes
 from rowsieve.operators.route import DUPLICATE, INVALID, UNIQUE
-from rowsieve.session import drop_path, scratch_path, sized_shuffles, stage
+from rowsieve.session import dropped, scratch_path, sized_shuffles, stage
 from rowsieve.sinks.inplace import replace_in_place
 from rowsieve.sinks.write import RunResult, write_run
 from rowsieve.sources.read import Sources, read_sources
@@ -43,13 +44,14 @@ def run(spark: SparkSession, paths: list[str], spec: CleanseSpec, name: str | No
     spec.check()
     if not paths:
         raise SpecError("no files to process")
+    began = time.monotonic()
     sources = read_sources(spark, paths, spec)
     path = output_folder(paths, spec, name or run_name())
     if sources.rows is None:
         outcomes(sources).write.mode(mode).parquet(f"{path}/files")
-        return RunResult(path, 0, 0, 0, 0)
+        return concluded(RunResult(path, 0, 0, 0, 0), sources, began)
     scratch = scratch_path(spark, "ingest")
-    with sized_shuffles(spark, sources.nbytes):
+    with dropped(spark, scratch, *sources.scratch), sized_shuffles(spark, sources.nbytes):
         # Files are decoded once; every later pass reads the columns it needs from the copy.
         rows = stage(drop_blank_rows(sources.rows, sources.columns), scratch)
         lineage = replace(FILE_LINEAGE, blank_rows=False)
@@ -60,8 +62,16 @@ def run(spark: SparkSession, paths: list[str], spec: CleanseSpec, name: str | No
         else:
             buckets = source_buckets(sources.sheets, spec, lineage)
             result = write_run(rows, spec, lineage, path, mode=mode, buckets=buckets)
-            files = file_outcomes(sources.outcomes, file_counts(rows, lineage, []))
+            missing = ", ".join(map(repr, result.missing_columns))
+            said = f"Column not found: {missing}" if missing else None
+            noted = sources.outcomes.withColumn("note", F.coalesce("note", F.lit(said)))
+            files = file_outcomes(noted, file_counts(rows, lineage, []))
             files.write.mode(mode).parquet(f"{path}/files")
-    for used in filter(None, (scratch, sources.scratch)):
-        drop_path(spark, used)
-    return result
+    return concluded(result, sources, began)
+
+
+def concluded(result: RunResult, sources: Sources, began: float) -> RunResult:
+    """``result`` with what became of the files, and the time taken."""
+    failed = sources.outcomes.filter(F.col("error").isNotNull()).orderBy("file").limit(1).collect()
+    error = f"{failed[0]['file']}: {failed[0]['error']}" if failed else None
+    return replace(result, success=not failed, error=error, elapsed=time.monotonic() - began)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -28,8 +29,22 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+_SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/rowsieve-{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is left there is dropped when Python ends."""
+    path = f"{scratch_root(spark)}/rowsieve-{label}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+@atexit.register
+def _drop_scratch() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        for path in list(_SCRATCH):
+            drop_path(spark, path)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -48,7 +63,7 @@ def stage(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-SHUFFLE_TARGET = 128 << 20
+SHUFFLE_TARGET = 1 << 30
 
 
 @contextmanager
@@ -82,3 +97,15 @@ def qualified(spark: SparkSession, path: str) -> str | None:
 def drop_path(spark: SparkSession, path: str) -> None:
     fs, p = hadoop_path(spark, path)
     fs.delete(p, True)
+    if path in _SCRATCH:
+        _SCRATCH.remove(path)
+
+
+@contextmanager
+def dropped(spark: SparkSession, *paths: str | None):
+    """Drop ``paths`` at the end, also when the work on them fails."""
+    try:
+        yield
+    finally:
+        for path in filter(None, paths):
+            drop_path(spark, path)

@@ -4,21 +4,18 @@ from __future__ import annotations
 
 import csv
 import io
-import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rowsieve.functions.text import UNICODE_SPACE
-from rowsieve.operators.buckets import conf_bytes, join_small
-from rowsieve.operators.columns import REASON, SOURCE, col_ref, header_key, merge_headers
-from rowsieve.sources.files import open_input, plain_file, plain_path, row_position, task_count
-from rowsieve.sources.records import files_with_long_records, scan_records
+from rowsieve.operators.small import join_small
+from rowsieve.operators.columns import AUDIT, col_ref, header_key, merge_headers
+from rowsieve.sources.files import open_input, plain_path, task_count
+from rowsieve.sources.records import scan_records
 
 HEAD_BYTES = 1 << 16
-WHOLE, LINES, RECORDS = "whole", "lines", "records"
-MAX_HEADER_SCANS = 16  # beyond, one scan serves all headers
 HEADER_SCHEMA = "path string, file_ord int, header array<string>, error string"
 
 
@@ -60,105 +57,38 @@ def usable_header(header) -> list[tuple[int, str]]:
     seen, out = set(), []
     for i, raw in enumerate(header):
         name = (raw or "").strip(UNICODE_SPACE)
-        if name and name not in (SOURCE, REASON) and name.lower() not in seen:
+        if name and name.lower() not in AUDIT and name.lower() not in seen:
             seen.add(name.lower())
             out.append((i, name))
     return out
 
 
-def scan_plain(spark: SparkSession, paths: list[str], width: int, multiline: bool) -> DataFrame:
-    """``_file``, ``_row`` and the cells ``c0``, ``c1``, ... of the data rows, as text."""
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(max(1, width))])
-    scan = (
-        spark.read.schema(schema)
-        .options(header=True, multiLine=multiline, quote='"', escape='"', enforceSchema=True)
-        .options(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, mode="PERMISSIVE")
-        .csv(paths)
-    )
-    return scan.select(
-        plain_file().alias("_file"), row_position(spark, splittable=not multiline).alias("_row"), *schema.names
-    )
+def read_csv(spark: SparkSession, files: DataFrame, headers: DataFrame, shapes) -> tuple[DataFrame, str]:
+    """(all CSV files of ``files`` as one frame with lineage, the staged copy it reads).
 
-
-def scan_cells(spark: SparkSession, paths: list[str], width: int, kinds: dict[str, str]) -> DataFrame:
-    """Rows of files of any size: each file is read in the way ``file_kinds`` gives."""
-    scans = {
-        WHOLE: lambda some: scan_plain(spark, some, width, multiline=True),
-        LINES: lambda some: scan_plain(spark, some, width, multiline=False),
-        RECORDS: lambda some: scan_records(spark, some, width),
-    }
-    rows = None
-    for kind, scan in scans.items():
-        some = [p for p in paths if kinds[p] == kind]
-        if some:
-            part = scan(some)
-            rows = part if rows is None else rows.unionByName(part)
-    return rows
-
-
-def file_kinds(spark: SparkSession, files: DataFrame) -> dict[str, str]:
-    """How to read each file: one that fits a task as a whole, a larger one split by
-    lines, or by records if cells of it run over line ends."""
-    whole = conf_bytes(spark, "spark.sql.files.maxPartitionBytes")
-    found = files.collect()
-    large = [f["path"] for f in found if f["length"] > whole]
-    long = files_with_long_records(spark, large) if large else set()
-    as_named = {f: re.sub("^file:/+", "file:/", f) for f in large}
-    return {
-        f["path"]: WHOLE if f["path"] not in as_named else RECORDS if as_named[f["path"]] in long else LINES
-        for f in found
-    }
-
-
-def read_csv(spark: SparkSession, files: DataFrame, headers) -> DataFrame:
-    """All CSV files of ``files`` as one frame, with lineage; all cells are text.
-
-    ``headers`` are the rows of ``read_headers``. Columns are read by position and
-    named afterwards, so headers that differ in case or repeat never confuse the
-    reader.
+    ``headers`` come from ``read_headers``, ``shapes`` are the distinct ones with the
+    first ``file_ord`` of each: they decide the columns. Columns are read by position
+    and named afterwards, so headers that differ in case or repeat never confuse the
+    reader. One scan serves all files, whatever their size: it finds records by many
+    tasks and then takes each cell from the place that the file's header gives. All
+    cells are text.
     """
-    groups: dict[tuple, list] = {}
-    for h in sorted(headers, key=lambda h: h["file_ord"]):
-        groups.setdefault(tuple(h["header"]), []).append(h)
-    columns = merge_headers(groups)
-    scan = scan_per_header if len(groups) <= MAX_HEADER_SCANS else scan_by_position
-    return scan(spark, files, groups, columns, file_kinds(spark, files)).select(
-        "_file", "_file_ord", F.lit("").alias("_sheet"), F.lit(0).alias("_sheet_ord"), "_row",
-        *[col_ref(c) for c in columns],
-    )
-
-
-def file_ords(files: DataFrame) -> DataFrame:
-    return files.select(plain_path(F.col("path")).alias("_file"), F.col("file_ord").alias("_file_ord"))
-
-
-def scan_per_header(spark, files, groups, columns, kinds) -> DataFrame:
-    """One scan per distinct header: unused columns are not even parsed."""
-    spelling = {header_key(c): c for c in columns}
-    rows = None
-    for header, heads in groups.items():
-        cells = scan_cells(spark, [h["path"] for h in heads], len(header), kinds)
-        named = [F.col(f"c{i}").alias(spelling[header_key(n)]) for i, n in usable_header(header)]
-        part = cells.select("_file", "_row", *named)
-        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
-    return join_small(rows, file_ords(files), "_file")
-
-
-def scan_by_position(spark, files, groups, columns, kinds) -> DataFrame:
-    """One scan for any number of headers: each file brings the place of every column."""
+    ordered = [h["header"] for h in sorted(shapes, key=lambda h: h["file_ord"])]
+    columns = merge_headers(ordered)
     at = {header_key(c): j for j, c in enumerate(columns)}
     places = []
-    for header, heads in groups.items():
+    for header in ordered:
         place = [0] * len(columns)  # 1-based; 0 for a column the file lacks
         for i, name in usable_header(header):
             place[at[header_key(name)]] = i + 1
-        places += [(h["file_ord"], place) for h in heads]
-    width = max(len(header) for header in groups)
-    cells = scan_cells(spark, [h["path"] for heads in groups.values() for h in heads], width, kinds)
-    packed = cells.select("_file", "_row", F.array(*[f"c{i}" for i in range(max(1, width))]).alias("_cells"))
-    placed = spark.createDataFrame(places, "_file_ord int, _places array<int>")
-    rows = join_small(packed, file_ords(files).join(placed, "_file_ord"), "_file")
-    return rows.select(
-        "_file", "_file_ord", "_row",
+        places.append((header, place))
+    placed = headers.join(spark.createDataFrame(places, "header array<string>, _places array<int>"), "header").select(
+        plain_path(F.col("path")).alias("_file"), F.col("file_ord").alias("_file_ord"), "_places"
+    )
+    paths = [r["path"] for r in files.join(headers.select("file_ord"), "file_ord", "left_semi").select("path").collect()]
+    cells, staged = scan_records(spark, paths, max(map(len, ordered)))
+    rows = join_small(cells, placed, "_file").select(
+        "_file", "_file_ord", F.lit("").alias("_sheet"), F.lit(0).alias("_sheet_ord"), "_row",
         *[F.get("_cells", F.get("_places", F.lit(j)) - 1).alias(c) for j, c in enumerate(columns)],
     )
+    return rows, staged

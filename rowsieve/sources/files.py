@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from concurrent.futures import ThreadPoolExecutor
-from urllib.parse import unquote, urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rowsieve.functions.names import extension
 from rowsieve.functions.text import is_blank
-from rowsieve.operators.buckets import conf_bytes
+from rowsieve.operators.small import conf_bytes
 from rowsieve.operators.dedup import keep_first
 from rowsieve.session import qualified
 
@@ -17,6 +17,8 @@ from rowsieve.session import qualified
 CSV_EXTENSIONS = (".csv",)
 WORKBOOK_EXTENSIONS = (".xlsx", ".xlsm")
 
+SAME_NAME = "Another file differs in upper and lower case only"
+
 BLOCK_BITS, ROW_BITS = 20, 33  # a block starts at a multiple of a mebibyte
 FILES_SCHEMA = "path string, length bigint, file_ord int"
 
@@ -40,8 +42,14 @@ def extension_of(path: str) -> str | None:
     return next((e for e in (*CSV_EXTENSIONS, *WORKBOOK_EXTENSIONS) if path.lower().endswith(e)), None)
 
 
-def list_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[str]]:
-    """(``path``, ``file_ord``, ``length`` of admitted files, given paths that do not exist).
+def hidden(path: str) -> bool:
+    """Names that Spark's readers pass over, wherever they are given."""
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+    return name.startswith((".", "_"))
+
+
+def list_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """(``path``, ``file_ord``, ``length`` of admitted files, given paths that are not read and why).
 
     Files come in the order of ``paths``, inside a folder by path. Only the
     listing is read: ``content`` is never selected. The list of files is plan
@@ -50,11 +58,12 @@ def list_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[s
     given = list(dict.fromkeys(p for p in paths if p and p.strip()))
     with ThreadPoolExecutor(16) as pool:
         found = list(pool.map(lambda p: qualified(spark, p), given))
-    missing = [p for p, q in zip(given, found) if q is None]
-    present = [q for q in found if q is not None]
+    left = {p: "File not found" for p, q in zip(given, found) if q is None}
+    left |= {q: "Names that begin with . or _ are not read" for q in found if q and hidden(q)}
+    present = [q for q in found if q is not None and not hidden(q)]
     if not present:
-        return spark.createDataFrame([], FILES_SCHEMA), missing
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(present)
+        return spark.createDataFrame([], FILES_SCHEMA), left
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([literal(p) for p in present])
     order = {q: i for i, q in enumerate(present)}
     listed = [(r["path"], r["length"], given_order(r["path"], order)) for r in listing.select("path", "length").collect()]
     seen = {i for _, _, i in listed}
@@ -63,7 +72,14 @@ def list_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[s
     admitted = admit(frame, "path", ["file_ord", "path"]).collect()
     admitted.sort(key=lambda r: (r["file_ord"], r["path"]))
     numbered = [(r["path"], r["length"], i) for i, r in enumerate(admitted)]
-    return spark.createDataFrame(numbered, FILES_SCHEMA), missing
+    taken = {r["path"] for r in admitted}
+    left |= {p: SAME_NAME for p, _, _ in listed if p not in taken and extension_of(p)}
+    return spark.createDataFrame(numbered, FILES_SCHEMA), left
+
+
+def literal(path: str) -> str:
+    """``path`` for a reader that takes patterns: every character stands for itself."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
 def task_count(spark: SparkSession, items: int) -> int:
@@ -73,12 +89,12 @@ def task_count(spark: SparkSession, items: int) -> int:
 
 def open_input(path: str):
     """A seekable stream on ``path``, opened inside a task."""
-    parsed = urlparse(path)
-    if parsed.scheme in ("", "file"):
-        return open(unquote(parsed.path) if "%" in path else parsed.path, "rb")
+    scheme, _, rest = path.partition(":/") if re.match(r"[a-z0-9+.-]+:/", path) else ("", "", path)
+    if scheme in ("", "file"):
+        return open("/" + rest.lstrip("/") if scheme else path, "rb")
     from pyarrow import fs
 
-    uri = "s3" + path[len(parsed.scheme):] if parsed.scheme in ("s3a", "s3n") else path
+    uri = "s3" + path[len(scheme):] if scheme in ("s3a", "s3n") else path
     filesystem, inner = fs.FileSystem.from_uri(uri)
     return filesystem.open_input_file(inner)
 

@@ -1,18 +1,20 @@
-"""Large CSV files read by many tasks, whatever their cells contain.
+"""CSV files of any size read by many tasks, whatever their cells contain.
 
 A line end inside a quoted cell does not end the record, so whether a line starts
 a record depends on all lines before it. Each line is reduced to what it does to
 the state "inside a quoted cell": it fixes the state or flips it or leaves it.
 Such effects add up within a block of the file, then over the blocks, of which
-there is one row each; no task ever reads a whole file.
+there is one row each; no task ever reads a whole file. Lines end at CR, LF or both,
+and a line end inside a cell reads as LF; lines of white space only hold no record.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from rowsieve.operators.buckets import join_small
-from rowsieve.sources.files import ROW_BITS, plain_file, row_position
+from rowsieve.operators.small import join_small
+from rowsieve.session import scratch_path, stage
+from rowsieve.sources.files import ROW_BITS, literal, plain_file, row_position
 
 # Parts of a line of cells, with " as quote and "" as escaped quote.
 QUOTED_REST = r'[^"]*+(?:""[^"]*+)*+'
@@ -27,22 +29,16 @@ CELL_OPTIONS = {
     "ignoreLeadingWhiteSpace": "false",
     "ignoreTrailingWhiteSpace": "false",
     "maxCharsPerColumn": "-1",
+    "maxColumns": str(1 << 20),
     "mode": "PERMISSIVE",
 }
 
 
 def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    lines = spark.read.text(paths)
+    lines = spark.read.text([literal(p) for p in paths])
     return lines.select(plain_file().alias("_file"), row_position(spark, splittable=True).alias("_row"), F.col("value").alias("_line"))
 
 
-def files_with_long_records(spark: SparkSession, paths: list[str]) -> set[str]:
-    """Files in which some cell runs over a line end. Where no line opens a quoted
-    cell that it does not close, lines are records."""
-    lines = read_lines(spark, paths).filter(F.col("_line").contains('"') & F.col("_line").rlike(OPENS))
-    return {r["_file"] for r in lines.groupBy("_file").count().select("_file").collect()}
-
-
 def running_effect(fixed: Column, flips: Column, window) -> tuple[Column, Column]:
     """(state as of the last fixed one, corrected by all flips; flips so far)."""
     flipped = F.sum(flips).over(window)
@@ -53,44 +49,63 @@ def state_after(base: Column, flipped: Column, start: Column) -> Column:
     return ((F.coalesce(base, start) + flipped) % 2).cast("int")
 
 
-def scan_records(spark: SparkSession, paths: list[str], width: int) -> DataFrame:
-    """``_file``, ``_row`` and the cells ``c0``, ``c1``, ... of the data records."""
-    opens, inside = F.col("_line").rlike(OPENS), F.col("_line").rlike(STAYS) | F.col("_line").rlike(REOPENS)
+def scan_records(spark: SparkSession, paths: list[str], width: int) -> tuple[DataFrame, str]:
+    """(``_file``, ``_row`` and the ``_cells`` of the data records, the staged lines they read).
+
+    Lines are told apart once and staged with their state; records are put together
+    from there.
+    """
+    quoted = F.col("_line").contains('"')
+    opens = quoted & F.col("_line").rlike(OPENS)
+    inside = ~quoted | F.col("_line").rlike(STAYS) | F.col("_line").rlike(REOPENS)
     lines = read_lines(spark, paths).withColumns({"_opens": opens, "_inside": inside})
     in_block = Window.partitionBy("_file", "_block").orderBy("_row")
     same = F.col("_opens") == F.col("_inside")
     base, flipped = running_effect(F.when(same, F.col("_opens").cast("int")), F.when(F.col("_opens") & ~F.col("_inside"), 1).otherwise(0), in_block)
     lines = lines.withColumn("_block", F.shiftright("_row", ROW_BITS)).withColumns({"_base": base, "_flipped": flipped})
 
-    blocks = lines.groupBy("_file", "_block").agg(F.max_by(F.struct("_base", "_flipped"), "_row").alias("_end"))
+    blocks = lines.groupBy("_file", "_block").agg(
+        F.max_by(F.struct("_base", "_flipped"), "_row").alias("_end"),
+        F.min(F.when(F.trim("_line") != "", F.col("_row"))).alias("_lead"),
+    )
     over_blocks = Window.partitionBy("_file").orderBy("_block")  # one row per block
     fixed = F.when(F.col("_end._base").isNotNull(), (F.col("_end._base") + F.col("_end._flipped")) % 2)
     flips = F.when(F.col("_end._base").isNull(), F.col("_end._flipped") % 2).otherwise(0)
     base, flipped = running_effect(fixed, flips, over_blocks)
     ends = blocks.withColumns({"_b": base, "_f": flipped}).withColumn("_state", state_after(F.col("_b"), F.col("_f"), F.lit(0)))
     starts = ends.select(
-        F.struct("_file", "_block").alias("_at"), F.lag("_state", 1, 0).over(over_blocks).alias("_start")
+        F.struct("_file", "_block").alias("_at"),
+        F.lag("_state", 1, 0).over(over_blocks).alias("_start"),
+        # The header is the record that begins with the first line that is not blank.
+        F.min("_lead").over(Window.partitionBy("_file")).alias("_header"),
     )
     placed = join_small(lines.withColumn("_at", F.struct("_file", "_block")), starts, "_at")
     after = placed.withColumn("_after", state_after(F.col("_base"), F.col("_flipped"), F.col("_start")))
     before = after.withColumn("_before", F.coalesce(F.lag("_after").over(in_block), F.col("_start")))
     # A record is named after its first line.
-    own = before.withColumn("_first", F.last(F.when(F.col("_before") == 0, F.col("_row")), ignorenulls=True).over(in_block))
+    first = F.last(F.when(F.col("_before") == 0, F.col("_row")), ignorenulls=True).over(in_block)
+    path = scratch_path(spark, "lines")
+    own = stage(
+        before.select("_file", "_block", "_row", "_line", "_before", "_after", "_header", first.alias("_first")), path
+    )
+
+    whole = (F.col("_before") == 0) & (F.col("_after") == 0)
+    single = own.filter(whole).select("_file", "_row", "_line", "_header")
+    # Only records of several lines are put together; a block that begins inside one
+    # takes its name from the blocks before.
     carried = own.groupBy("_file", "_block").agg(F.max("_first").alias("_last")).select(
         F.struct("_file", "_block").alias("_at"),
         F.last("_last", ignorenulls=True).over(over_blocks.rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"),
     )
-    named = join_small(own, carried, "_at").withColumn("_first", F.coalesce("_first", "_carried"))
-
-    whole = (F.col("_before") == 0) & (F.col("_after") == 0)
-    single = named.filter(whole).select("_file", "_row", "_line")
+    parts = own.filter(~whole).withColumn("_at", F.struct("_file", "_block"))
+    named = join_small(parts, carried, "_at").withColumn("_first", F.coalesce("_first", "_carried"))
     pieces = F.array_sort(F.collect_list(F.struct("_row", "_line")))
-    joined = named.filter(~whole).groupBy("_file", "_first").agg(
+    joined = named.groupBy("_file", "_first", "_header").agg(
         F.array_join(F.transform(pieces, lambda p: p["_line"]), "\n").alias("_line")
     )
-    records = single.unionByName(joined.withColumnRenamed("_first", "_row")).filter(F.trim("_line") != "")
-    header = records.groupBy("_file").agg(F.min("_row").alias("_header"))
-    schema = ", ".join(f"c{i} string" for i in range(max(1, width)))
-    data = join_small(records, header, "_file").filter(F.col("_row") != F.col("_header"))
-    cells = data.select("_file", "_row", F.from_csv("_line", schema, CELL_OPTIONS).alias("_cells"))
-    return cells.select("_file", "_row", "_cells.*")
+    records = single.unionByName(joined.withColumnRenamed("_first", "_row"))
+    data = records.filter((F.trim("_line") != "") & (F.col("_row") != F.col("_header")))
+    names = [f"c{i}" for i in range(max(1, width))]
+    parsed = F.from_csv("_line", ", ".join(f"{c} string" for c in names), CELL_OPTIONS)
+    cells = data.select("_file", "_row", parsed.alias("_record"))
+    return cells.select("_file", "_row", F.array(*[F.col(f"_record.{c}") for c in names]).alias("_cells")), path

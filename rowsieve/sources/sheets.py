@@ -16,7 +16,7 @@ def matches_pattern(name: Column, pattern: str) -> Column:
     if "*" not in pattern:
         return F.lower(name) == F.lower(F.lit(pattern))
     literal = [p.replace("\\E", "\\E\\\\E\\Q") for p in pattern.split("*")]
-    return name.rlike("(?i)^" + ".*".join(f"\\Q{p}\\E" if p else "" for p in literal) + "$")
+    return name.rlike("(?iu)^" + ".*".join(f"\\Q{p}\\E" if p else "" for p in literal) + "$")
 
 
 def matches_any(name: Column, patterns) -> Column:

@@ -3,43 +3,69 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rowsieve.plans.run import run
-from rowsieve.spec import CleanseSpec
+from rowsieve.session import hadoop_path
+from rowsieve.sources.files import literal, plain_path
+from rowsieve.spec import CleanseSpec, Destination, SpecError
 
+OUTPUT = "_processed"
 LISTING_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def new_files(spark: SparkSession, folder: str) -> DataFrame:
+MAX_FILES = 10_000
+
+
+def new_files(spark: SparkSession, folder: str, max_files: int = MAX_FILES) -> DataFrame:
     """Stream of the paths of files as they appear; their content is not read."""
     listing = (
         spark.readStream.format("binaryFile")
         .schema(LISTING_SCHEMA)
         .option("recursiveFileLookup", True)
-        .load(folder)
+        .option("maxFilesPerTrigger", max_files)
+        .load(literal(folder))
     )
     return listing.select("path")
 
 
-def run_incremental(spark: SparkSession, folder: str, spec: CleanseSpec, checkpoint: str, on_run: Callable | None = None) -> None:
+def run_incremental(
+    spark: SparkSession,
+    folder: str,
+    spec: CleanseSpec,
+    checkpoint: str,
+    on_run: Callable | None = None,
+    max_files: int = MAX_FILES,
+) -> None:
     """Process the files of ``folder`` not yet processed under ``checkpoint``, then stop.
 
     Each batch of new files is a run of its own: keys of earlier runs are not
     remembered. The output is named after the batch, so a batch repeated after a
-    failure replaces its own output.
+    failure replaces its own output. A batch holds at most ``max_files`` files.
+
+    Output is never read as input: by default it goes to a folder whose name readers
+    pass over, and files below the output folder are left out. Sources replaced in
+    place would look new again, so that is refused.
     """
+    if spec.destination is Destination.IN_PLACE:
+        raise SpecError("incremental runs cannot replace their sources")
+    output = spec.output_dir or f"{folder.rstrip('/')}/{OUTPUT}"
+    spec = replace(spec, output_dir=output)
+    store, path = hadoop_path(spark, output)
+    below = plain_path(F.lit(store.makeQualified(path).toString().rstrip("/") + "/"))
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        paths = sorted(r["path"] for r in batch.collect())
+        found = batch.filter(~F.startswith(plain_path(F.col("path")), below))
+        paths = sorted(r["path"] for r in found.collect())
         if paths:
             result = run(spark, paths, spec, name=f"batch_{batch_id:010d}", mode="overwrite")
             if on_run:
                 on_run(result)
 
     query = (
-        new_files(spark, folder)
+        new_files(spark, folder, max_files)
         .writeStream.foreachBatch(process)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

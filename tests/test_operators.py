@@ -12,7 +12,10 @@ from rowsieve.functions.links import export_url, sheet_id
 from rowsieve.functions.rules import reason
 from rowsieve.functions.text import canon_str, compact_key, norm_key, parse_delimiters, parse_list, utrim
 from rowsieve.operators import buckets, chunk, columns, dedup, hygiene, report
+from rowsieve.operators.columns import INTERNAL
 from rowsieve.operators.names import sanitize_names
+from rowsieve.operators.report import bucket_counts, reason_counts
+from rowsieve.operators.small import row_bytes
 from rowsieve.plans.fixtures import CONTACTS, contacts
 from rowsieve.plans.queries import EXPLODED, PER_SHEET
 from rowsieve.sources.sheets import matches_any
@@ -46,7 +49,7 @@ def test_norm_and_compact_key(spark):
     assert column(df, norm_key(F.col("v")))[:2] == ["foo", ""]
     assert column(df, norm_key(F.col("v"), True))[0] == "Foo"
     compact = column(df, compact_key(norm_key(F.col("v"))))
-    assert compact[2] == "x" * 63 and len(compact[3]) == 64 and compact[3] == compact[4] != "x" * 64
+    assert {len(c) for c in compact} == {32} and compact[3] == compact[4] and len(set(compact)) == 4
 
 
 def test_canon_str(spark):
@@ -301,7 +304,7 @@ def test_winners_read_keys_and_positions_only(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     routed = cleanse(df, CleanseSpec(key_columns=("text",)), Lineage(order=("doc_id",)))
     schemas = [line.split("ReadSchema: ")[1] for line in plan(routed).splitlines() if "ReadSchema" in line]
-    assert len(schemas) == 2 and "struct<doc_id:bigint,text:string>" in schemas
+    assert len(schemas) == 3 and {"struct<doc_id:bigint,text:string>", "struct<doc_id:bigint>"} <= set(schemas)
     both = CleanseSpec(key_mode=KeyMode.MULTIPLE, key_columns=("lang", "source"))
     slim = plan(cleanse(df, both, Lineage(order=("doc_id",), blank_rows=False)))
     assert "struct<doc_id:bigint,lang:string,source:string>" in slim
@@ -316,7 +319,7 @@ def test_blank_rows_may_be_ruled_out(spark):
 # ---- buckets, chunks, names ----
 
 
-def test_salted_join_equals_broadcast(spark, conf):
+def test_shuffled_join_equals_broadcast(spark, conf):
     df = contacts(spark, SF)
     labelled = df.withColumn("_bucket", F.when(F.col("contact_id") % 3 == 0, F.upper("sheet")).otherwise(F.col("sheet")))
     table = buckets.bucket_table(labelled, ["contact_id"])
@@ -324,10 +327,45 @@ def test_salted_join_equals_broadcast(spark, conf):
     assert "BroadcastHashJoin" in plan(small)
     want = sorted(map(str, small.collect()))
     conf("spark.sql.autoBroadcastJoinThreshold", "-1")
-    salted = buckets.attach_bucket_names(labelled, table)
-    assert "_salt" in plan(salted) and "Broadcast" not in plan(salted)
-    assert sorted(map(str, salted.collect())) == want
-    assert {r["_bucket"] for r in salted.collect()} == {"CUSTOMERS", "Vendors"}
+    joined = buckets.attach_bucket_names(labelled, table)
+    assert "SortMergeJoin" in plan(joined) and "Broadcast" not in plan(joined)
+    assert sorted(map(str, joined.collect())) == want
+    assert {r["_bucket"] for r in joined.collect()} == {"CUSTOMERS", "Vendors"}
+
+
+def test_size_of_text_at_any_depth(spark):
+    df = spark.createDataFrame([(("x" * 1000, ["y" * 500]),)], "s struct<a:string,b:array<string>>")
+    assert df.select(row_bytes(df)).first()[0] > 1500
+
+
+@pytest.mark.parametrize("order", [[0, 1, 1], [0, None, 1]])
+def test_row_order_must_be_unique_and_not_null(spark, order):
+    """Otherwise rows would multiply, or all count as duplicates."""
+    df = spark.createDataFrame([(i, "k") for i in order], "id int, v string")
+    with pytest.raises(Exception, match="Lineage.order"):
+        cleanse(df, CleanseSpec(key_columns=("v",)), Lineage(order=("id",))).collect()
+
+
+@pytest.mark.parametrize("name", sorted(INTERNAL) + ["_k0", "_K12", "_RANK "])
+def test_internal_names_are_refused(spark, name):
+    df = spark.createDataFrame([(1, "a", "b")], ["id", "v", name])
+    for work in (cleanse, unique_rows):
+        with pytest.raises(SpecError):
+            work(df, CleanseSpec(key_columns=("v",)), Lineage(order=("id",)))
+
+
+def test_reasons_count_spellings_together(spark):
+    df = spark.createDataFrame([(0, "S", "x"), (1, "s", "y"), (2, "s", "a@b.co")], "id int, sheet string, v string")
+    spec = CleanseSpec(key_columns=("v",), validation=Validation.EMAIL)
+    got = reason_counts(df, spec, Lineage(order=("id",), sheet="sheet")).collect()
+    assert [(r["bucket"], r["n"]) for r in got] == [("S", 2)]
+
+
+def test_no_single_task_over_buckets(spark):
+    df = contacts(spark, SF)
+    for made in (buckets.bucket_order(df.withColumn("_bucket", F.col("sheet")), ["contact_id"]), bucket_counts(df, CleanseSpec(key_columns=("email",)), CONTACTS)):
+        windows = [x for x in plan(made).splitlines() if "Window " in x or "Window(" in x]
+        assert not any("_bucket_pos" in w for w in windows)
 
 
 @pytest.mark.parametrize("n, size, want", [(25, 10, [10, 10, 5]), (0, 10, [0]), (3, 0, [1, 1, 1]), (20, 10, [10, 10])])
@@ -363,8 +401,8 @@ def expected_names(names):
         for c in "\\/?*[]:":
             base = base.replace(c, "_")
         base = base[:31]
-        tries = [base] + [base[: 31 - len(f" ({i})")] + f" ({i})" for i in range(2, 1000)]
-        given = next((t for t in tries if t.lower() not in taken), base)
+        tries = [base] + [base[: 31 - len(f" ({i})")] + f" ({i})" for i in range(2, len(names) + 2)]
+        given = next(t for t in tries if t.lower() not in taken)
         taken.add(given.lower())
         out.append(given)
     return out
@@ -383,13 +421,18 @@ def test_sheet_names(spark, seed):
     assert got == expected_names(names)
 
 
-def test_sheet_names_give_up_after_999(spark):
-    got = column(sanitize_names(frame(spark, ["s"] * 1005), "v", ["id"]), F.col("sheet_name"))
-    assert got == expected_names(["s"] * 1005) and got[998] == "s (999)" and got[1004] == "s"
+def test_sheet_names_beyond_three_digits(spark):
+    got = column(sanitize_names(frame(spark, ["s"] * 1205), "v", ["id"]), F.col("sheet_name"))
+    assert got == expected_names(["s"] * 1205) and len(set(got)) == 1205
 
 
-def test_sheet_name_ranking_is_limited_before_the_shuffle(spark):
-    assert "WindowGroupLimit" in plan(sanitize_names(frame(spark, ["s"] * 5), "v", ["id"]))
+def test_sheet_names_of_one_stem_spread(spark):
+    """Only names that could meet are settled together."""
+    names = [f"Report {i // 2:06}" for i in range(20_000)]
+    df = sanitize_names(frame(spark, names), "v", ["id"])
+    got = column(df, F.col("sheet_name"))
+    assert got[:4] == ["Report 000000", "Report 000000 (2)", "Report 000001", "Report 000001 (2)"]
+    assert len(set(got)) == 20_000
 
 
 @pytest.mark.parametrize(
