@@ -94,7 +94,7 @@ def test_run_writes_all(spark, books, tmp_path):
     assert spark.read.parquet(f"{result.path}/duplicates").columns == ["_Source", *HEADER]
     assert spark.read.parquet(f"{result.path}/invalid").columns == ["_Source", "_Reason", *HEADER]
     listed = spark.read.parquet(f"{result.path}/manifest").orderBy("bucket_ord").collect()
-    assert [(r["sheet_name"], r["rows"]) for r in listed] == [(MAIN, 4), (SECOND, 2)]
+    assert [(r["sheet_name"], r["rows"]) for r in listed] == [(MAIN, 4), (SECOND, 2), ("Duplicates", 2), ("Invalid", 3)]
 
 
 def test_outcomes(spark, books, tmp_path):
