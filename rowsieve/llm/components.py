@@ -9,10 +9,13 @@ from rowsieve.session import checkpointed
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
-    """Edges (a, b) with the least of a and all b beside a. The grouped minimum is
-    combined before the shuffle, and the join can be split where one a is hot."""
+    """Edges (a, b) with the least of a and all b beside a.
+
+    The grouped minimum is combined before the shuffle. It is written before the join, so
+    that both sides are plain shuffles and a node with many edges can be split there.
+    """
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    least = least.select("a", F.least("a", "m").alias("m"))
+    least = checkpointed(least.select("a", F.least("a", "m").alias("m")))
     return edges.join(least, "a")
 
 

@@ -331,7 +331,7 @@ def near_duplicates(docs: DataFrame, linking: Linking = CLOSE) -> DataFrame:
     are linked like any other. Repeated rows all appear, in one component.
     """
     rows, classes = _classes(docs, linking)
-    least = classes.groupBy("root").agg(F.min("first.doc_id").alias("component_id"))
+    least = checkpointed(classes.groupBy("root").agg(F.min("first.doc_id").alias("component_id")))
     named = classes.join(least, "root").select("fingerprint", "component_id")
     return rows.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
