@@ -9,7 +9,7 @@ from rowsieve.llm.arrow import map_rows
 from rowsieve.llm.tables import written
 from rowsieve.llm.tokens import default_tokenizer, encoder
 
-RUN = 1024
+RUN = 32
 
 
 def length_histogram(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
