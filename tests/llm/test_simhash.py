@@ -47,6 +47,17 @@ def test_fingerprint(text):
     assert simhash.fingerprint(text) == plain_fingerprint(text)
 
 
+def test_shingles_once():
+    """A word said over and over does not make two texts alike."""
+    texts = [" ".join([*(f"{c}{k}" for k in range(60)), *["be"] * 500]) for c in "ab"]
+    same, apart_ = (
+        bin(int(simhash.fingerprint(texts[0], 5, 4, once), 16) ^ int(simhash.fingerprint(texts[1], 5, 4, once), 16)).count("1")
+        for once in (False, True)
+    )
+    assert same < 20 and apart_ > 90
+    assert simhash.fingerprint("", 5, 4, True) == "0" * 64
+
+
 def test_fingerprint_of_blocks(monkeypatch):
     monkeypatch.setattr("rowsieve.llm.words.BLOCK", 7)
     text = "some words that cross a block boundary again and again " * 3
