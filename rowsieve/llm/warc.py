@@ -309,7 +309,9 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield made(rows)
 
-    return archives.select("path").repartition("path").mapInArrow(run, schema)
+    # A name is a few bytes and an archive many: each gets a task of its own.
+    names_only = archives.select("path")
+    return names_only.repartition(max(1, names_only.count())).mapInArrow(run, schema)
 
 
 def archive_round_trip(pages: DataFrame, min_shared: int = MIN_SHARED) -> DataFrame:
