@@ -25,6 +25,10 @@ HEADLINE = (
     "chunk_rows",
     "scan_csv",
     "sink_dataset",
+    "scan_csv_split",
+    "workbook_run",
+    "in_place_large",
+    "incremental",
 )
 
 

@@ -9,6 +9,7 @@ from xml.sax.saxutils import escape
 from pyspark.sql import DataFrame, SparkSession
 
 from rowsieve.session import hadoop_path
+from rowsieve.sinks.inplace import filesystem
 from rowsieve.sinks.write import CSV_OPTIONS
 from rowsieve.spec import Lineage
 
@@ -83,12 +84,10 @@ def write_workbooks(df: DataFrame, folder: str, sheet: str) -> None:
     spark = df.sparkSession
     fs, path = hadoop_path(spark, folder)
     fs.mkdirs(path)
-    target = path.toUri().getPath()
+    target = fs.makeQualified(path).toString()
     columns = [c for c in df.columns if c != sheet]
 
     def write(batches):
-        import os
-
         import pandas as pd
         from pyspark import TaskContext
 
@@ -99,7 +98,8 @@ def write_workbooks(df: DataFrame, folder: str, sheet: str) -> None:
                 cells = rows[columns].astype(object).where(rows[columns].notna(), None)
                 sheets[name] = [columns, *cells.values.tolist()]
             part = TaskContext.get().partitionId()
-            with open(os.path.join(target, f"book-{part:05d}.xlsx"), "wb") as f:
+            store, root = filesystem(target)
+            with store.open_output_stream(f"{root}/book-{part:05d}.xlsx", compression=None) as f:
                 f.write(workbook_bytes(sheets))
         yield pd.DataFrame({"rows": [len(pdf)]})
 

@@ -33,14 +33,21 @@ def tag(element) -> str:
 
 
 def elements(book: zipfile.ZipFile, member: str, *wanted: str):
-    """Elements of a zip member as they are completed; freed once handled."""
+    """Elements of a zip member as they are completed, each taken out of its parent, so
+    that what was handled is freed."""
     if member not in book.namelist():
         return
     with book.open(member) as xml:
-        for _, element in iterparse(xml):
+        above = []
+        for event, element in iterparse(xml, ("start", "end")):
+            if event == "start":
+                above.append(element)
+                continue
+            above.pop()
             if tag(element) in wanted:
                 yield element
-                element.clear()
+                if above:
+                    above[-1].remove(element)
 
 
 def sheet_members(book: zipfile.ZipFile) -> list[tuple[str, str]]:

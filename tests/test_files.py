@@ -145,6 +145,21 @@ def test_workbook_cells(spark, tmp_path):
     assert data(sources.rows, "na", "when", "flag") == [("rich", "2024-01-01", "True"), ("1000", "2024-01-01 12:00:00", "0.1")]
 
 
+def test_dates_that_count_from_1904(spark, tmp_path):
+    plain = workbook_bytes({"S": [["day"], ["x"]]})
+    with zipfile.ZipFile(io.BytesIO(plain)) as old, zipfile.ZipFile(tmp_path / "t.xlsx", "w") as new:
+        for member in old.namelist():
+            text = old.read(member).decode()
+            if member == "xl/workbook.xml":
+                text = text.replace("<sheets>", '<workbookPr date1904="1"/><sheets>')
+            if "sheets/" in member and "_rels" not in member:
+                text = text.replace("</sheetData>", '<row><c s="1"><v>1</v></c></row></sheetData>')
+            new.writestr(member, text)
+        main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+        new.writestr("xl/styles.xml", f'<styleSheet {main}><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>')
+    assert data(read_sources(spark, [str(tmp_path / "t.xlsx")]).rows, "day") == [("x",), ("1904-01-02",)]
+
+
 def test_sheet_selection(spark, tmp_path):
     sheets = {n: [["id"], [i]] for i, n in enumerate(["Data 1", "Other", "data 2"])}
     (tmp_path / "w.xlsx").write_bytes(workbook_bytes(sheets))
