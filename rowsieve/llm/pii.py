@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowsieve.llm.tables import written
+from rowsieve.operators.small import join_small
 from rowsieve.session import checkpointed
 
 # The kinds in the order of the result, with their base patterns. Possessive
@@ -249,7 +250,8 @@ def _with_spans(docs: DataFrame, kept: list[Column]) -> DataFrame:
     span = F.struct(F.col("kind"), F.col("start"), F.col("end"))
     found = _discover(instances).groupBy("row").agg(F.sort_array(F.collect_set(span)).alias("added"))
     none = F.array().cast(f"array<{SPAN}>")
-    return rows.drop("contexts").join(found, "row", "left").withColumn("added", F.coalesce("added", none))
+    # Few rows gain spans as a rule; their measured size decides how they are joined.
+    return join_small(rows.drop("contexts"), found, "row").withColumn("added", F.coalesce("added", none))
 
 
 def _written_out(spans: Column) -> Column:
