@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from rowsieve.llm.arrow import map_rows
 from rowsieve.llm.lexicon import Lexicon, Term, usual_edits
+from rowsieve.llm.tables import written
 
 SAMPLE_ROWS = 10_000
 MAX_TERMS = 2_000
@@ -195,7 +196,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
     """
     ids = _sample(labels, sample_rows)
     train = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where("text is not null")
-    train = train.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    # The sample is written, so that the documents are read once for it.
+    train = written(train.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "toxic-sample")
     terms = learn_terms(train)
 
     def setup():
