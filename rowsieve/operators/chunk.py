@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from rowsieve.functions.names import clean_file_name, two_digits
 from rowsieve.operators.small import join_small
@@ -13,13 +13,15 @@ CHUNK_RUN = 4096
 LOCAL_BITS = 33  # monotonically_increasing_id: partition number above, row in partition below
 
 
-def sorted_stage(df: DataFrame, sort_cols, path: str | None = None) -> DataFrame:
-    """``df`` in order, written once, with ``_rid`` telling each row's place.
+def sorted_stage(df: DataFrame, sort_cols, path: str | None = None, seen: Observation | None = None) -> DataFrame:
+    """``df`` in order, written once, with ``_rid`` telling each row's place; ``seen`` counts rows.
 
     The written table fixes partition boundaries, so that counting and numbering
     agree even if executors are lost in between.
     """
     ranged = df.repartitionByRange(*sort_cols).sortWithinPartitions(*sort_cols)
+    if seen is not None:
+        ranged = ranged.observe(seen, F.count("*").alias("rows"))
     path = path or scratch_path(df.sparkSession, "sorted")
     return stage(ranged.withColumn("_rid", F.monotonically_increasing_id()), path)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import replace
 from datetime import datetime
 
@@ -36,10 +37,18 @@ def outcomes(sources: Sources):
     return file_outcomes(sources.outcomes, file_counts(sources.rows, FILE_LINEAGE, sources.columns))
 
 
-def run(spark: SparkSession, paths: list[str], spec: CleanseSpec, name: str | None = None, mode="errorifexists") -> RunResult:
+def run(
+    spark: SparkSession,
+    paths: list[str],
+    spec: CleanseSpec,
+    name: str | None = None,
+    mode="errorifexists",
+    progress: Callable[[str, int], None] | None = None,
+) -> RunResult:
     """Read ``paths``, cleanse them together and write the result.
 
-    Without any readable sheet only the outcome of the files is written.
+    Without any readable sheet only the outcome of the files is written. ``progress``
+    is told each step of writing that is done with its number of rows.
     """
     spec.check()
     if not paths:
@@ -61,7 +70,7 @@ def run(spark: SparkSession, paths: list[str], spec: CleanseSpec, name: str | No
             result = RunResult(paths[0], sum(r["rows_read"] for r in done), n[UNIQUE], n[DUPLICATE], n[INVALID])
         else:
             buckets = source_buckets(sources.sheets, spec, lineage)
-            result = write_run(rows, spec, lineage, path, mode=mode, buckets=buckets)
+            result = write_run(rows, spec, lineage, path, mode=mode, buckets=buckets, progress=progress)
             missing = ", ".join(map(repr, result.missing_columns))
             said = f"Column not found: {missing}" if missing else None
             noted = sources.outcomes.withColumn("note", F.coalesce("note", F.lit(said)))

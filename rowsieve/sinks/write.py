@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import logging
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 from urllib.parse import quote
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from rowsieve.operators.buckets import attach_bucket_names, source_buckets
 from rowsieve.operators.chunk import chunk_of, manifest, row_numbers, sorted_stage
@@ -67,11 +68,14 @@ def write_rows(df: DataFrame, path: str, fmt: OutputFormat, partitions=(), mode=
         df.write.mode(mode).partitionBy(*partitions).parquet(path)
 
 
-def route_to_stage(df: DataFrame, spec: CleanseSpec, lineage: Lineage, buckets: DataFrame, path: str, rules=()) -> DataFrame:
+def route_to_stage(
+    df: DataFrame, spec: CleanseSpec, lineage: Lineage, buckets: DataFrame, path: str, rules=(), seen: Observation | None = None
+) -> DataFrame:
     """Routed rows with first-spelling buckets, written once in output order.
 
     With duplicates all rows are kept, as they are counted from here. Else only
-    what is to be written; duplicates are then dropped inside the map tasks.
+    what is to be written; duplicates are then dropped inside the map tasks. ``seen``
+    counts the rows on their way.
     """
     if spec.emit_duplicates:
         rows = cleanse(df, spec, lineage, rules)
@@ -79,7 +83,7 @@ def route_to_stage(df: DataFrame, spec: CleanseSpec, lineage: Lineage, buckets:
         wanted = [s for s, emit in ((UNIQUE, spec.emit_unique), (INVALID, spec.emit_invalid)) if emit]
         rows = unique_rows(df, spec, lineage, rules).filter(F.col(STATUS).isin(wanted))
     named = attach_bucket_names(rows, buckets, materialised=True)
-    return sorted_stage(named, [STATUS, "_bucket_pos", *row_order(spec, lineage)], path)
+    return sorted_stage(named, [STATUS, "_bucket_pos", *row_order(spec, lineage)], path, seen)
 
 
 def staged_counts(staged: DataFrame, buckets: DataFrame) -> DataFrame:
@@ -160,6 +164,7 @@ def write_run(
     rules=(),
     mode="errorifexists",
     buckets: DataFrame | None = None,
+    progress: Callable[[str, int], None] | None = None,
 ) -> RunResult:
     """Cleanse ``df`` and write the chosen buckets below ``path``.
 
@@ -167,7 +172,8 @@ def write_run(
     ``invalid`` carry ``_Source`` (and ``_Reason``), ``manifest`` and ``counts``
     say what was written. Buckets never share a directory, so no source sheet
     can collide with an audit table. ``buckets`` is a ``bucket_table`` of all
-    sheets, if there are some without rows.
+    sheets, if there are some without rows. ``progress`` is told each step that is
+    done with its number of rows.
     """
     spec.check()
     began = time.monotonic()
@@ -175,7 +181,10 @@ def write_run(
     buckets = checkpointed(source_buckets(df, spec, lineage) if buckets is None else buckets)
     scratch = scratch_path(spark, "routed")
     with dropped(spark, scratch):
-        staged = route_to_stage(df, spec, lineage, buckets, scratch, rules)
+        seen = Observation()
+        staged = route_to_stage(df, spec, lineage, buckets, scratch, rules, seen)
+        tell = progress or (lambda step, rows: log.info("%s: %s rows", step, rows))
+        tell("routed", seen.get["rows"])
         if spec.emit_duplicates:
             counted = staged_counts(staged, buckets)
         elif spec.emit_unique and spec.keep_sheets:
@@ -197,6 +206,7 @@ def write_run(
                 values = {BUCKET: first_bucket(counts, spec), "_chunk": "1"}
                 below = "".join(f"/{p}={quote(values[p], safe=' ')}" for p in partitions)
                 write_rows(rows.select(*columns), f"{path}/unique{below}", spec.format, (), mode)
+            tell("unique", totals["unique_rows"])
         if spec.emit_unique or spec.emit_duplicates or spec.emit_invalid:
             listed = audit_entries(totals, spec, listed, run)
             if spec.format is not OutputFormat.CSV:
@@ -209,6 +219,7 @@ def write_run(
             if wanted:
                 rows = staged.filter(F.col(STATUS) == status).sortWithinPartitions("_rid")
                 write_rows(rows.select(*lead, *columns), f"{path}/{folder}", spec.format, (), mode)
+                tell(folder, totals[f"{status}_rows"])
     log.info("%s: %s", path, totals.asDict())
     return RunResult(
         path,

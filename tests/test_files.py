@@ -443,3 +443,10 @@ def test_nothing_is_left_behind(spark, tmp_path):
     with pytest.raises(Exception):
         run(spark, [a], CleanseSpec(key_columns=("id",), output_dir=str(tmp_path / "out")), name="x")
     assert {x for x in left() - before if x.startswith("rowsieve-")} == set()
+
+
+def test_progress(spark, tmp_path):
+    steps = []
+    spec = replace(PER_SHEET, emit_duplicates=True, emit_invalid=True)
+    write_run(contacts(spark, SF), spec, CONTACTS, str(tmp_path / "out"), progress=lambda *step: steps.append(step))
+    assert steps == [("routed", 178), ("unique", 71), ("duplicates", 11), ("invalid", 96)]
