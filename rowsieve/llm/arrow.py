@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -36,3 +37,15 @@ def map_rows(
                     )
 
     return df.mapInArrow(run, schema)
+
+
+def row_test(make: Callable[[], Callable[[list], list[bool]]]):
+    """A boolean function of one column, given in slices of values to what ``make`` makes."""
+
+    @F.arrow_udf("boolean")
+    def test(values: pa.Array) -> pa.Array:
+        work = make()
+        parts = (values.slice(at, SLICE).to_pylist() for at in range(0, len(values), SLICE))
+        return pa.array([bool(x) for part in parts for x in work(part)], pa.bool_())
+
+    return test

@@ -8,11 +8,10 @@ from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowsieve.llm.arrow import map_rows
+from rowsieve.llm.arrow import map_rows, row_test
 
 MIN_TILE = 5
 MIN_COVERAGE = 0.5
@@ -199,14 +198,10 @@ def drop_contaminated(
 ) -> DataFrame:
     """The rows of ``docs`` in which no item is covered, with their columns as they are."""
     for block in _blocks(benchmark, min_tile, block_bytes):
-        docs = docs.where(_clean(block, min_coverage)(docs["text"]))
-    return docs
-
 
-def _clean(block, min_coverage: float):
-    @F.pandas_udf("boolean")
-    def clean(texts: pd.Series) -> pd.Series:
-        known = block.value
-        return pd.Series([next(matches(t, known, min_coverage), None) is None for t in texts], dtype=bool)
+        def make(block=block):
+            known = block.value
+            return lambda texts: [next(matches(t, known, min_coverage), None) is None for t in texts]
 
-    return clean
+        docs = docs.where(row_test(make)(docs["text"]))
+    return docs

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowsieve.llm.arrow import map_rows
+from rowsieve.llm.arrow import map_rows, row_test
 from rowsieve.llm.boosting import Forest, fit
 from rowsieve.llm.quality_stats import FEATURES, statistics
 
@@ -80,12 +79,11 @@ def judge_quality(docs: DataFrame, model: Forest | None, min_kept: float = MIN_K
 def keep_quality(docs: DataFrame, model: Forest | None, min_kept: float = MIN_KEPT) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their columns as they are."""
 
-    @F.pandas_udf("boolean")
-    def kept(texts: pd.Series) -> pd.Series:
+    def work(texts: list) -> list[bool]:
         found = [statistics(text) for text in texts]
         failed = np.array([_base_failed(x[0], x[4]) for x in found], bool)
-        if model and len(found):
+        if model:
             failed |= model.score(np.array([x[5] for x in found])) < min_kept
-        return pd.Series(~failed)
+        return list(~failed)
 
-    return docs.where(kept(docs["text"]))
+    return docs.where(row_test(lambda: work)(docs["text"]))

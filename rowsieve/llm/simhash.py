@@ -17,7 +17,7 @@ from rowsieve.llm.words import shingle_hashes
 from rowsieve.session import checkpointed
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
-PAIRS = 1 << 20
+PAIRS = 1 << 18
 
 
 @dataclass(frozen=True)
