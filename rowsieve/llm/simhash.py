@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from rowsieve.llm.arrow import map_rows
 from rowsieve.llm.components import components
+from rowsieve.llm.similar import SIMILAR, Similar, classes
 from rowsieve.llm.tables import shuffle_partitions, written
 from rowsieve.llm.words import shingle_hashes
 from rowsieve.session import checkpointed
@@ -43,11 +44,6 @@ class Linking:
 
 #: Links at three or fewer of 64 bits over 3-word shingles.
 CLOSE = Linking()
-#: Links texts whose 5-word shingles have a Jaccard similarity of about 0.8 or more. At 0.8
-#: the angle between two texts is 0.15 of a half turn: 39 of 256 bits differ on average, and
-#: 48 is one and a half deviations more. Some 32-bit stretch differs in at most three bits
-#: for nine in ten of such pairs, and for 98 in 100 at 0.85.
-SIMILAR = Linking(width=5, lanes=4, stretch=32, budget=3, most=48, once=True, task_rows=32_768)
 
 
 def _lane(hashes: np.ndarray, lane: int) -> np.ndarray:
@@ -316,41 +312,43 @@ def links(prints: DataFrame, linking: Linking = CLOSE) -> DataFrame:
     )
 
 
-def _classes(docs: DataFrame, linking: Linking) -> tuple[DataFrame, DataFrame]:
+def _classes(docs: DataFrame, linking: Linking | Similar) -> tuple[DataFrame, DataFrame]:
     """Rows with their fingerprints, and distinct fingerprints with root and first row.
 
     Fingerprints are made once and written. Each distinct one takes part in the join once,
     so exact copies cost nothing there.
     """
+    if isinstance(linking, Similar):
+        return classes(docs, linking)
     rows = written(fingerprints(docs, linking), "fingerprints")
     least = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_hash")).alias("first")
-    classes = rows.groupBy("fingerprint").agg(least)
-    roots = components(links(classes.select("fingerprint"), linking)).withColumnRenamed("node", "fingerprint")
-    rooted = classes.join(roots, "fingerprint", "left")
+    found = rows.groupBy("fingerprint").agg(least)
+    roots = components(links(found.select("fingerprint"), linking)).withColumnRenamed("node", "fingerprint")
+    rooted = found.join(roots, "fingerprint", "left")
     return rows, rooted.withColumn("root", F.coalesce("root", "fingerprint"))
 
 
-def near_duplicates(docs: DataFrame, linking: Linking = CLOSE) -> DataFrame:
+def near_duplicates(docs: DataFrame, linking: Linking | Similar = CLOSE) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of ``docs``.
 
     ``component_id`` is the smallest doc_id that links reach, the row's own included. Equal
     fingerprints are linked. Rows of a null doc_id get their component but never name one;
-    it is null if no row in it has an id. Empty and null texts have fingerprint zero and
-    are linked like any other. Repeated rows all appear, in one component.
+    it is null if no row in it has an id. Empty and null texts have one fingerprint (zero
+    for ``Linking``) and are linked like any other. Repeated rows all appear, in one component.
     """
-    rows, classes = _classes(docs, linking)
-    least = checkpointed(classes.groupBy("root").agg(F.min("first.doc_id").alias("component_id")))
-    named = classes.join(least, "root").select("fingerprint", "component_id")
+    rows, found = _classes(docs, linking)
+    least = checkpointed(found.groupBy("root").agg(F.min("first.doc_id").alias("component_id")))
+    named = found.join(least, "root").select("fingerprint", "component_id")
     return rows.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def keep_first(docs: DataFrame, linking: Linking = SIMILAR) -> DataFrame:
+def keep_first(docs: DataFrame, linking: Linking | Similar = SIMILAR) -> DataFrame:
     """One row of each group of near copies: that of the smallest doc_id, columns as they are.
 
     Repeated rows (equal doc_id and text) leave one. A null doc_id comes last.
     """
-    rows, classes = _classes(docs, linking)
-    first = classes.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.text_hash")
+    rows, found = _classes(docs, linking)
+    first = found.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.text_hash")
     times = rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("times"))
     first = first.join(times, [first[c].eqNullSafe(times[c]) for c in ("doc_id", "text_hash")]).select(
         first["doc_id"].alias("_doc_id"), first["text_hash"].alias("_text_hash"), F.col("times").alias("_times")
