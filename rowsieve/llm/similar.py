@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from hashlib import blake2b
+from itertools import count
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -37,6 +38,10 @@ SIMILAR = Similar()
 OVER, UNDER = 4, 5
 SEED = 42
 PART = 2048
+#: Pairs of a key that are few: so many for each of its rows.
+FEW = 4
+#: So many turns in a row that leave more than this share of the pairs are enough.
+STUCK, FALL = 3, 0.9
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -94,25 +99,75 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def _with_keys(buckets: DataFrame, keys: DataFrame) -> DataFrame:
-    return buckets.join(keys, "key")
-
-
 def links(rows: DataFrame) -> DataFrame:
-    """Links (src, dst) that join all nodes of ``rows`` (node, keys, shingles) that are alike."""
+    """Links (src, dst) that join all nodes of ``rows`` (node, keys, shingles) that are alike.
+
+    Rows that share a key are first compared with one of them, drawn by hash. What that
+    links is one root, and only pairs of unlike roots matter from there on: all of a key's
+    are compared once they are few for its rows, and until then its rows are compared with
+    two others drawn anew. A large group of near copies costs its rows, not their pairs.
+    Pairs are many only where texts share a key and are not alike; all are compared then.
+    """
     buckets = rows.select("node", F.size("shingles").alias("n"), F.explode("keys").alias("key"))
     shared = checkpointed(buckets.groupBy("key").count().where("count > 1").select("key"))
-    buckets = written(_with_keys(buckets, shared), "buckets")
+    buckets = written(buckets.join(shared, "key"), "buckets")
     met = buckets.select("node").distinct().withColumn("met", F.lit(True))
     sets = written(join_small(rows.select("node", "shingles"), met, "node").where("met").drop("met"), "sets")
-    return checkpointed(_verified(_all_pairs(buckets.withColumn("root", F.col("node"))), sets))
+    keys = _keys(buckets.withColumn("root", F.col("node")), 0)
+    found = checkpointed(_verified(_star_pairs(buckets.withColumn("root", F.col("node")), keys, ("low",)), sets))
+    last, stuck = None, 0
+    for turn in count(1):
+        buckets = buckets.drop("root").join(components(found), "node", "left")
+        buckets = buckets.withColumn("root", F.coalesce("root", "node"))
+        keys = _keys(buckets, turn)
+        # Drop keys of one root; of two rows, the first turn has compared the pair.
+        buckets = written(buckets.join(keys.select("key"), "key", "left_semi"), "buckets")
+        many = keys.where("many").agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
+        stuck = stuck + 1 if last is not None and many > last * FALL else 0
+        last = many
+        if stuck == STUCK or not many:
+            return found.unionByName(_verified(_all_pairs(buckets), sets))
+        few = buckets.join(keys.where("not many").select("key"), "key", "left_semi")
+        large = keys.where("many")
+        buckets = buckets.join(large.select("key"), "key", "left_semi")
+        pairs = _all_pairs(few).unionByName(_star_pairs(buckets, large, ("low", "high")))
+        found = checkpointed(found.unionByName(_verified(pairs.distinct(), sets)))
+
+
+def _keys(buckets: DataFrame, turn: int) -> DataFrame:
+    """Keys that still have pairs of unlike roots: their number, and two rows drawn by hash."""
+    drawn = F.struct(F.xxhash64("node", F.lit(turn)).alias("by"), "node", "n", "root")
+    each = buckets.groupBy("key", "root").agg(
+        F.count("*").alias("rows"), F.min(drawn).alias("low"), F.max(drawn).alias("high")
+    )
+    whole = each.groupBy("key").agg(
+        F.sum("rows").alias("rows"),
+        F.expr("(sum(rows) * sum(rows) - sum(rows * rows)) div 2").alias("pairs"),
+        F.min("low").alias("low"),
+        F.max("high").alias("high"),
+    )
+    return checkpointed(
+        whole.where((F.col("pairs") > 0) & (F.col("rows") > (2 if turn else 1))).withColumn(
+            "many", F.col("pairs") > F.col("rows") * FEW
+        )
+    )
+
+
+def _star_pairs(buckets: DataFrame, keys: DataFrame, drawn: tuple[str, ...]) -> DataFrame:
+    """Pairs (src, dst) of the rows of a key with those drawn, of unlike roots and similar size."""
+    met = buckets.join(keys.select("key", F.array(*drawn).alias("drawn")), "key")
+    met = met.select("node", "n", "root", F.explode("drawn").alias("to"))
+    near = (F.col("root") != F.col("to.root")) & _near_sizes("n", "to.n")
+    ends = (F.least("node", "to.node").alias("src"), F.greatest("node", "to.node").alias("dst"))
+    return met.where(near).select(*ends).distinct()
 
 
 def _all_pairs(buckets: DataFrame) -> DataFrame:
     """Pairs (src, dst) of nodes of unlike roots that share a key and are of similar size."""
     a, b = buckets.alias("a"), buckets.alias("b")
     meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")) & _near_sizes("a.n", "b.n")
-    return a.join(b, meet).select(F.col("a.node").alias("src"), F.col("b.node").alias("dst")).distinct()
+    ends = (F.least("a.node", "b.node").alias("src"), F.greatest("a.node", "b.node").alias("dst"))
+    return a.join(b, meet).select(*ends).distinct()
 
 
 def classes(docs: DataFrame, linking: Similar) -> tuple[DataFrame, DataFrame]:

@@ -67,3 +67,32 @@ def test_band_keys(text):
     keys = similar.band_keys(found, similar.SIMILAR)
     assert len(keys) == (similar.SIMILAR.bands if len(found) else 0)
     assert len(found) == len(plain_set(text)) and np.array_equal(keys, similar.band_keys(found, similar.SIMILAR))
+
+
+def test_large_group_costs_its_rows(spark, monkeypatch):
+    """Distinct near copies of one text are not compared pair by pair, and each is found."""
+    rng = random.Random(13)
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    data = [(k, " ".join(changed(rng, base, rng.randint(1, 3)))) for k in range(600)]
+    compared = []
+    verified = similar._verified
+
+    def counted(pairs, sets):
+        pairs = pairs.cache()
+        compared.append(pairs.count())
+        return verified(pairs, sets)
+
+    monkeypatch.setattr(similar, "_verified", counted)
+    assert rows(simhash.keep_first(documents(spark, data)), "doc_id") == [(0,)]
+    assert sum(compared) < 30 * len(data) < 600 * 599 / 2
+
+
+def test_crowded_keys_lose_no_link(spark, monkeypatch):
+    """Rows under few keys that are mostly unlike: pairs that the drawn rows miss are found."""
+    monkeypatch.setattr(similar, "FEW", 0)
+    rng = random.Random(14)
+    own = [rng.sample(range(10**6), 40) for _ in range(40)]
+    sets = [(2 * k + side, [*own[k][: 40 - side]]) for k in range(40) for side in (0, 1)]
+    frame = spark.createDataFrame([(i, [1, 2], s) for i, s in sets], "node long, keys array<long>, shingles array<long>")
+    got = {(r.src, r.dst) for r in similar.links(frame).collect()}
+    assert got == {(2 * k, 2 * k + 1) for k in range(40)}
