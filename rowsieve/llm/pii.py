@@ -29,7 +29,7 @@ TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 
 SPAN = "struct<kind:int,start:int,end:int>"
 WINDOW = 96
-ROUNDS = 3
+STEP = 0.01
 MIN_SUPPORT = 3
 MIN_LIFT = 4.0
 MIN_SCORE = 0.8
@@ -185,34 +185,47 @@ def _patterns(side: str) -> Column:
 FAR = (3, 4, 5, 6, 7)
 
 
-def _score_patterns(scored: DataFrame) -> DataFrame:
-    """(kind, pattern, trust) of patterns that stand out, from instances and their scores.
+def _evidence(graph: DataFrame) -> DataFrame:
+    """(kind, pattern, identifier, seed, free, near) next to patterns that can stand out.
 
     An identifier counts once per pattern and distance, however many copies of its text there
-    are.
-    Support is the sum of the scores of a pattern's identifiers, trust their mean (with one
-    unknown added). Lift compares how often the pattern stands next to identifiers and
-    further away from them.
+    are. Lift compares how often the pattern stands next to identifiers and further away from
+    them; it depends on no score.
     """
-    each = scored.groupBy("kind", "pattern", "distance", "identifier").agg(F.max("score").alias("score"))
+    each = graph.groupBy("kind", "pattern", "distance", "identifier").agg(
+        F.max(F.col("seed").cast("double")).alias("seed"), F.max(~F.col("seed")).alias("free")
+    )
     near = F.col("distance") == 1
-    return (
+    lifted = (
         each.groupBy("kind", "pattern")
-        .agg(
-            F.sum(F.when(near, F.col("score")).otherwise(0.0)).alias("support"),
-            F.sum(F.when(near, 1.0).otherwise(0.0)).alias("near"),
-            F.sum(F.when(~near, 1.0).otherwise(0.0)).alias("far"),
-        )
-        .where((F.col("support") >= MIN_SUPPORT) & (F.col("near") >= MIN_LIFT * F.col("far") / len(FAR)))
+        .agg(F.sum(F.when(near, 1.0).otherwise(0.0)).alias("near"), F.sum(F.when(~near, 1.0).otherwise(0.0)).alias("far"))
+        .where((F.col("near") >= MIN_SUPPORT) & (F.col("near") >= MIN_LIFT * F.col("far") / len(FAR)))
+    )
+    return checkpointed(
+        each.where(near).join(lifted, ["kind", "pattern"]).select("kind", "pattern", "identifier", "seed", "free", "near")
+    )
+
+
+def _score_patterns(scored: DataFrame) -> DataFrame:
+    """(kind, pattern, trust) of patterns with enough support, from evidence and its scores.
+
+    Support is the sum of the scores of a pattern's identifiers, trust their mean (with one
+    unknown added).
+    """
+    return (
+        scored.groupBy("kind", "pattern")
+        .agg(F.sum("score").alias("support"), F.max("near").alias("near"))
+        .where(F.col("support") >= MIN_SUPPORT)
         .select("kind", "pattern", (F.col("support") / (F.col("near") + 1)).alias("trust"))
     )
 
 
-def _discover(instances: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def _discover(instances: DataFrame) -> DataFrame:
     """(row, kind, start, end) of unseen words whose contexts are trusted.
 
     ``instances``: one row per span with its seed mark and context words. Each round scores
-    patterns by the identifiers in them and unseen words by their best pattern.
+    patterns by the identifiers in them and unseen words by their best pattern. Scores only
+    rise; rounds end when none has risen by more than ``STEP``.
     """
     patterns = F.explode(F.concat(_patterns("left"), _patterns("right"))).alias("found")
     graph = checkpointed(
@@ -220,20 +233,25 @@ def _discover(instances: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         .select("row", "kind", "start", "end", "seed", "identifier", "found.*")
         .where(F.col("pattern").isNotNull() & ~F.col("pattern").endswith(" "))
     )
-    unseen = graph.where(~F.col("seed") & (F.col("distance") == 1))
-    scores = None
-    for _ in range(rounds):
-        scored = graph.withColumn("score", F.when(F.col("seed"), 1.0).otherwise(0.0))
-        if scores is not None:
-            known = scores.withColumnRenamed("score", "better")
-            scored = scored.join(known, ["kind", "identifier"], "left").withColumn(
-                "score", F.coalesce(F.greatest("score", "better"), F.col("score"))
-            )
+    evidence = _evidence(graph)
+    scores = checkpointed(evidence.select("kind", "identifier", F.lit(0.0).alias("score")).limit(0))
+    moved = True
+    while moved:
+        known = scores.withColumnRenamed("score", "better")
+        scored = evidence.join(known, ["kind", "identifier"], "left").withColumn(
+            "score", F.greatest("seed", F.coalesce("better", F.lit(0.0)))
+        )
         trusted = _score_patterns(scored)
         scores = checkpointed(
-            unseen.join(trusted, ["kind", "pattern"]).groupBy("kind", "identifier").agg(F.max("trust").alias("score"))
+            scored.where("free")
+            .join(trusted, ["kind", "pattern"])
+            .groupBy("kind", "identifier")
+            .agg(F.max("trust").alias("score"), (F.max("trust") - F.coalesce(F.max("better"), F.lit(0.0))).alias("rise"))
         )
+        moved = not scores.where(F.col("rise") > STEP).isEmpty()
+        scores = scores.drop("rise")
     sure = scores.where(F.col("score") >= MIN_SCORE)
+    unseen = graph.where(~F.col("seed") & (F.col("distance") == 1))
     return unseen.join(sure, ["kind", "identifier"]).select("row", "kind", "start", "end").distinct()
 
 

@@ -96,6 +96,14 @@ def test_contexts_give_unseen_identifiers(spark):
     assert all(got[k].startswith("phone:") for k in range(8))
 
 
+def test_many_unseen_identifiers(spark):
+    """Twice as many unseen as known ones beside a word: rounds go on until scores settle."""
+    known = [(k, f"zz{k} yy please ring +1 (843) 555-{4000 + k} at w{k} and v{k} go on") for k in range(50)]
+    unseen = [(1000 + k, f"a{k} b{k} please ring 843-555-{5000 + k} c{k} d{k} e{k}") for k in range(100)]
+    got = {r.doc_id: r.spans for r in pii.find_pii(documents(spark, known + unseen)).collect()}
+    assert sum(got[i] != "" for i, _ in unseen) == 100
+
+
 def test_common_words_are_no_evidence(spark):
     """A word that is as frequent further away from identifiers tells nothing."""
     known = [(k, f"the cat the dog the sun the sky the +1 (843) 555-{4223 + k} the x{k} the y{k}") for k in range(8)]
