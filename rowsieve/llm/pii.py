@@ -24,8 +24,19 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: A word that holds a digit or an at sign: where unseen identifiers are looked for.
-TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+#: Where unseen identifiers are looked for: words around a written-out at sign, of which up
+#: to two spaces are part, or a word that holds a digit or an at sign.
+AT = r"(?:@|[(\[](?i:at)[)\]])"
+TOKEN = (
+    r"(?<![^\x20\x09-\x0D])(?:[\x22'(\[<]*+[A-Za-z0-9._%+-]{2,}+\x20?[(\[](?i:at)[)\]]\x20?[A-Za-z0-9-]{2}[^\x20\x09-\x0D]*+"
+    r"|[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+)"
+)
+#: What may stand before and after an identifier; a bracket around leading digits is part of it.
+LEAD = r"^(?:[\x22'\[<]|\((?![0-9]{1,5}\)))+"
+TAIL = r"[\x22')\]>,;:!?.]+$"
+#: Words that together may be one number: digits with signs inside, at most so many.
+PART = r"^[\x22'(\[<]*[0-9][0-9()./_-]*[\x22')\]>,;:!?.]*$"
+RUN = 4
 
 SPAN = "struct<kind:int,start:int,end:int>"
 WINDOW = 96
@@ -109,11 +120,11 @@ def _base_spans(text: Column) -> Column:
 
 
 def _shape(word: Column) -> Column:
-    """The kind an unseen word could be by its look, or null."""
+    """The kind an unseen word, or a run of numeric words, could be by its look, or null."""
     digits = F.length(_digits(word))
-    numeric = word.rlike(r"^[(]?[0-9][0-9()./_-]*[0-9]$")
+    numeric = word.rlike(r"^[(]?[0-9][\x200-9()./_-]*[0-9]$")
     return (
-        F.when(word.rlike(r"^[A-Za-z0-9._%+-]{2,}(?:@|[(\[]at[)\]])[A-Za-z0-9-]{2,}"), F.lit(0))
+        F.when(word.rlike(rf"^[A-Za-z0-9._%+-]{{2,}}\x20?{AT}\x20?[A-Za-z0-9-]{{2,}}"), F.lit(0))
         .when(word.rlike(r"^(?:[0-9A-Fa-f]{0,4}:){3,7}[0-9A-Fa-f]{1,4}$"), F.lit(1))
         .when(numeric & digits.between(13, 19) & _is_card(word), F.lit(2))
         .when(numeric & digits.between(7, 12), F.lit(3))
@@ -121,22 +132,63 @@ def _shape(word: Column) -> Column:
 
 
 def _unseen(text: Column, base: Column) -> Column:
-    """Words that look like an identifier and touch no base span."""
-    edge = r"^[\x22'(\[<]+|[\x22')\]>,;:!?.]+$"
+    """Words, or runs of up to ``RUN`` neighbouring numeric words, that look like an identifier.
 
-    def make(match: Column, start: Column, end: Column) -> Column:
-        return F.struct(start.alias("start"), end.alias("end"), match.alias("word"))
-
-    bare = lambda word: F.regexp_replace(word, edge, "")
-    words = _places(text, TOKEN, lambda word: _shape(bare(word)).isNotNull(), make)
+    They touch no base span. The longest run from a word on that has the shape is taken.
+    """
 
-    def trimmed(row: Column) -> Column:
-        inner = bare(row["word"])
-        start = row["start"] + F.length(row["word"]) - F.length(F.regexp_replace(row["word"], r"^[\x22'(\[<]+", ""))
-        return F.struct(_shape(inner).alias("kind"), start.cast("int").alias("start"), (start + F.length(inner)).cast("int").alias("end"))
+    def make(match: Column, start: Column, end: Column) -> Column:
+        return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), match.alias("word"))
 
+    bare = lambda word: F.regexp_replace(F.regexp_replace(word, LEAD, ""), TAIL, "")
+    part = lambda word: word.rlike(PART)
+    words = _places(text, TOKEN, lambda word: part(word) | _shape(bare(word)).isNotNull(), make)
     free = lambda row: ~F.exists(base, lambda span: (span["start"] < row["end"]) & (row["start"] < span["end"]))
-    return F.when(text.rlike("[0-9@]"), F.filter(F.transform(words, trimmed), free)).otherwise(F.array().cast(f"array<{SPAN}>"))
+    none = F.array().cast(f"array<{SPAN}>")
+
+    def run(some: Column) -> Column:
+        """The span of a run of words, or null: words apart, or no shape together."""
+        joined = F.array_join(F.transform(some, lambda row: row["word"]), " ")
+        # Two words are neighbours if at most two characters, both blank, are between them.
+        gaps = F.zip_with(some, F.slice(some, 2, RUN), lambda a, b: F.coalesce(b["start"] - a["end"] <= 2, F.lit(True)))
+        whole = F.forall(gaps, lambda near: near) & (F.forall(some, lambda row: part(row["word"])) | (F.size(some) == 1))
+
+        def span(kind: Column) -> Column:
+            first, last = F.get(some, F.lit(0)), F.element_at(some, -1)
+            start = first["start"] + F.length(first["word"]) - F.length(F.regexp_replace(first["word"], LEAD, ""))
+            end = last["end"] - F.length(joined) + F.length(F.regexp_replace(joined, TAIL, ""))
+            return F.struct(kind.alias("kind"), start.cast("int").alias("start"), end.cast("int").alias("end"))
+
+        kinds = F.filter(F.array(F.when(whole, _shape(bare(joined)))), lambda kind: kind.isNotNull())
+        return F.transform(kinds, span)
+
+    def spans(held: Column) -> Column:
+        # Each word with the longest run that it begins, and its number of words.
+        def begun_at(at: Column, length: int) -> Column:
+            some = F.slice(held, at, length)
+            after = (at + length).cast("int").alias("next")
+            found = F.when(F.size(some) == length, run(some)).otherwise(none)
+            return F.transform(found, lambda span: F.struct(span.alias("span"), after))
+
+        def longest(at: Column) -> Column:
+            runs = [begun_at(at, length) for length in range(RUN, 0, -1)]
+            return F.struct(at.cast("int").alias("at"), F.slice(F.concat(*runs), 1, 1).alias("run"))
+
+        begun = F.filter(F.transform(F.sequence(F.lit(1), F.size(held)), longest), lambda row: F.size(row["run"]) > 0)
+
+        def take(state: Column, row: Column) -> Column:
+            first = F.get(row["run"], F.lit(0))
+            return F.when(row["at"] < state["next"], state).otherwise(
+                F.struct(first["next"].alias("next"), F.concat(state["found"], F.array(first["span"])).alias("found"))
+            )
+
+        zero = F.struct(F.lit(0).alias("next"), none.alias("found"))
+        return F.aggregate(begun, zero, take, lambda state: state["found"])
+
+    # One element, so that the words are looked for once.
+    held = F.transform(F.array(F.filter(words, free)), lambda held: F.when(F.size(held) > 0, spans(held)).otherwise(none))
+    cue = text.rlike(rf"[0-9]|{AT}")
+    return F.when(cue, F.get(held, F.lit(0))).otherwise(none)
 
 
 def _contexts(text: Column, spans: Column, seed: bool) -> Column:

@@ -96,6 +96,25 @@ def test_contexts_give_unseen_identifiers(spark):
     assert all(got[k].startswith("phone:") for k in range(8))
 
 
+def test_unseen_identifiers_of_several_words(spark):
+    """Whole numbers written with spaces, not their last word; addresses with (at)."""
+    known = [(k, f"zz{k} yy please ring +1 (843) 555-{4223 + k} at w{k} and v{k} go on") for k in range(8)]
+    known += [(20 + k, f"q{k} r{k} kindly write u{k}@mail.example.com s{k} t{k}") for k in range(8)]
+    numbers = ["(743) 555-3824", "743 555 3824", "1 743 555 3824", "(743)555-3824", "743-555-3824", "5553824"]
+    addresses = ["jane(at)mail.example.com", "jane[at]mail.example.com", "jane (at) mail.example.com"]
+    data, want = [], {}
+    for word, kind, given in (("ring", "phone", numbers), ("write", "email", addresses)):
+        lead = "so then please ring " if word == "ring" else "now then kindly write "
+        for text in given:
+            i = 100 + len(data)
+            data.append((i, f"{lead}{text}, thanks"))
+            want[i] = f"{kind}:{len(lead)}:{len(lead) + len(text)}"
+    data += [(200, "so then please ring 743 555 3824 2025 now"), (201, "so then please ring 12 34 now")]
+    got = {r.doc_id: r.spans for r in pii.find_pii(documents(spark, known + data)).collect()}
+    assert {i: got[i] for i in want} == want
+    assert got[200] == "phone:20:32" and got[201] == ""
+
+
 def test_many_unseen_identifiers(spark):
     """Twice as many unseen as known ones beside a word: rounds go on until scores settle."""
     known = [(k, f"zz{k} yy please ring +1 (843) 555-{4000 + k} at w{k} and v{k} go on") for k in range(50)]
