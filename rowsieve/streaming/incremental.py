@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rowsieve.plans.run import run
-from rowsieve.session import hadoop_path
+from rowsieve.session import drop_path, hadoop_path
 from rowsieve.sources.files import literal, plain_path
 from rowsieve.spec import CleanseSpec, Destination, SpecError
 
@@ -41,9 +41,10 @@ def run_incremental(
 ) -> None:
     """Process the files of ``folder`` not yet processed under ``checkpoint``, then stop.
 
-    Each batch of new files is a run of its own: keys of earlier runs are not
-    remembered. The output is named after the batch, so a batch repeated after a
-    failure replaces its own output. A batch holds at most ``max_files`` files.
+    All new files of a call are one run; keys of earlier runs are not remembered. Batches
+    of at most ``max_files`` files only note the paths beside the checkpoint's own files.
+    The output is named after the first batch, and paths stay noted until their run is
+    done, so a run repeated after a failure replaces its own output.
 
     Output is never read as input: by default it goes to a folder whose name readers
     pass over, and files below the output folder are left out. Sources replaced in
@@ -56,19 +57,37 @@ def run_incremental(
     store, path = hadoop_path(spark, output)
     below = plain_path(F.lit(store.makeQualified(path).toString().rstrip("/") + "/"))
 
-    def process(batch: DataFrame, batch_id: int) -> None:
+    noted = f"{checkpoint.rstrip('/')}/rowsieve"
+
+    def note(batch: DataFrame, batch_id: int) -> None:
         found = batch.filter(~F.startswith(plain_path(F.col("path")), below))
-        paths = sorted(r["path"] for r in found.collect())
-        if paths:
-            result = run(spark, paths, spec, name=f"batch_{batch_id:010d}", mode="overwrite")
-            if on_run:
-                on_run(result)
+        found.write.mode("overwrite").parquet(f"{noted}/paths/{batch_id}")
 
     query = (
         new_files(spark, folder, max_files)
-        .writeStream.foreachBatch(process)
+        .writeStream.foreachBatch(note)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
+    done = max(_numbers(spark, f"{noted}/done"), default=-1)
+    batches = [k for k in sorted(_numbers(spark, f"{noted}/paths")) if k > done]
+    if batches:
+        listed = spark.read.schema("path string").parquet(*(f"{noted}/paths/{k}" for k in batches))
+        paths = sorted(r["path"] for r in listed.distinct().collect())
+        if paths:
+            result = run(spark, paths, spec, name=f"batch_{batches[0]:010d}", mode="overwrite")
+        # The mark comes first: what it covers is done, also if it cannot be dropped.
+        store, mark = hadoop_path(spark, f"{noted}/done/{batches[-1]}")
+        store.mkdirs(mark)
+        for k in batches:
+            drop_path(spark, f"{noted}/paths/{k}")
+        if paths and on_run:
+            on_run(result)
+
+
+def _numbers(spark: SparkSession, folder: str) -> list[int]:
+    """The names of what is in ``folder``, which are numbers."""
+    store, path = hadoop_path(spark, folder)
+    return [int(f.getPath().getName()) for f in store.listStatus(path)] if store.exists(path) else []

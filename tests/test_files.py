@@ -249,6 +249,26 @@ def test_incremental(spark, tmp_path):
     assert [(r.rows_read, r.unique_rows, r.duplicate_rows) for r in seen] == [(2, 1, 1), (1, 1, 0)]
 
 
+def test_incremental_call_is_one_run(spark, tmp_path, monkeypatch):
+    """More files than a batch holds meet in one run, which a failure does not lose."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    spec = CleanseSpec(key_columns=("email",), keep_sheets=False, output_dir=str(tmp_path / "out"))
+    seen = []
+    go = lambda: run_incremental(spark, str(folder), spec, str(tmp_path / "cp"), seen.append, max_files=1)
+    for k in range(3):
+        write(folder, f"{k}.csv", f"email\nx@y.co\n{k}@y.co\n")
+    with monkeypatch.context() as broken:
+        broken.setattr("rowsieve.streaming.incremental.run", lambda *_, **__: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            go()
+    go()
+    go()
+    write(folder, "3.csv", "email\nx@y.co\n")
+    go()
+    assert [(r.rows_read, r.unique_rows, r.duplicate_rows) for r in seen] == [(6, 4, 2), (1, 1, 0)]
+
+
 def test_in_place_run(spark, tmp_path):
     a = write(tmp_path, "a.csv", "email,n\nx@y.co;z@y.co,1\n , \nX@y.co,2\n")
     spec = CleanseSpec(key_columns=("email",), destination=Destination.IN_PLACE, explode_multi=True)
