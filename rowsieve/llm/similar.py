@@ -39,9 +39,9 @@ OVER, UNDER = 4, 5
 SEED = 42
 PART = 2048
 #: Pairs of a key that are few: so many for each of its rows.
-FEW = 4
+FEW = 64
 #: So many turns in a row that leave more than this share of the pairs are enough.
-STUCK, FALL = 3, 0.9
+STUCK, FALL = 2, 0.9
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
