@@ -1,0 +1,114 @@
+"""The trie of conversation prefixes, against brute force and SQL."""
+
+import hashlib
+import math
+import random
+import zlib
+from collections import defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+from helpers import SF
+
+from rowsieve.llm import prefixes
+from rowsieve.llm.queries import ORACLE_SQL, QUERIES
+from rowsieve.llm.slots import Slots, distinct
+
+SCHEMA = "conv_id long, turn long, role string, text string, depth int, part string, low long, `a.b` string"
+
+
+def conversations(spark, rows):
+    """Turns with columns that clash with names used inside."""
+    return spark.createDataFrame([(*r, 1, "p", 2, "d") for r in rows], SCHEMA)
+
+
+def brute(rows):
+    turns = defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            role, text = role or "", text or ""
+            digest = hashlib.sha256(f"{len(role.encode())}:{role}{text}".encode()).digest()[:16]
+            turns[conv].append(((turn is not None, turn or 0), digest, role, text))
+    given = {c: [t[2:] for t in sorted(v, key=lambda t: t[:2])] for c, v in turns.items()}
+    made = {}
+    for c, own in given.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        made[c] = tuple(given.get(c - int(math.fmod(c, 100)), [])[:h] + own[h:])
+    members, below = defaultdict(list), defaultdict(list)
+    for c, path in made.items():
+        for d in range(len(path) + 1):
+            members[path[:d]].append(c)
+    for path in members:
+        if path:
+            below[path[:-1]].append(path)
+    leaves, saved, out = {}, {}, []
+    for path in sorted(members, key=len, reverse=True):
+        inner = below.get(path, [])
+        leaves[path] = sum(leaves[k] for k in inner) or 1
+        saved[path] = (len(members[path]) - 1) * (len(path[-1][1]) if path else 0) + sum(saved[k] for k in inner)
+        ends = ",".join(map(str, sorted(c for c in members[path] if made[c] == path)))
+        parent = min(members[path[:-1]]) if path else None
+        digest = hashlib.sha256(ends.encode()).hexdigest()
+        out.append((min(members[path]), len(path), parent, len(members[path]), len(inner), leaves[path], saved[path], digest))
+    return sorted(out, key=repr)
+
+
+def found(df):
+    return sorted(map(tuple, prefixes.prefix_trie(df).collect()), key=repr)
+
+
+def awkward():
+    """Nulls in every column, ties, repeated rows, missing and short heads, negative ids, other scripts."""
+    rng = random.Random(1)
+    ids = [0, 1, 2, 3, 5, 100, 101, 150, 250, -5, -150, None]
+    texts = ["a", "b", None, "", "日本語 ÀÉ", "x" * 50_000]
+    return [(rng.choice(ids), rng.choice([None, 1, 2, 3, 3]), rng.choice(["u", None, ""]), rng.choice(texts)) for _ in range(150)]
+
+
+@pytest.mark.parametrize(
+    "rows",
+    [[], [(None, 1, "u", "t")], [(7, None, None, None)], [(7, 1, "u", "t")] * 20, awkward()],
+    ids=["empty", "no id", "nulls", "repeated", "awkward"],
+)
+def test_nodes_equal_brute_force(spark, rows):
+    assert found(conversations(spark, rows)) == brute(rows)
+
+
+def test_conversations_longer_than_a_partition(spark):
+    """Most turns in one conversation and most others copies of it: both lie in several partitions."""
+    rows = [(7, k, "u", f"t{k}") for k in range(1500)] + [(8, k, "u", f"t{k}") for k in range(900)]
+    rows += [(c, k, "u", f"t{k}") for c in range(20, 50) for k in range(c)] + [(9, 1, "u", "same")] * 300
+    assert found(conversations(spark, rows)) == brute(rows)
+
+
+def test_ends_of_many_copies(spark, monkeypatch):
+    """A node at which more conversations end than a piece of its text holds."""
+    monkeypatch.setattr(prefixes, "PIECE", 7)
+    rows = [(c, k, "u", "same") for c in range(1000, 1400) for k in range(9)]
+    assert found(conversations(spark, rows)) == brute(rows)
+
+
+def test_query_equals_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{SF}/conversations.parquet')")
+    result = con.execute(ORACLE_SQL["op11_prefix_trie"])
+    names = [d[0] for d in result.description]
+    got = QUERIES["op11_prefix_trie"](spark, SF)
+    assert got.columns == names
+    assert {t for c, t in got.dtypes if c != "ends_sha256"} == {"bigint"}
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(result.fetchall(), key=repr)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 1000, 50_000])
+def test_slots_are_minimal_and_perfect(n):
+    rng = np.random.default_rng(n)
+    low, high = (rng.integers(0, 1 << 64, n, np.uint64, endpoint=False) for _ in range(2))
+    high[: n // 2] = 5  # digests that differ in one half only
+    table = Slots(low, high)
+    assert sorted(table.of(low, high)) == list(range(n))
+    if n:
+        with pytest.raises(KeyError):
+            table.of(low, high ^ np.uint64(1))
+        twice = np.concatenate((low, low))
+        assert len(distinct(twice, np.concatenate((high, high)))) == n
