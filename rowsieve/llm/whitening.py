@@ -65,13 +65,13 @@ def _correct(a: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, floa
 
 
 def _settled(a: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Corrections until their steps are at the last digit or no longer fall."""
-    last = np.inf
+    """Corrections until their steps are at the last digit, or neither they nor the limit fall."""
+    last = (np.inf, np.inf)
     for _ in range(ROUNDS):
         x, values, limit, step = _correct(a, x)
-        if step < np.finfo(WIDE).eps * 4 or step >= last / 2:
+        if step < np.finfo(WIDE).eps * 4 or step >= last[0] / 2 and limit >= last[1] / 2:
             break
-        last = step
+        last = step, limit
     return x, values, limit
 
 
