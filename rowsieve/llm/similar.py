@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
-from itertools import count
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from rowsieve.llm.components import components
 from rowsieve.llm.tables import written
 from rowsieve.llm.words import shingle_hashes
 from rowsieve.operators.small import join_small
-from rowsieve.session import checkpointed
+from rowsieve.session import checkpointed, drop_path, scratch_path, stage
 
 
 @dataclass(frozen=True)
@@ -34,14 +35,18 @@ class Similar:
 
 #: Links texts whose 5-word shingles have a Jaccard similarity of 0.8 or more.
 SIMILAR = Similar()
+#: The same with longer bands, for groups that are large otherwise: misses as few, parts unlike texts better.
+FINE = Similar(bands=42, hashes=6)
 #: Similarity as a fraction in whole numbers.
 OVER, UNDER = 4, 5
 SEED = 42
 PART = 2048
-#: Pairs of a key that are few: so many for each of its rows.
-FEW = 64
-#: So many turns in a row that leave more than this share of the pairs are enough.
-STUCK, FALL = 2, 0.9
+#: Texts of a group, and shingles in all of them, that are compared within one task.
+GROUP, SHINGLES = 512, 1 << 20
+#: Cells of the table that rules out pairs of a task.
+CELLS = 1 << 23
+#: Times that rows of a crowded key are compared with some of them, drawn by hash.
+STARS = 2
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -64,24 +69,97 @@ def band_keys(shingles: np.ndarray, linking: Similar) -> np.ndarray:
     return (least * mix).reshape(linking.bands, linking.hashes).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
-def shingled(docs: DataFrame, linking: Similar) -> DataFrame:
-    """(doc_id, text_hash, fingerprint, keys, shingles) of every row.
+def sketched(base: DataFrame, linking: Similar) -> DataFrame:
+    """(row, doc_id, text_hash, fingerprint, keys, n) of every row (row, doc_id, text) of ``base``.
 
-    Equal sets have equal fingerprints; null and empty texts have the empty set.
+    ``n`` shingles are in the set. Equal sets have equal fingerprints; null and empty
+    texts have the empty set.
     """
 
     def setup():
         def work(rows):
-            for doc_id, text_hash, text in rows:
+            for row, doc_id, text_hash, text in rows:
                 found = shingle_set(text, linking.width)
                 name = blake2b(found.tobytes(), digest_size=16).hexdigest()
-                yield doc_id, text_hash, name, band_keys(found, linking), found.view(np.int64)
+                yield row, doc_id, text_hash, name, band_keys(found, linking), len(found)
 
         return work
 
-    columns = docs.select("doc_id", F.xxhash64("text"), "text")
-    schema = "doc_id long, text_hash long, fingerprint string, keys array<long>, shingles array<long>"
-    return map_rows(columns, setup, schema)
+    columns = base.select("row", "doc_id", F.xxhash64("text"), "text")
+    return map_rows(columns, setup, "row long, doc_id long, text_hash long, fingerprint string, keys array<long>, n int")
+
+
+def _sets(texts: DataFrame, linking: Similar) -> DataFrame:
+    """(node, shingles) of ``texts`` (node, text)."""
+
+    def setup():
+        return lambda rows: [(node, shingle_set(text, linking.width).view(np.int64)) for node, text in rows]
+
+    return map_rows(texts.select("node", "text"), setup, "node long, shingles array<long>")
+
+
+def _possible(sets: list[np.ndarray], size: np.ndarray) -> np.ndarray:
+    """Which two sets may be alike, by places that their shingles fall to.
+
+    What two sets have in common falls to places that both hold; of several shingles at a
+    place, all but one can be common beyond these. So no alike pair is ruled out.
+    """
+    places = 64
+    while places < 8 * np.median(size) and 2 * places * len(sets) <= CELLS:
+        places *= 2
+    holds = np.zeros((len(sets), places), np.float32)
+    for row, shingles in zip(holds, sets, strict=True):
+        row[(shingles % np.uint64(places)).astype(np.int64)] = 1
+    more = size - holds.sum(axis=1)
+    common = holds @ holds.T + np.minimum(more[:, None], more[None, :])
+    return common * (OVER + UNDER) >= (size[:, None] + size[None, :]) * OVER
+
+
+def linked(sets: list[np.ndarray]) -> np.ndarray:
+    """For each of some sorted ``sets``, the index of the first one that links reach.
+
+    Only pairs that may be alike and are not yet linked are counted, exactly.
+    """
+    size = np.array([len(s) for s in sets])
+    possible = _possible(sets, size)
+    root = np.arange(len(sets))
+    for i in range(len(sets)):
+        for j in np.flatnonzero(possible[i, i + 1 :]) + i + 1:
+            if root[i] != root[j]:
+                common = size[i] + size[j] - len(np.union1d(sets[i], sets[j]))
+                if common * (OVER + UNDER) >= (size[i] + size[j]) * OVER:
+                    low, high = sorted((root[i], root[j]))
+                    root[root == high] = low
+    return root
+
+
+def _groups(linking: Similar):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (task, node, text) sorted by task; the texts of a task are compared, each with each."""
+        now, held = None, {}
+
+        def done():
+            nodes = sorted(held)
+            roots = linked([held[k] for k in nodes])
+            return pa.RecordBatch.from_pydict({"src": pa.array([nodes[k] for k in roots]), "dst": pa.array(nodes)})
+
+        for batch in batches:
+            for task, node, text in zip(*(batch.column(c) for c in ("task", "node", "text")), strict=True):
+                if held and task.as_py() != now:
+                    yield done()
+                    held = {}
+                now = task.as_py()
+                held[node.as_py()] = shingle_set(text.as_py(), linking.width)
+        if held:
+            yield done()
+
+    return run
+
+
+def _compared(texts: DataFrame, linking: Similar) -> DataFrame:
+    """Links (src, dst) between ``texts`` (task, node, text) of a task, one for each of them at most."""
+    dealt = texts.select("task", "node", "text").repartition("task").sortWithinPartitions("task")
+    return dealt.mapInArrow(_groups(linking), "src long, dst long").where("src <> dst")
 
 
 def _near_sizes(a: str, b: str):
@@ -89,97 +167,153 @@ def _near_sizes(a: str, b: str):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The ``pairs`` (src, dst) whose similarity is high enough, by counting."""
+    """The ``pairs`` (src, dst, and their roots) whose similarity is high enough, by counting."""
     one, other = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"_{c}")) for c in ("src", "dst"))
     common = F.size(F.array_intersect("_src", "_dst"))
     both = F.size("_src") + F.size("_dst")
     # common / (both - common) >= OVER / UNDER
     return (
-        pairs.join(one, "src").join(other, "dst").where(common * (OVER + UNDER) >= both * OVER).select("src", "dst")
+        pairs.join(one, "src").join(other, "dst").where(common * (OVER + UNDER) >= both * OVER).select(pairs.columns)
     )
 
 
-def links(rows: DataFrame) -> DataFrame:
-    """Links (src, dst) that join all nodes of ``rows`` (node, keys, shingles) that are alike.
+def _starred(buckets: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, root), and (node, root, n) of the nodes that still share a key with one of another root.
 
-    Rows that share a key are first compared with one of them, drawn by hash. What that
-    links is one root, and only pairs of unlike roots matter from there on: all of a key's
-    are compared once they are few for its rows, and until then its rows are compared with
-    two others drawn anew. A large group of near copies costs its rows, not their pairs.
-    Pairs are many only where texts share a key and are not alike; all are compared then.
+    The rows of each key of ``buckets`` (key, node, n) are compared with one of them, drawn
+    by hash. What that links is one root, and from there on only keys and pairs of unlike
+    roots matter. A large group of near copies costs its rows, not their pairs.
     """
-    buckets = rows.select("node", F.size("shingles").alias("n"), F.explode("keys").alias("key"))
-    shared = checkpointed(buckets.groupBy("key").count().where("count > 1").select("key"))
-    buckets = written(buckets.join(shared, "key"), "buckets")
-    met = buckets.select("node").distinct().withColumn("met", F.lit(True))
-    sets = written(join_small(rows.select("node", "shingles"), met, "node").where("met").drop("met"), "sets")
-    keys = _keys(buckets.withColumn("root", F.col("node")), 0)
-    found = checkpointed(_verified(_star_pairs(buckets.withColumn("root", F.col("node")), keys, ("low",)), sets))
-    last, stuck = None, 0
-    for turn in count(1):
-        buckets = buckets.drop("root").join(components(found), "node", "left")
-        buckets = buckets.withColumn("root", F.coalesce("root", "node"))
-        keys = _keys(buckets, turn)
-        # Drop keys of one root; of two rows, the first turn has compared the pair.
-        buckets = written(buckets.join(keys.select("key"), "key", "left_semi"), "buckets")
-        many = keys.where("many").agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
-        stuck = stuck + 1 if last is not None and many > last * FALL else 0
-        last = many
-        if stuck == STUCK or not many:
-            return found.unionByName(_verified(_all_pairs(buckets), sets))
-        few = buckets.join(keys.where("not many").select("key"), "key", "left_semi")
-        large = keys.where("many")
-        buckets = buckets.join(large.select("key"), "key", "left_semi")
-        pairs = _all_pairs(few).unionByName(_star_pairs(buckets, large, ("low", "high")))
-        found = checkpointed(found.unionByName(_verified(pairs.distinct(), sets)))
+    now = buckets.withColumn("root", F.col("node"))
+    roots = now.select("node", "root").distinct()
+    for turn in range(STARS):
+        pairs = _star_pairs(now, _keys(now, turn)).dropDuplicates(["src", "dst"])
+        moved = components(_verified(pairs, sets).select(F.col("src_root").alias("src"), F.col("dst_root").alias("dst")))
+        moved = moved.select(F.col("node").alias("root"), F.col("root").alias("to"))
+        to = F.coalesce("to", "root").alias("root")
+        roots = checkpointed(roots.join(moved, "root", "left").select("node", to))
+        now = now.join(moved, "root", "left").select("key", "node", "n", to)
+        now = checkpointed(now.join(_keys(now, turn).select("key"), "key", "left_semi"))
+    return roots, now.select("node", "root", "n").distinct()
 
 
 def _keys(buckets: DataFrame, turn: int) -> DataFrame:
-    """Keys that still have pairs of unlike roots: their number, and two rows drawn by hash."""
-    drawn = F.struct(F.xxhash64("node", F.lit(turn)).alias("by"), "node", "n", "root")
-    each = buckets.groupBy("key", "root").agg(
-        F.count("*").alias("rows"), F.min(drawn).alias("low"), F.max(drawn).alias("high")
-    )
-    whole = each.groupBy("key").agg(
-        F.sum("rows").alias("rows"),
-        F.expr("(sum(rows) * sum(rows) - sum(rows * rows)) div 2").alias("pairs"),
-        F.min("low").alias("low"),
-        F.max("high").alias("high"),
-    )
-    return checkpointed(
-        whole.where((F.col("pairs") > 0) & (F.col("rows") > (2 if turn else 1))).withColumn(
-            "many", F.col("pairs") > F.col("rows") * FEW
-        )
-    )
+    """Keys with rows of unlike roots, and one row of each drawn by hash."""
+    drawn = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("by"), "node", "n", "root")).alias("drawn")
+    found = buckets.groupBy("key").agg(drawn, F.min("root").alias("a"), F.max("root").alias("b"))
+    return found.where("a <> b").select("key", "drawn")
+
 
+def _star_pairs(buckets: DataFrame, keys: DataFrame) -> DataFrame:
+    """Pairs of the rows of a key with the one drawn, of unlike roots and similar size."""
+    met = buckets.join(keys, "key").where((F.col("root") != F.col("drawn.root")) & _near_sizes("n", "drawn.n"))
+    first = F.col("node") < F.col("drawn.node")
+    ends = [
+        F.when(first if low else ~first, F.col(c)).otherwise(F.col(f"drawn.{c}")).alias(name)
+        for name, c, low in (("src", "node", True), ("dst", "node", False), ("src_root", "root", True), ("dst_root", "root", False))
+    ]
+    return met.select(ends)
 
-def _star_pairs(buckets: DataFrame, keys: DataFrame, drawn: tuple[str, ...]) -> DataFrame:
-    """Pairs (src, dst) of the rows of a key with those drawn, of unlike roots and similar size."""
-    met = buckets.join(keys.select("key", F.array(*drawn).alias("drawn")), "key")
-    met = met.select("node", "n", "root", F.explode("drawn").alias("to"))
-    near = (F.col("root") != F.col("to.root")) & _near_sizes("n", "to.n")
-    ends = (F.least("node", "to.node").alias("src"), F.greatest("node", "to.node").alias("dst"))
-    return met.where(near).select(*ends).distinct()
 
+def _blocks(texts: DataFrame, groups: DataFrame) -> DataFrame:
+    """(task, node, text): each two blocks of the nodes of a group meet in a task of bounded size.
 
-def _all_pairs(buckets: DataFrame) -> DataFrame:
-    """Pairs (src, dst) of nodes of unlike roots that share a key and are of similar size."""
-    a, b = buckets.alias("a"), buckets.alias("b")
-    meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")) & _near_sizes("a.n", "b.n")
-    ends = (F.least("a.node", "b.node").alias("src"), F.greatest("a.node", "b.node").alias("dst"))
-    return a.join(b, meet).select(*ends).distinct()
+    ``groups``: (node, root, n). A group is dealt into as many blocks as keep two of them
+    within ``GROUP`` texts and ``SHINGLES`` shingles. What a task gives out are links that
+    join its texts, never their pairs.
+    """
+    sizes = groups.groupBy("root").agg(F.count("*").alias("rows"), F.sum("n").alias("total"))
+    whole = (F.col("rows") <= GROUP) & (F.col("total") <= SHINGLES)
+    many = F.ceil(F.greatest(F.col("rows") / (GROUP // 2), F.col("total") / (SHINGLES // 2)))
+    sizes = sizes.select("root", F.when(whole, F.lit(1)).otherwise(many).cast("int").alias("blocks"))
+    dealt = groups.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    # A block alone meets itself; of several, each meets all others, and so itself there too.
+    met = other.where("blocks = 1 or block <> other")
+    task = F.concat_ws(":", "root", F.least("block", "other"), F.greatest("block", "other")).alias("task")
+    return texts.join(met.select("node", task), "node")
+
+
+class Tables:
+    """Tables written on the way to a result, and dropped together once that is written itself."""
+
+    def __init__(self) -> None:
+        self._paths: list[tuple] = []
+
+    def __call__(self, df: DataFrame, label: str) -> DataFrame:
+        path = scratch_path(df.sparkSession, label)
+        self._paths.append((df.sparkSession, path))
+        return stage(df, path)
+
+    def drop(self) -> None:
+        while self._paths:
+            drop_path(*self._paths.pop())
+
+
+def crowded(buckets: DataFrame, texts: DataFrame, linking: Similar, put=written) -> DataFrame:
+    """Links (src, dst) that join all alike nodes of ``buckets`` (key, node, n), for groups too large for a task.
+
+    First the near copies among them are found by comparing rows with drawn ones. What is
+    left shares keys and is mostly unlike, a common passage say: longer bands part it, and
+    only nodes of unlike roots that share one of those are compared, in blocks.
+    """
+    sets = put(_sets(texts, linking), "sets")
+    roots, left = _starred(buckets, sets)
+
+    def finer():
+        return lambda rows: [(*row, band_keys(np.array(found, np.int64).view(np.uint64), FINE)) for *row, found in rows]
+
+    fine = map_rows(left.join(sets, "node"), finer, "node long, root long, n int, keys array<long>")
+    fine = fine.select("node", "n", "root", F.explode("keys").alias("key"))
+    fine = put(fine, "fine")
+    least = fine.groupBy("key").agg(F.min("node").alias("low"), F.min("root").alias("a"), F.max("root").alias("b"))
+    met = checkpointed(fine.join(least.where("a <> b").select("key", "low"), "key").select("node", "low", "n").distinct())
+    groups = components(met.where("node <> low").select(F.col("low").alias("src"), F.col("node").alias("dst")))
+    groups = checkpointed(groups.join(met.select("node", "n").distinct(), "node"))
+    found = _compared(_blocks(texts, groups), linking)
+    return roots.where("node <> root").select(F.col("root").alias("src"), F.col("node").alias("dst")).unionByName(found)
+
+
+def roots(nodes: DataFrame, base: DataFrame, linking: Similar, put=written) -> DataFrame:
+    """(node, root) of ``nodes`` (node, keys, n) that are alike to another; ``base`` has their texts.
+
+    Nodes that share keys, over any number of steps, are a group: no link leaves it. A
+    group of bounded size is compared within one task, all texts against all, so each
+    text moves once. Larger groups are first thinned out.
+    """
+    buckets = nodes.select("node", "n", F.explode("keys").alias("key"))
+    least = buckets.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("rows")).where("rows > 1")
+    buckets = put(buckets.join(least.select("key", "low"), "key"), "buckets")
+    groups = components(buckets.where("node <> low").select(F.col("low").alias("src"), F.col("node").alias("dst")))
+    groups = groups.join(nodes.select("node", "n"), "node")
+    sizes = groups.groupBy("root").agg(((F.count("*") > GROUP) | (F.sum("n") > SHINGLES)).alias("large"))
+    groups = put(groups.join(sizes, "root").select("node", "root", "large"), "groups")
+    texts = base.select(F.col("row").alias("node"), "text").join(groups, "node")
+    texts = put(texts, "texts")
+    found = _compared(texts.where("not large").withColumn("task", F.col("root").cast("string")), linking)
+    large = groups.where("large").select("node")
+    if not large.isEmpty():
+        some = buckets.drop("low").join(large, "node", "left_semi")
+        found = found.unionByName(crowded(put(some, "crowded"), texts.where("large").select("node", "text"), linking, put))
+    return components(found)
 
 
 def classes(docs: DataFrame, linking: Similar) -> tuple[DataFrame, DataFrame]:
     """Rows with their fingerprints, and distinct fingerprints with root and first row.
 
-    Sets are made once and written. Each distinct one is a node, so exact copies cost
-    nothing in the join.
+    Texts are written once with a number for each row. Each distinct set is a node, so
+    exact copies cost nothing in the join. Only the result is kept.
     """
-    rows = written(shingled(docs, linking).withColumn("row", F.monotonically_increasing_id()), "shingles")
-    least = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_hash")).alias("first")
-    found = written(rows.groupBy("fingerprint").agg(least, F.min("row").alias("node")), "classes")
-    nodes = rows.select(F.col("row").alias("node"), "keys", "shingles")
-    nodes = nodes.join(found.select("node"), "node", "left_semi")
-    rooted = found.join(components(links(nodes)), "node", "left")
-    return rows, rooted.withColumn("root", F.coalesce("root", "node")).drop("node")
+    put = Tables()
+    try:
+        base = put(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "texts")
+        rows = put(sketched(base, linking), "sketches")
+        least = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_hash")).alias("first")
+        same = (F.min("row").alias("node"), F.first("keys").alias("keys"), F.first("n").alias("n"))
+        found = put(rows.groupBy("fingerprint").agg(least, *same), "classes")
+        rooted = roots(found.select("node", "keys", "n"), base, linking, put)
+        rooted = found.select("fingerprint", "first", "node").join(rooted, "node", "left")
+        rooted = written(rooted.withColumn("root", F.coalesce("root", "node")).drop("node"), "roots")
+        return written(rows.select("doc_id", "text_hash", "fingerprint"), "rows"), rooted
+    finally:
+        put.drop()

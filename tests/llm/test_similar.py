@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 from helpers import documents, rows
+from pyspark.sql import functions as F
 
 from rowsieve.llm import simhash, similar
 
@@ -69,30 +70,103 @@ def test_band_keys(text):
     assert len(found) == len(plain_set(text)) and np.array_equal(keys, similar.band_keys(found, similar.SIMILAR))
 
 
+@pytest.mark.parametrize("group", [2, 128])
+def test_groups_within_and_beyond_a_task(spark, monkeypatch, group):
+    """The same classes whether groups are compared in one task or by pairs of a key."""
+    monkeypatch.setattr(similar, "GROUP", group)
+    rng = random.Random(15)
+    data = [(0, ""), (1, None), (2, "one")]
+    for _ in range(10):
+        words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        for _ in range(5):
+            data.append((len(data), " ".join(words)))
+            words = changed(rng, words, rng.randint(1, 6))
+    root = list(range(len(data)))
+    for i in range(len(data)):
+        for j in range(i):
+            a, b = data[i][1] or "", data[j][1] or ""
+            if plain_set(a) == plain_set(b) or plain_similarity(a, b) >= 0.8:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    got = rows(simhash.near_duplicates(documents(spark, data), simhash.SIMILAR), "doc_id", "component_id")
+    assert dict(got) == dict(enumerate(root))
+
+
+def test_linked_counts_exactly():
+    """Two sets of 9 with 8 in common are at 0.8; with 7 they are not."""
+    a, b, c = ([*range(8), 100], [*range(8), 200], [*range(7), 300, 400])
+    sets = [np.array(sorted(x), np.uint64) for x in (a, c, b, a)]
+    assert similar.linked(sets).tolist() == [0, 1, 0, 0]
+    rng = np.random.default_rng(1)
+    long = np.unique(rng.integers(0, 1 << 63, 50_000, np.uint64))
+    fifths = [long, long[:10], long[: len(long) * 4 // 5 + 1], long[: len(long) * 3 // 4]]
+    assert similar.linked(fifths).tolist() == [0, 1, 0, 0]
+    assert similar.linked([long, fifths[3]]).tolist() == [0, 1]
+
+
+@pytest.mark.parametrize("cells", [1 << 12, 1 << 23])
+def test_no_alike_pair_is_ruled_out(monkeypatch, cells):
+    monkeypatch.setattr(similar, "CELLS", cells)
+    rng = np.random.default_rng(2)
+    sets = []
+    for _ in range(12):
+        own = rng.integers(0, 1 << 62, rng.integers(5, 900), np.uint64)
+        sets += [np.unique(np.concatenate((own[k:], rng.integers(0, 1 << 62, k, np.uint64)))) for k in range(0, len(own) // 6 + 1, 20)]
+    size = np.array([len(s) for s in sets])
+    possible = similar._possible(sets, size)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            if 9 * len(np.intersect1d(a, b)) >= 4 * (len(a) + len(b)):
+                assert possible[i, j]
+
+
 def test_large_group_costs_its_rows(spark, monkeypatch):
     """Distinct near copies of one text are not compared pair by pair, and each is found."""
     rng = random.Random(13)
     base = [f"w{rng.randrange(5000)}" for _ in range(300)]
     data = [(k, " ".join(changed(rng, base, rng.randint(1, 3)))) for k in range(600)]
     compared = []
-    verified = similar._verified
+    verified, blocks = similar._verified, similar._blocks
 
-    def counted(pairs, sets):
-        pairs = pairs.cache()
+    def pairs_counted(pairs, sets):
         compared.append(pairs.count())
         return verified(pairs, sets)
 
-    monkeypatch.setattr(similar, "_verified", counted)
+    def blocks_counted(texts, groups):
+        out = blocks(texts, groups)
+        compared.extend(r["count"] ** 2 for r in out.groupBy("task").count().collect())
+        return out
+
+    monkeypatch.setattr(similar, "_verified", pairs_counted)
+    monkeypatch.setattr(similar, "_blocks", blocks_counted)
     assert rows(simhash.keep_first(documents(spark, data)), "doc_id") == [(0,)]
-    assert sum(compared) < 30 * len(data) < 600 * 599 / 2
+    assert 0 < sum(compared) < 60 * len(data) < 600 * 599 / 2
 
 
 def test_crowded_keys_lose_no_link(spark, monkeypatch):
-    """Rows under few keys that are mostly unlike: pairs that the drawn rows miss are found."""
-    monkeypatch.setattr(similar, "FEW", 0)
+    """Texts that share a long passage and are unlike but for pairs of near copies: all of these are found."""
+    monkeypatch.setattr(similar, "GROUP", 16)
     rng = random.Random(14)
-    own = [rng.sample(range(10**6), 40) for _ in range(40)]
-    sets = [(2 * k + side, [*own[k][: 40 - side]]) for k in range(40) for side in (0, 1)]
-    frame = spark.createDataFrame([(i, [1, 2], s) for i, s in sets], "node long, keys array<long>, shingles array<long>")
-    got = {(r.src, r.dst) for r in similar.links(frame).collect()}
-    assert got == {(2 * k, 2 * k + 1) for k in range(40)}
+    passage = [f"p{k}" for k in range(300)]
+    data, want = [], {}
+    for k in range(60):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        for words in (own, changed(rng, own, 2)):
+            want[len(data)] = 2 * k
+            data.append((len(data), " ".join(passage + words)))
+    got = rows(simhash.near_duplicates(documents(spark, data), simhash.SIMILAR), "doc_id", "component_id")
+    assert dict(got) == want
+
+
+def test_blocks_let_all_meet(spark, monkeypatch):
+    """Each two nodes of a group meet in a task, and no task holds more than two blocks."""
+    monkeypatch.setattr(similar, "GROUP", 10)
+    groups = [(k, 0, 3) for k in range(57)] + [(k, 100, 3) for k in range(100, 109)] + [(200, 200, similar.SHINGLES), (201, 200, 5)]
+    groups = spark.createDataFrame(groups, "node long, root long, n int")
+    texts = groups.select("node", F.lit("t").alias("text"))
+    tasks = {}
+    for r in similar._blocks(texts, groups).collect():
+        tasks.setdefault(r.task, set()).add(r.node)
+    met = {(a, b) for nodes in tasks.values() for a in nodes for b in nodes if a < b}
+    assert met >= {(a, b) for b in range(57) for a in range(b)} | {(a, b) for b in range(100, 109) for a in range(100, b)} | {(200, 201)}
+    assert all(len({n // 100 for n in nodes}) == 1 for nodes in tasks.values())
