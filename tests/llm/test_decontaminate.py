@@ -106,3 +106,29 @@ def test_awkward_rows(spark, items):
     assert dc.contaminated(docs, benchmark).count() == 0
     assert dc.drop_contaminated(docs, benchmark).count() == 15
     assert dc.contaminated(documents(spark, []), benchmark).count() == 0
+
+
+def test_short_items_count_as_a_whole(spark):
+    items = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "omega psi"), (3, "one two three four five")], "item_id long, text string")
+    data = [(1, "x alpha beta gamma delta y"), (2, "alpha beta gamma x delta"), (3, "Omega, Psi."), (4, "psi omega"), (5, "omega"), (6, "one two three four")]
+    got = rows(dc.contaminated(documents(spark, data), items), "doc_id", "item_id", "covered_words", "n_tiles", "longest_tile")
+    assert got == [(1, 1, 4, 1, 4), (3, 2, 2, 1, 2)]
+
+
+def test_a_word_repeated_in_both(monkeypatch):
+    """Memory goes with the words of both texts, not with their pairs; parts of seeds give the same tiles."""
+    import tracemalloc
+
+    known = dc.index([(1, "word " * 400)])
+    tracemalloc.start()
+    assert list(dc.matches("word " * 80_000, known)) == [(1, 400, 400, 1, 400)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
+    rng = random.Random(3)
+    item = " ".join(rng.choice("abc") for _ in range(60))
+    texts = [" ".join(rng.choice("abc") for _ in range(500)) for _ in range(20)]
+    known = dc.index([(1, item), (2, "a b"), (3, item + " " + item)])
+    whole = [list(dc.matches(t, known, 0.1)) for t in texts]
+    monkeypatch.setattr(dc, "SEEDS", 64)
+    assert [list(dc.matches(t, known, 0.1)) for t in texts] == whole and any(whole)
