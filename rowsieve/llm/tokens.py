@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import json
+import os
 import re
 from array import array
 from functools import lru_cache
@@ -39,7 +41,9 @@ class Encoder:
 
     The tokenizer always begins a new unit at a single space between two other characters,
     so a text is cut there and equal pieces are encoded once. Pieces are kept up to a
-    number, then dropped all at once. Strings of special tokens count as ordinary text.
+    number, then dropped all at once. A special token written out in a text becomes its id,
+    as the tokenizer's own file (beside ``path``) has it, and the texts around it are
+    encoded each by itself.
     """
 
     def __init__(self, path: str) -> None:
@@ -50,6 +54,10 @@ class Encoder:
             ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
         known = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._ids = known.encode_ordinary
+        self._special = special_tokens(f"{os.path.splitext(path)[0]}.json")
+        # The longest of those that begin at a place is meant.
+        names = sorted(map(re.escape, self._special), key=len, reverse=True)
+        self._split = re.compile(f"({'|'.join(names)})" if names else "(?!)")
         self._first: dict[str, bytes] = {}
         self._later: dict[str, bytes] = {}
 
@@ -65,6 +73,13 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null and empty texts have none."""
+        if not any(name in t for t in texts if t for name in self._special):
+            return self._encode(texts)
+        parts = [self._split.split(t or "") for t in texts]  # every second part is a special token
+        plain = iter(self._encode([x for p in parts for x in p[::2]]))
+        return [b"".join(next(plain) if k % 2 == 0 else self._special[x] for k, x in enumerate(p)) for p in parts]
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [_pieces(t or "") for t in texts]
         first = [pieces.pop(0) for pieces in cut]
         long = [(self._first, self._learn(self._first, set(first), ""))]
@@ -77,6 +92,14 @@ class Encoder:
         return made
 
 
+def special_tokens(path: str) -> dict[str, bytes]:
+    """Text and id of the tokens that the tokenizer's file at ``path`` adds to its vocabulary; none without a file."""
+    if not os.path.exists(path):
+        return {}
+    with open(path, encoding="utf-8") as file:
+        return {t["content"]: array("I", [t["id"]]).tobytes() for t in json.load(file)["added_tokens"]}
+
+
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     """One encoder per worker process, so that its pieces serve later tasks too."""

@@ -15,7 +15,6 @@ from rowsieve.llm.lexicon import Lexicon, Term, usual_edits
 from rowsieve.llm.tables import written
 
 SAMPLE_ROWS = 10_000
-MAX_TERMS = 2_000
 STEMS = (4, 5, 6, 7)
 CONTEXT_WORDS = 6
 
@@ -98,13 +97,15 @@ def _sample(labels: DataFrame, rows: int) -> DataFrame:
     return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
-def learn_terms(train: DataFrame, max_terms: int = MAX_TERMS) -> list[Term]:
+def learn_terms(train: DataFrame) -> list[Term]:
     """Words and stems that stand mostly in toxic texts of ``train`` (doc_id, text, toxic).
 
     A text counts a word once. A term needs a share of the toxic texts (1 in 200, at least
     5 texts) and four toxic texts in five of those it stands in, one clean text added. A
     stem is taken if it is found in a third more toxic texts than any word that begins with
-    it, so plain words stay words; what a taken stem covers is left out.
+    it, so plain words stay words. A word that a taken stem covers is a term still if
+    misspellings of it count, as stems have none. There are no more terms than words in the
+    sample, which is bounded.
     """
     counts = {r.toxic: r.n for r in train.groupBy("toxic").agg(F.count_distinct("doc_id").alias("n")).collect()}
     toxic = counts.get(1, 0)
@@ -125,8 +126,6 @@ def learn_terms(train: DataFrame, max_terms: int = MAX_TERMS) -> list[Term]:
         seen.groupBy("text", "stem")
         .agg(F.sum("toxic").alias("hits"), F.count("*").alias("texts"))
         .where((F.col("hits") >= max(5, 0.005 * toxic)) & (F.col("hits") >= 0.8 * (F.col("texts") + 1)))
-        .orderBy(F.desc("hits"), "text", "stem")
-        .limit(10 * max_terms)
         .collect()
     )
     most = {n: {} for n in STEMS}
@@ -140,15 +139,14 @@ def learn_terms(train: DataFrame, max_terms: int = MAX_TERMS) -> list[Term]:
     for r in sorted(rows, key=lambda r: (not r.stem, len(r.text), r.text)):
         covered = any(r.text[:n] in stems for n in STEMS if n <= len(r.text))
         odds = math.log((r.hits + 0.5) / (r.texts - r.hits + 0.5))
-        if covered:
-            continue
         if not r.stem:
-            words_[r.text] = odds
-        elif 3 * r.hits > 4 * most[len(r.text)].get(r.text, 0):
+            if not covered or usual_edits(r.text, False):
+                words_[r.text] = odds
+        elif not covered and 3 * r.hits > 4 * most[len(r.text)].get(r.text, 0):
             stems[r.text] = odds
     terms = [Term(t, True, w) for t, w in stems.items()]
     terms += [Term(t, False, w, usual_edits(t, False)) for t, w in words_.items()]
-    return _checked(train, sorted(terms, key=lambda t: (-t.weight, t.text))[:max_terms])
+    return _checked(train, sorted(terms, key=lambda t: (-t.weight, t.text)))
 
 
 def _checked(train: DataFrame, terms: list[Term]) -> list[Term]:

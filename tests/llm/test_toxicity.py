@@ -136,3 +136,26 @@ def test_awkward_rows(spark):
         assert all(0 <= r.score <= 1 for r in got.collect())
         assert {r.held_out for r in got.where("doc_id is null").collect()} == {False}
     assert rows(toxicity.score_toxicity(documents(spark, []), model)) == []
+
+
+def test_misspellings_of_words_that_a_stem_covers(spark):
+    """A stem found beyond any one word does not hide the misspellings of its words."""
+    forms = ["idiotly", "idiotic", "idiotism"]
+    data = [(k, f"you {forms[k % 3]} {k}", 1) for k in range(60)] + [(k, f"fine words {k}", 0) for k in range(100, 160)]
+    terms = toxicity.learn_terms(spark.createDataFrame(data, "doc_id long, text string, toxic int"))
+    assert any(t.stem for t in terms) and {t.text for t in terms if not t.stem} >= set(forms)
+    found = Lexicon(terms).find(["idiatic", "idiotish", "fine"])
+    assert found[0][0] > 0 and found[1][0] == 0 and found[2] is None
+
+
+def test_thousands_of_terms(spark):
+    """No term is left out, however many there are, and each is found with an edit."""
+    rng = random.Random(8)
+    words = sorted({"".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(9)) for _ in range(5000)})
+    data = [(k, " ".join(words[k % 25 :: 25]), 1) for k in range(200)] + [(k, "plain text", 0) for k in range(300, 400)]
+    terms = toxicity.learn_terms(spark.createDataFrame(data, "doc_id long, text string, toxic int"))
+    assert {t.text for t in terms if not t.stem} == set(words)
+    found = Lexicon(terms)
+    some = rng.sample(words, 30)
+    assert all(x and x[0] == 0 for x in found.find(some))
+    assert all(x and x[0] <= 1 for x in found.find([w[:4] + "z" + w[5:] for w in some]))
