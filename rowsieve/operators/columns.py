@@ -18,7 +18,7 @@ AUDIT = frozenset({SOURCE.lower(), REASON.lower()})
 
 # Names the library gives to columns while it works; no input column may have one.
 INTERNAL = frozenset(
-    "_at _base _block _bucket _bucket_key _bucket_name _bucket_pos _cells _chunk _competes _error _file _file_ord "
+    "_at _base _bit _bits _block _bucket _bucket_key _bucket_name _bucket_pos _cells _chunk _competes _error _file _file_ord "
     "_first _from _given _key _kind _line _n _part _parts _path_key _pid _piece _pos _rank _read _rid _rn _row _run "
     "_salt _scope _scope_file _sheet _sheet_key _sheet_ord _shift _status _stem".split()
 )

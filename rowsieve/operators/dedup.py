@@ -1,8 +1,9 @@
 """First-wins deduplication: keys, row order, and who comes first.
 
 No step puts all rows of a key into one task. Winners come from a grouped
-minimum, which Spark combines before the shuffle, and find their rows again by
-the unique row position, which spreads evenly however often a key occurs.
+minimum, which Spark combines before the shuffle. Their positions are gathered as
+bitmaps, a bit for each row, and wide rows are marked where they lie; only if the
+bitmaps are too large to be sent to all tasks do rows meet their winner by position.
 """
 
 from __future__ import annotations
@@ -10,10 +11,12 @@ from __future__ import annotations
 from decimal import Decimal
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F, types as T
 
 from rowsieve.functions.text import compact_key, norm_key, or_empty
 from rowsieve.operators.columns import blank_test, col_ref, find_column, text_of
+from rowsieve.operators.small import conf_bytes
+from rowsieve.session import checkpointed
 from rowsieve.spec import CleanseSpec, KeyMode
 
 # Bits of whole-number types, and of what a decimal of 38 digits can hold.
@@ -29,23 +32,44 @@ def order_key(df: DataFrame, order) -> Column:
     Whole-number columns are packed into one decimal where they fit: a minimum
     over it stays in hash aggregation, over a struct it would have to sort.
     """
-    kinds = dict(df.dtypes)
     if len(order) == 1:
         return F.col(order[0])
-    if any(kinds[c] not in INTEGRAL_BITS for c in order):
+    widths = packed_widths(df, order)
+    if widths is None:
         return F.struct(*[F.col(c) for c in order])
-    lead, *rest = order
-    packed, used = F.col(lead).cast("decimal(38,0)"), INTEGRAL_BITS[kinds[lead]] - 1
-    for c in rest:
-        bits = INTEGRAL_BITS[kinds[c]]
+    packed = F.col(order[0]).cast("decimal(38,0)")
+    for c, bits in zip(order[1:], widths[1:]):
         value = F.col(c).cast("decimal(38,0)")
-        if c in POSITIONS:
-            bits -= 1
-        else:
+        if c not in POSITIONS:
             value = value + F.lit(Decimal(2 ** (bits - 1)))
-        used += bits
         packed = (packed * F.lit(Decimal(2**bits)) + value).cast("decimal(38,0)")
-    return packed if used <= DECIMAL_BITS else F.struct(*[F.col(c) for c in order])
+    return packed
+
+
+def packed_widths(df: DataFrame, order) -> list[int] | None:
+    """Bits of each order column in a packed position, or None if they cannot be packed."""
+    kinds = dict(df.dtypes)
+    if any(kinds[c] not in INTEGRAL_BITS for c in order):
+        return None
+    widths = [INTEGRAL_BITS[kinds[c]] - (c in POSITIONS or not i) for i, c in enumerate(order)]
+    return widths if sum(widths) <= DECIMAL_BITS else None
+
+
+def unpacked(pos: Column, order, widths: list[int]) -> dict[str, Column]:
+    """The order columns of a packed position, as whole numbers."""
+    if len(order) == 1:
+        return {order[0]: pos.cast("bigint")}
+    out, left = {}, pos
+    for i, c in enumerate(order[:-1]):
+        below = F.lit(Decimal(2 ** sum(widths[i + 1 :])))
+        rest = F.pmod(left, below)
+        out[c] = F.call_function("div", left - rest, below)
+        left = rest
+    out[order[-1]] = left.cast("decimal(38,0)")
+    for c, bits in zip(order[1:], widths[1:]):
+        if c not in POSITIONS:
+            out[c] = out[c].cast("decimal(38,0)") - F.lit(Decimal(2 ** (bits - 1)))
+    return {c: value.cast("bigint") for c, value in out.items()}
 
 
 def with_keys(df: DataFrame, spec: CleanseSpec, data_cols) -> tuple[DataFrame, list[str], Column]:
@@ -99,20 +123,61 @@ def winners(contenders: DataFrame, group_cols, order) -> DataFrame:
     return placed.groupBy(*group_cols).agg(F.min("_pos").alias("_pos")).select("_pos")
 
 
+BLOCK_BITS = 15  # positions of a block, one bit each: 4 KiB
+BLOCK_BYTES = (1 << BLOCK_BITS) // 8
+
+
 def mark_first(df: DataFrame, first: DataFrame, order) -> DataFrame:
     """Add ``_first``: is this row's position among the winners'?
 
-    All rows, whether they competed or not, are spread by their unique position,
-    so neither a hot key nor a mass of rows without one ends up in one task.
+    Bitmaps of the winners' positions go to all tasks if their measured size allows it,
+    and no wide row moves. Above that rows are spread by their unique position, so
+    neither a hot key nor a mass of rows without one ends up in one task.
     """
-    placed = df.withColumn("_pos", order_key(df, order))
-    if not library_made(order):
-        missing = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in order])
-        placed = placed.withColumn("_pos", F.when(missing, refuse("has a null")).otherwise(F.col("_pos")))
+    widths = packed_widths(df, order)
+    if widths is not None:
+        seen = Observation()
+        blocks = checkpointed(winner_blocks(first, order, widths).observe(seen, F.count("*").alias("blocks")))
+        if seen.get["blocks"] * (BLOCK_BYTES + 64) <= conf_bytes(df.sparkSession, "spark.sql.autoBroadcastJoinThreshold"):
+            return mark_by_bitmap(df, blocks, order)
+    placed = df.withColumn("_pos", checked(order_key(df, order), order))
     found = placed.join(first.withColumn("_first", F.lit(True)), "_pos", "left")
     return found.withColumn("_first", F.coalesce("_first", F.lit(False))).drop("_pos")
 
 
+def block_columns(values: dict[str, Column], order) -> tuple[list[Column], Column]:
+    """The block of a position (``_in0`` on), and its bit there: that of the row number, or else the first column."""
+    dense = "_row" if "_row" in order else order[0]
+    high = F.shiftright(values[dense], BLOCK_BITS)
+    rest = [values[c] for c in order if c != dense]
+    return [c.alias(f"_in{i}") for i, c in enumerate([high, *rest])], values[dense].bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
+
+
+def winner_blocks(first: DataFrame, order, widths: list[int]) -> DataFrame:
+    """(_in0.., _bits): a bitmap for each block of positions that holds winners."""
+    block, bit = block_columns(unpacked(F.col("_pos"), order, widths), order)
+    placed = first.select(*block, bit.alias("_bit"))
+    return placed.groupBy(*[c for c in placed.columns if c != "_bit"]).agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+
+
+def mark_by_bitmap(df: DataFrame, blocks: DataFrame, order) -> DataFrame:
+    """``df`` with ``_first`` from broadcast ``blocks``; rows stay where they are."""
+    block, bit = block_columns({c: F.col(c).cast("bigint") for c in order}, order)
+    names = [f"_in{i}" for i in range(len(block))]
+    placed = df.select("*", *block, checked(bit, order).alias("_bit")).join(F.broadcast(blocks), names, "left")
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    mark = F.getbit(byte, (F.col("_bit") % 8).cast("int")) == 1
+    return placed.withColumn("_first", F.coalesce(mark, F.lit(False))).drop(*names, "_bit", "_bits")
+
+
+def checked(value: Column, order) -> Column:
+    """``value``, or a failure of the query where a position that the user names is null."""
+    if library_made(order):
+        return value
+    missing = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in order])
+    return F.when(missing, refuse("has a null")).otherwise(value)
+
+
 def library_made(order) -> bool:
     """Positions that the library assigns are unique and not null."""
     return set(order) <= POSITIONS

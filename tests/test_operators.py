@@ -299,8 +299,9 @@ def test_counts_shuffle_keys_only(spark):
     assert exchanges and all("score" not in line and "acctbal" not in line for line in exchanges)
 
 
-def test_winners_read_keys_and_positions_only(spark):
+def test_winners_read_keys_and_positions_only(spark, conf):
     """The pass that finds winners leaves all other columns unread."""
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")  # else it has run already, and only its bitmaps are in the plan
     df = spark.read.parquet(f"{SF}/documents.parquet")
     routed = cleanse(df, CleanseSpec(key_columns=("text",)), Lineage(order=("doc_id",)))
     schemas = [line.split("ReadSchema: ")[1] for line in plan(routed).splitlines() if "ReadSchema" in line]
@@ -316,6 +317,34 @@ def test_blank_rows_may_be_ruled_out(spark):
     assert statuses(df, spec, Lineage(order=("id",), blank_rows=False)) == statuses(df, spec) == ["unique", "unique", "duplicate"]
 
 
+@pytest.mark.parametrize("order", [("id",), ("id", "_part"), ("_file_ord", "_row"), ("_file_ord", "_row", "_part"), ("_row", "id")])
+def test_winners_by_bitmap_equal_those_by_join(spark, conf, order):
+    """Positions of any sign and distance, with a third of all rows under one key."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(900):
+        place = rng.choice([i, -i - 1, i * 40_000, -i * 70_000 - 5])
+        rows.append((place, i % 7, i * 33_000 if i % 3 else i, i % 4, "hot" if i % 3 == 0 else str(rng.randrange(200))))
+    df = spark.createDataFrame(rows, "id bigint, _file_ord int, _row bigint, _part int, k string")
+    first = dedup.winners(df, ["k"], order)
+    by_bitmap = dedup.mark_first(df, first, order)
+    plan = by_bitmap._jdf.queryExecution().optimizedPlan().toString()
+    assert "_bits" in plan
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    by_join = dedup.mark_first(df, first, order)
+    assert "_bits" not in by_join._jdf.queryExecution().optimizedPlan().toString()
+    got, want = ({tuple(r) for r in x.collect()} for x in (by_bitmap, by_join))
+    assert got == want and sum(r[-1] for r in got) == first.count()
+
+
+def test_marking_leaves_wide_rows_where_they_are(spark):
+    routed = cleanse(contacts(spark, SF), PER_SHEET, CONTACTS)
+    routed.collect()
+    plan = routed._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "segment" in line]
+
+
 # ---- buckets, chunks, names ----
 
 
