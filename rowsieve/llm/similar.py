@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowsieve.llm.arrow import map_rows
-from rowsieve.llm.components import components
+from rowsieve.llm import components as parts
 from rowsieve.llm.tables import written
 from rowsieve.llm.words import shingle_hashes
 from rowsieve.operators.small import join_small
@@ -49,6 +50,18 @@ CELLS = 1 << 23
 STARS = 2
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """``parts.components``, after which the shuffles and checkpoints of its rounds are let go.
+
+    Spark drops what nothing refers to any more when the driver collects its garbage, which
+    a driver with little to do does late.
+    """
+    found = checkpointed(parts.components(edges))
+    gc.collect()
+    edges.sparkSession.sparkContext._jvm.System.gc()
+    return found
+
+
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     """Hashes of the distinct shingles, sorted; no words give none."""
     return np.unique(np.concatenate([*shingle_hashes(text, width), np.empty(0, np.uint64)]))
