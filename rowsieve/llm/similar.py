@@ -46,8 +46,6 @@ PART = 2048
 GROUP, SHINGLES = 512, 1 << 20
 #: Cells of the table that rules out pairs of a task.
 CELLS = 1 << 23
-#: Times that rows of a crowded key are compared with some of them, drawn by hash.
-STARS = 2
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -180,7 +178,7 @@ def _near_sizes(a: str, b: str):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The ``pairs`` (src, dst, and their roots) whose similarity is high enough, by counting."""
+    """The ``pairs`` (src, dst) whose similarity is high enough, by counting."""
     one, other = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"_{c}")) for c in ("src", "dst"))
     common = F.size(F.array_intersect("_src", "_dst"))
     both = F.size("_src") + F.size("_dst")
@@ -191,41 +189,22 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _starred(buckets: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, root), and (node, root, n) of the nodes that still share a key with one of another root.
+    """(node, root), and (node, root, n) of the nodes that share a key with one of another root.
 
     The rows of each key of ``buckets`` (key, node, n) are compared with one of them, drawn
-    by hash. What that links is one root, and from there on only keys and pairs of unlike
-    roots matter. A large group of near copies costs its rows, not their pairs.
+    by hash. A node's root is the first drawn node that it is alike to, or itself, so equal
+    roots are linked. A large group of near copies costs its rows, not their pairs.
     """
-    now = buckets.withColumn("root", F.col("node"))
-    roots = now.select("node", "root").distinct()
-    for turn in range(STARS):
-        pairs = _star_pairs(now, _keys(now, turn)).dropDuplicates(["src", "dst"])
-        moved = components(_verified(pairs, sets).select(F.col("src_root").alias("src"), F.col("dst_root").alias("dst")))
-        moved = moved.select(F.col("node").alias("root"), F.col("root").alias("to"))
-        to = F.coalesce("to", "root").alias("root")
-        roots = checkpointed(roots.join(moved, "root", "left").select("node", to))
-        now = now.join(moved, "root", "left").select("key", "node", "n", to)
-        now = checkpointed(now.join(_keys(now, turn).select("key"), "key", "left_semi"))
-    return roots, now.select("node", "root", "n").distinct()
-
-
-def _keys(buckets: DataFrame, turn: int) -> DataFrame:
-    """Keys with rows of unlike roots, and one row of each drawn by hash."""
-    drawn = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("by"), "node", "n", "root")).alias("drawn")
-    found = buckets.groupBy("key").agg(drawn, F.min("root").alias("a"), F.max("root").alias("b"))
-    return found.where("a <> b").select("key", "drawn")
-
-
-def _star_pairs(buckets: DataFrame, keys: DataFrame) -> DataFrame:
-    """Pairs of the rows of a key with the one drawn, of unlike roots and similar size."""
-    met = buckets.join(keys, "key").where((F.col("root") != F.col("drawn.root")) & _near_sizes("n", "drawn.n"))
-    first = F.col("node") < F.col("drawn.node")
-    ends = [
-        F.when(first if low else ~first, F.col(c)).otherwise(F.col(f"drawn.{c}")).alias(name)
-        for name, c, low in (("src", "node", True), ("dst", "node", False), ("src_root", "root", True), ("dst_root", "root", False))
-    ]
-    return met.select(ends)
+    drawn = F.min(F.struct(F.xxhash64("node").alias("by"), "node", "n")).alias("drawn")
+    met = buckets.join(buckets.groupBy("key").agg(drawn), "key")
+    pairs = met.where((F.col("node") != F.col("drawn.node")) & _near_sizes("n", "drawn.n"))
+    pairs = pairs.select(F.col("node").alias("src"), F.col("drawn.node").alias("dst")).distinct()
+    first = _verified(pairs, sets).groupBy(F.col("src").alias("node")).agg(F.min_by("dst", F.xxhash64("dst")).alias("to"))
+    roots = buckets.select("node", "n").distinct().join(first, "node", "left")
+    roots = checkpointed(roots.select("node", "n", F.coalesce("to", "node").alias("root")))
+    now = buckets.select("key", "node").join(roots, "node")
+    apart = now.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+    return roots.select("node", "root"), now.join(apart, "key", "left_semi").select("node", "root", "n").distinct()
 
 
 def _blocks(texts: DataFrame, groups: DataFrame) -> DataFrame:
