@@ -61,6 +61,29 @@ def numbered(df: DataFrame, sort_cols, group: str | None = None) -> DataFrame:
     return row_numbers(placed, group).drop("_rid")
 
 
+def running_sums(df: DataFrame, sort_cols, group: str, sums: dict[str, Column]) -> DataFrame:
+    """``df`` with each of ``sums`` added up in order within ``group``, the row itself included.
+
+    ``sort_cols`` begin with ``group``. As in ``row_numbers`` a task adds up its piece of a
+    group and only the pieces' totals are put together, so that a group can hold any share of rows.
+    """
+    ranged = df.withColumns(sums).repartitionByRange(*sort_cols).sortWithinPartitions(*sort_cols)
+    placed = checkpointed(ranged.withColumn("_rid", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_piece", F.struct(group, partition_no().alias("_pid")))
+    pieces = placed.groupBy("_piece").agg(*(F.sum(name).alias(name) for name in sums))
+    before = Window.partitionBy(f"_piece.{group}").orderBy("_piece._pid").rowsBetween(Window.unboundedPreceding, -1)
+    starts = pieces.select(
+        "_piece", *(F.coalesce(F.sum(name).over(before), F.lit(0)).alias(f"_before{name}") for name in sums)
+    )
+    upto = Window.partitionBy("_piece").orderBy("_rid").rowsBetween(Window.unboundedPreceding, 0)
+    summed = placed.withColumns({name: F.sum(name).over(upto) for name in sums})
+    return (
+        join_small(summed, starts, "_piece")
+        .withColumns({name: F.col(name) + F.col(f"_before{name}") for name in sums})
+        .drop("_rid", "_piece", *(f"_before{name}" for name in sums))
+    )
+
+
 def chunk_of(rn: Column, size: int) -> Column:
     return (F.floor((rn - 1) / F.lit(max(1, size))) + 1).cast("bigint")
 

@@ -245,6 +245,11 @@ ORACLE_SQL["workbook_run"] = SHEETS + f""" SELECT CAST(contact_id AS VARCHAR) AS
 ORACLE_SQL |= {
     "sanitize_names_many": """WITH r AS (SELECT c_custkey, 'Customers_ all' AS base, row_number() OVER (ORDER BY c_custkey) AS rn FROM customer)
       SELECT c_custkey, CASE WHEN rn = 1 THEN base ELSE left(base, 31 - length(' (' || rn || ')')) || ' (' || rn || ')' END AS sheet_name FROM r""",
+    "sanitize_names_long": """WITH n AS (SELECT o_orderkey, left('Orders, whole table, priority ' || o_orderpriority, 31) AS base FROM orders),
+      f AS (SELECT *, row_number() OVER (PARTITION BY lower(base) ORDER BY o_orderkey) = 1 AS is_first FROM n),
+      r AS (SELECT *, 1 + row_number() OVER (PARTITION BY is_first ORDER BY o_orderkey) AS rn FROM f)
+      SELECT o_orderkey, CASE WHEN is_first THEN base
+        ELSE left(base, 31 - length(' (' || rn || ')')) || ' (' || rn || ')' END AS sheet_name FROM r""",
     "scan_csv_split": """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
       'say "' || l_linestatus || '",' || chr(10) || l_returnflag AS note FROM lineitem""",
     "reserved_columns": "SELECT min(s_suppkey) AS suppkey, 's_suppkey,s_name' AS columns FROM supplier GROUP BY lower(trim(s_name))",

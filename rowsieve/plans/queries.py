@@ -127,12 +127,21 @@ def sanitize_sheet_names(spark, sf):
     return sanitize_names(df, "name", ["p_partkey"]).select("p_partkey", "sheet_name")
 
 
+LONG_NAME = "Orders, whole table, priority "
+
+
 def sanitize_names_many(spark, sf):
     """One name for all rows: each gets a number of its own."""
     df = table(spark, sf, "customer").select("c_custkey", F.lit("Customers: all").alias("name"))
     return sanitize_names(df, "name", ["c_custkey"]).select("c_custkey", "sheet_name")
 
 
+def sanitize_names_long(spark, sf):
+    """Names of 31 characters that repeat and that a number cuts to one and the same prefix."""
+    df = table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit(LONG_NAME), "o_orderpriority").alias("name"))
+    return sanitize_names(df, "name", ["o_orderkey"]).select("o_orderkey", "sheet_name")
+
+
 def output_names(spark, sf):
     df = table(spark, sf, "orders")
     return df.select(
@@ -594,7 +603,7 @@ QUERIES = {
         chunk_files_manifest, chunk_sheets_manifest, chunk_csv_manifest,
         admit_files, first_n_sheets, select_by_glob, scan_headers, scan_table, scan_csv, scan_workbook, workbook_run,
         sink_csv, sink_dataset, in_place, incremental,
-        sanitize_names_many, scan_csv_split, reserved_columns, in_place_large, incremental_default_folder,
+        sanitize_names_many, sanitize_names_long, scan_csv_split, reserved_columns, in_place_large, incremental_default_folder,
     )
 }
 QUERIES["sanitize_names"] = sanitize_sheet_names

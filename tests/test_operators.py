@@ -455,6 +455,40 @@ def test_sheet_names_beyond_three_digits(spark):
     assert got == expected_names(["s"] * 1205) and len(set(got)) == 1205
 
 
+@pytest.mark.parametrize("block", [64])
+def test_sheet_names_that_chase_each_other(spark, monkeypatch, block):
+    """Numbered names on both sides of the rows that ask for their numbers, and names cut to one prefix."""
+    monkeypatch.setattr("rowsieve.operators.names.BLOCK", block)
+    long = "x" * 27
+    names = [n for i in range(2, 120) for n in ([f"s ({i})"] if i % 3 else [f"s ({i})", "S", "s"])]
+    names += [f"s ({i})" for i in range(40, 160)] + ["s"] * 90 + [f"s ({i})" for i in range(300, 2, -7)]
+    names += [long + "abcd", long + " (2)", long + "efgh"] * 9 + [long + " (2)", long + " (3)", long[:26] + " (11)"] * 9
+    names += ["s (1)", "s (01)", "s (2) (2)", "s (123456789012345678901234)"] * 2
+    names += random.Random(7).sample(names, len(names))
+    got = column(sanitize_names(frame(spark, names).repartition(3), "v", ["id"]), F.col("sheet_name"))
+    assert got == expected_names(names)
+
+
+def test_equal_long_names_spread(spark):
+    """No row of a name leaves Spark or meets all others in one task."""
+    n, name = 100_000, "A name of thirty-one characters"
+    df = sanitize_names(spark.range(n).select("id", F.lit(name).alias("v")), "v", ["id"])
+    plan = df._jdf.queryExecution().toString()
+    assert "Pandas" not in plan and "Python" not in plan
+    got = column(df, F.col("sheet_name"))
+    numbers = [""] + [f" ({i})" for i in range(2, n + 1)]
+    assert got == [name[: 31 - len(x)] + x for x in numbers]
+
+
+def test_sheet_names_per_book(spark):
+    rows = [(i, ("a", "b", None)[i % 3], "y" * 31 if i % 2 else "y" * 27 + " (3)") for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, book string, v string")
+    got = {r["id"]: r["sheet_name"] for r in sanitize_names(df, "v", ["id"], within=["book"]).collect()}
+    for book in ("a", "b", None):
+        mine = [r for r in rows if r[1] == book]
+        assert [got[r[0]] for r in mine] == expected_names([r[2] for r in mine])
+
+
 def test_sheet_names_of_one_stem_spread(spark):
     """Only names that could meet are settled together."""
     names = [f"Report {i // 2:06}" for i in range(20_000)]
