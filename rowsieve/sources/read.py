@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from rowsieve.functions.names import extension
 from rowsieve.functions.text import utrim
 from rowsieve.operators.small import join_small
-from rowsieve.operators.columns import check_names, col_ref, merge_headers
+from rowsieve.operators.columns import check_names, merge_headers, quoted
 from rowsieve.operators.dedup import order_key
 from rowsieve.session import checkpointed, scratch_path, stage
 from rowsieve.sources.csv import read_csv, read_headers
@@ -84,10 +84,12 @@ def read_sources(spark: SparkSession, paths: list[str], spec: CleanseSpec = Clea
     scratch = []
     columns = merge_headers(h[2] for h in heads)
     check_names(columns)
-    rows = None
+    rows, broken_csv = None, {}
     if shapes:
-        rows, staged = read_csv(spark, csv_files, csv_good, shapes)
+        rows, broken, staged = read_csv(spark, csv_files, csv_good, shapes)
         scratch.append(staged)
+        broken_csv = {b["_file_ord"]: b["_broken"] for b in broken.collect()}
+        errors |= broken_csv
     if chosen:
         own = merge_headers(s["header"] for s in chosen)
         frame = read_sheets(spark, spark.createDataFrame(chosen, schema), own, len(chosen))
@@ -103,14 +105,14 @@ def read_sources(spark: SparkSession, paths: list[str], spec: CleanseSpec = Clea
         rows = frame if rows is None else rows.unionByName(frame, allowMissingColumns=True)
     if rows is not None:
         by_key = {c.lower(): c for c in rows.columns}
-        rows = rows.select(*LINEAGE_COLUMNS, *[col_ref(by_key[c.lower()]).alias(c) for c in columns])
+        rows = rows.selectExpr(*LINEAGE_COLUMNS, *[f"{quoted(by_key[c.lower()])} AS {quoted(c)}" for c in columns])
 
     picked_per_file: dict[int, int] = {}
     for s in chosen:
         picked_per_file[s["file_ord"]] = picked_per_file.get(s["file_ord"], 0) + 1
     outcome = [
         (r["path"], errors.get(r["file_ord"]), None,
-         1 if r["path"].lower().endswith(CSV_EXTENSIONS) else picked_per_file.get(r["file_ord"], 0))
+         int(r["file_ord"] not in broken_csv) if r["path"].lower().endswith(CSV_EXTENSIONS) else picked_per_file.get(r["file_ord"], 0))
         for r in found
     ]
     # A file that another one hides was never tried; all others that are left out have failed.
@@ -133,8 +135,9 @@ def read_sources(spark: SparkSession, paths: list[str], spec: CleanseSpec = Clea
     begins = [
         (s["path"], s["file_ord"], s["sheet"], s["sheet_ord"] << ROW_BITS) for s in chosen if s["file_ord"] not in errors
     ]
+    csv_read = csv_good.filter(~F.col("file_ord").isin(*broken_csv)) if broken_csv else csv_good
     starts = spark.createDataFrame(begins, "_file string, _file_ord int, _sheet string, _row bigint").unionByName(
-        csv_good.select(
+        csv_read.select(
             F.col("path").alias("_file"), F.col("file_ord").alias("_file_ord"),
             F.lit("").alias("_sheet"), F.lit(0).cast("bigint").alias("_row"),
         )

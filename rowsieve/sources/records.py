@@ -10,10 +10,12 @@ and a line end inside a cell reads as LF; lines of white space only hold no reco
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from rowsieve.operators.small import join_small
-from rowsieve.session import scratch_path, stage
+from rowsieve.session import checkpointed, scratch_path, stage
 from rowsieve.sources.files import ROW_BITS, literal, plain_file, row_position
 
 # Parts of a line of cells, with " as quote and "" as escaped quote.
@@ -32,6 +34,10 @@ CELL_OPTIONS = {
     "maxColumns": str(1 << 20),
     "mode": "PERMISSIVE",
 }
+#: Records of more characters than this, put together from several lines, fail their file.
+MAX_RECORD = 1 << 28
+UNCLOSED = "A quoted cell is not closed"
+TOO_LONG = "A record has more than {} characters"
 
 
 def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -49,11 +55,13 @@ def state_after(base: Column, flipped: Column, start: Column) -> Column:
     return ((F.coalesce(base, start) + flipped) % 2).cast("int")
 
 
-def scan_records(spark: SparkSession, paths: list[str], width: int) -> tuple[DataFrame, str]:
-    """(``_file``, ``_row`` and the ``_cells`` of the data records, the staged lines they read).
+def find_records(spark: SparkSession, paths: list[str], max_record: int = MAX_RECORD) -> tuple[DataFrame, DataFrame, str]:
+    """(``_file``, ``_row``, ``_line`` of the data records, ``_file`` and ``_broken``, the staged lines).
 
     Lines are told apart once and staged with their state; records are put together
-    from there.
+    from there. How long each record gets is known before its lines meet: a file with an
+    unclosed quote or a record above ``max_record`` is broken, as the reason in ``_broken``
+    says, and gives no records.
     """
     quoted = F.col("_line").contains('"')
     opens = quoted & F.col("_line").rlike(OPENS)
@@ -86,7 +94,11 @@ def scan_records(spark: SparkSession, paths: list[str], width: int) -> tuple[Dat
     first = F.last(F.when(F.col("_before") == 0, F.col("_row")), ignorenulls=True).over(in_block)
     path = scratch_path(spark, "lines")
     own = stage(
-        before.select("_file", "_block", "_row", "_line", "_before", "_after", "_header", first.alias("_first")), path
+        before.select(
+            "_file", "_block", "_row", "_line", "_before", "_after", "_header",
+            first.alias("_first"), F.length("_line").alias("_length"),
+        ),
+        path,
     )
 
     whole = (F.col("_before") == 0) & (F.col("_after") == 0)
@@ -99,13 +111,53 @@ def scan_records(spark: SparkSession, paths: list[str], width: int) -> tuple[Dat
     )
     parts = own.filter(~whole).withColumn("_at", F.struct("_file", "_block"))
     named = join_small(parts, carried, "_at").withColumn("_first", F.coalesce("_first", "_carried"))
+    lengths = named.groupBy("_file", "_first").agg(
+        F.sum(F.col("_length") + 1).alias("_length"), F.max_by("_after", "_row").alias("_open")
+    )
+    why = F.when(F.col("_open") == 1, F.lit(UNCLOSED)).when(F.col("_length") > max_record, F.lit(TOO_LONG.format(max_record)))
+    broken = checkpointed(
+        lengths.withColumn("_broken", why).filter(F.col("_broken").isNotNull())
+        .groupBy("_file").agg(F.min_by("_broken", "_first").alias("_broken"))
+    )
+    if not broken.isEmpty():
+        single, named = (
+            join_small(part, broken, "_file").filter(F.col("_broken").isNull()).drop("_broken") for part in (single, named)
+        )
     pieces = F.array_sort(F.collect_list(F.struct("_row", "_line")))
     joined = named.groupBy("_file", "_first", "_header").agg(
         F.array_join(F.transform(pieces, lambda p: p["_line"]), "\n").alias("_line")
     )
     records = single.unionByName(joined.withColumnRenamed("_first", "_row"))
     data = records.filter((F.trim("_line") != "") & (F.col("_row") != F.col("_header")))
-    names = [f"c{i}" for i in range(max(1, width))]
-    parsed = F.from_csv("_line", ", ".join(f"{c} string" for c in names), CELL_OPTIONS)
-    cells = data.select("_file", "_row", parsed.alias("_record"))
-    return cells.select("_file", "_row", F.array(*[F.col(f"_record.{c}") for c in names]).alias("_cells")), path
+    return data.select("_file", "_row", "_line"), broken, path
+
+
+def width_classes(widths: Iterable[int]) -> list[int]:
+    """The widest of the widths that are near each other, that is below one power of two."""
+    widest: dict[int, int] = {}
+    for width in widths:
+        power = (max(1, width) - 1).bit_length()
+        widest[power] = max(width, 1, widest.get(power, 1))
+    return sorted(widest.values())
+
+
+def cells_of(records: DataFrame, widths: Iterable[int]) -> DataFrame:
+    """``records`` with the ``_cells`` of ``_line`` in its place.
+
+    ``_width`` says how many cells a row's file has, ``widths`` which numbers there are. Each
+    class of widths has a parser of its own inside the one scan, so that a row is never wider
+    than the class of its own file.
+    """
+    classes = width_classes(widths)
+    own = [
+        (F.col("_width") <= top) & (F.col("_width") > below) for below, top in zip([-1, *classes], classes)
+    ]
+    parsed, cells = [], None
+    for i, (top, here) in enumerate(zip(classes, own)):
+        record = F.from_csv("_line", ", ".join(f"c{j} string" for j in range(top)), CELL_OPTIONS)
+        parsed.append(F.when(here, record).alias(f"_record{i}"))
+        # One expression as text: thousands of columns built one by one take minutes.
+        array = F.expr(f"array({', '.join(f'_record{i}.c{j}' for j in range(top))})")
+        cells = F.when(here, array) if cells is None else cells.when(here, array)
+    rest = [c for c in records.columns if c != "_line"]
+    return records.select(*rest, *parsed).select(*rest, cells.alias("_cells"))

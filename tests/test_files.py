@@ -20,7 +20,7 @@ from rowsieve.sinks.inplace import replace_in_place
 from rowsieve.sinks.write import CSV_OPTIONS, write_run
 from rowsieve.sources.csv import first_record
 from rowsieve.sources.files import ROW_BITS
-from rowsieve.sources.records import scan_records
+from rowsieve.sources.records import UNCLOSED, cells_of, find_records, width_classes
 from rowsieve.sources.read import read_sources, scan_headers
 from rowsieve.spec import SpecError
 from rowsieve.streaming.incremental import run_incremental
@@ -87,6 +87,10 @@ def random_cell(rng):
     return "plain" * rng.randrange(1, 4)
 
 
+def scan_cells(spark, path, width):
+    return cells_of(find_records(spark, [path])[0].withColumn("_width", F.lit(width)), [width])
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_records_over_many_lines(spark, tmp_path, conf, seed):
     """Records found by many tasks equal those of a sequential reader."""
@@ -101,7 +105,7 @@ def test_records_over_many_lines(spark, tmp_path, conf, seed):
         out = csv.writer(f, lineterminator="\n")
         out.writerow(["id", "two\nlines", "c", "d"])
         out.writerows(data_rows)
-    rows = scan_records(spark, [str(path)], 4)[0].orderBy("_row").select("_cells").collect()
+    rows = scan_cells(spark, str(path), 4).orderBy("_row").select("_cells").collect()
     got = [[c or "" for c in r["_cells"]] for r in rows]
     assert len(got) == len(data_rows)
     assert all(g == w for g, w in zip(got, data_rows))
@@ -391,8 +395,41 @@ def test_files_that_are_left_out_are_named(spark, tmp_path):
 def test_wide_files(spark, tmp_path):
     header = ",".join(f"c{i}" for i in range(20_600))
     path = write(tmp_path, "wide.csv", f"{header}\n{','.join(['1'] * 20_600)}\n")
-    cells, _ = scan_records(spark, [path], 20_600)
-    assert cells.select(F.size("_cells")).first()[0] == 20_600
+    assert scan_cells(spark, path, 20_600).select(F.size("_cells")).first()[0] == 20_600
+
+
+def test_a_wide_file_beside_narrow_ones(spark, tmp_path):
+    """Each record is parsed at about the width of its own file."""
+    assert width_classes([0, 1, 2, 9, 10, 16, 20_500]) == [1, 2, 16, 20_500]
+    header = ",".join(f"c{i}" for i in range(600))
+    paths = [write(tmp_path, "wide.csv", f"{header}\n{','.join(map(str, range(600)))}\n")]
+    paths += [write(tmp_path, f"n{i}.csv", f"id,c{i}\n{i},\"x\ny\"\n{i},z,over\n") for i in range(3)]
+    records, broken, _ = find_records(spark, paths)
+    assert broken.isEmpty()
+    sized = records.withColumn("_width", F.when(F.endswith("_file", F.lit("wide.csv")), 600).otherwise(2))
+    found = cells_of(sized, [2, 600]).groupBy(F.size("_cells").alias("n")).count().collect()
+    assert {r["n"]: r["count"] for r in found} == {2: 6, 600: 1}
+    rows = read_sources(spark, paths).rows
+    assert data(rows, "c0", "c2", "c599", "id") == [
+        ("0", "2", "599", None), ("x\ny", None, None, "0"), ("z", None, None, "0"), (None, None, None, "1"),
+        (None, None, None, "1"), (None, "x\ny", None, "2"), (None, "z", None, "2"),
+    ]
+
+
+def test_an_unclosed_quote_fails_its_file(spark, tmp_path, conf):
+    """The lines after it never meet in one task; other files are read."""
+    small_splits(conf)
+    body = "".join(f"{i},plain\n" for i in range(200_000))
+    bad = write(tmp_path, "bad.csv", 'id,note\n0,"whole\ncell"\n1,"open\n' + body)
+    head = write(tmp_path, "head.csv", 'id,"note\n1,x\n')
+    good = write(tmp_path, "good.csv", 'id,note\n7,"two\nlines"\n')
+    sources = read_sources(spark, [bad, good, head])
+    assert data(sources.rows, "id", "note") == [("7", "two\nlines")]
+    found = {r["file"].rsplit("/", 1)[1]: (r["status"], r["message"]) for r in outcomes(sources).collect()}
+    assert found["bad.csv"] == found["head.csv"] == ("Failed", UNCLOSED) and found["good.csv"][0] == "Processed"
+    assert [r["_file"].rsplit("/", 1)[1] for r in sources.sheets.collect()] == ["good.csv"]
+    records, broken, _ = find_records(spark, [good], max_record=10)
+    assert "more than 10" in broken.first()["_broken"] and records.isEmpty()
 
 
 def test_incremental_never_reads_its_output(spark, tmp_path):
