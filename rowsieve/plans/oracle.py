@@ -92,6 +92,9 @@ TOTALS = """CAST(count(*) FILTER (part_pos = 0) AS BIGINT) AS rows_read, count(*
   count(*) FILTER (status = 'duplicate') AS duplicate_rows, count(*) FILTER (status = 'invalid') AS invalid_rows"""
 
 
+DATA = "email,name,segment,score"
+
+
 def sized(totals: str, size: int = 25) -> str:
     """Chunks of ``totals`` (bucket_ord, bucket, n)."""
     return f"""sized AS (SELECT bucket_ord, bucket, n, greatest(1, CAST(ceil(n / {size}.0) AS BIGINT)) AS chunks FROM ({totals})),
@@ -256,4 +259,18 @@ ORACLE_SQL |= {
     "in_place_large": """SELECT o_custkey, min(o_orderkey) AS o_orderkey, arg_min(o_orderstatus, o_orderkey) AS o_orderstatus
       FROM orders GROUP BY o_custkey""",
     "incremental_default_folder": SHEETS + f" SELECT {TOTALS} FROM routed WHERE sheet = 'Vendors' GROUP BY sheet",
+    "typed_options": statuses(keys=("email", "segment")),
+    "scan_file_headers": """WITH w AS (SELECT DISTINCT regexp_replace(p_brand, '[^A-Za-z0-9]', '_', 'g') AS brand, p_name FROM part),
+      b AS (SELECT brand, CAST(row_number() OVER (ORDER BY brand) - 1 AS INTEGER) AS file_ord FROM (SELECT DISTINCT brand FROM w))
+      SELECT CASE WHEN brand LIKE '%1' THEN upper(p_name) ELSE p_name END AS header, file_ord FROM w JOIN b USING (brand)
+      QUALIFY row_number() OVER (PARTITION BY lower(p_name) ORDER BY file_ord) = 1""",
+    "output_order": routed()
+    + """ SELECT email, name, row_number() OVER (ORDER BY contact_id, part_pos) AS position FROM routed WHERE status = 'unique'""",
+    "sink_toggles": f"""SELECT 'audit' AS choice, folder, columns, rows FROM ({routed(exploded=False)}
+        SELECT 'duplicates' AS folder, '_Source,{DATA}' AS columns, count(*) FILTER (status = 'duplicate') AS rows FROM routed
+        UNION ALL SELECT 'invalid', '_Source,_Reason,{DATA}', count(*) FILTER (status = 'invalid') FROM routed)
+      UNION ALL SELECT 'unchecked', folder, columns, rows FROM ({routed(exploded=False, checked=False)}
+        SELECT 'unique' AS folder, '{DATA}' AS columns, count(*) FILTER (status = 'unique') AS rows FROM routed
+        UNION ALL SELECT 'invalid', '_Source,_Reason,{DATA}', 0)""",
+    "run_default_folder": routed() + f" SELECT {TOTALS} FROM routed",
 }

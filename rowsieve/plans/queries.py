@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from rowsieve.functions import links, names
 from rowsieve.functions.rules import reason
-from rowsieve.functions.text import canon_str, norm_key, utrim
+from rowsieve.functions.text import canon_str, norm_key, parse_delimiters, parse_list, utrim
 from rowsieve.operators import buckets, chunk, columns, hygiene, report, route
 from rowsieve.operators.names import sanitize_names
 from rowsieve.plans.fixtures import CONTACTS, contacts, table, write_csv, write_workbooks
-from rowsieve.plans.run import outcomes
-from rowsieve.session import scratch_path
+from rowsieve.plans.run import outcomes, run
+from rowsieve.session import qualified, scratch_path
 from rowsieve.sinks.inplace import replace_in_place
 from rowsieve.sinks.write import CSV_OPTIONS, write_run
 from rowsieve.sources import read, sheets
@@ -223,6 +223,15 @@ def dedup_multi(spark, sf):
     return _routed(spark, sf, spec)
 
 
+def typed_options(spark, sf):
+    """Names and delimiters as typed; validation falls back to the first key column."""
+    spec = replace(
+        EXPLODED, key_mode=KeyMode.MULTIPLE, key_columns=tuple(parse_list(" email ;\n\nsegment, ")),
+        delimiters=parse_delimiters("; , |\t\n"), validation_column="  ",
+    )
+    return _routed(spark, sf, spec)
+
+
 def dedup_multi_lineitem(spark, sf):
     df = table(spark, sf, "lineitem").select(
         "l_returnflag", "l_linestatus", "l_quantity", F.col("_metadata.row_index").alias("_row")
@@ -427,6 +436,17 @@ def scan_headers(spark, sf):
     return read.scan_headers(words.withColumn("header", utrim(F.col("header")))).select("header", "file_ord")
 
 
+def scan_file_headers(spark, sf):
+    """Headers of one CSV file per brand, which are the names of its parts."""
+    root = scratch_path(spark, "headers")
+    brand = F.regexp_replace("p_brand", "[^A-Za-z0-9]", "_").alias("brand")
+    header = F.array_join(F.array_sort(F.collect_set("p_name")), ",")
+    heads = table(spark, sf, "part").groupBy(brand).agg(header.alias("header"))
+    spelled = heads.select("brand", F.when(F.col("brand").endswith("1"), F.upper("header")).otherwise(F.col("header")))
+    spelled.write.partitionBy("brand").option("sep", "\u0001").csv(root)
+    return read.scan_headers(read.read_sources(spark, [root]).headers).select("header", "file_ord")
+
+
 def scan_table(spark, sf):
     """First order of each customer, in the order the rows are stored."""
     df, lineage = table_source.read_parquet(spark, f"{sf}/orders.parquet")
@@ -542,6 +562,46 @@ def sink_dataset(spark, sf):
     )
 
 
+def output_order(spark, sf):
+    """Place of each unique row in the written files, taken in the order of their names."""
+    path = scratch_path(spark, "out")
+    write_run(contacts(spark, sf), EXPLODED, CONTACTS, path)
+    rows = spark.read.parquet(f"{path}/unique").select(
+        "email", "name", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at")
+    )
+    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    begins = rows.groupBy("file").agg(F.count("*").alias("n")).select(
+        "file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("begin")
+    )
+    return rows.join(begins, "file").select("email", "name", (F.col("begin") + F.col("at") + 1).alias("position"))
+
+
+def sink_toggles(spark, sf):
+    """Which tables are there, with their columns: audit tables only; and no invalid row to write."""
+    out = None
+    for choice, spec in (
+        ("audit", replace(CHECKED, emit_unique=False, **ALL_BUCKETS)),
+        ("unchecked", replace(EMAIL, emit_invalid=True)),
+    ):
+        path = scratch_path(spark, "out")
+        write_run(contacts(spark, sf), spec, CONTACTS, path)
+        for folder in ("unique", "duplicates", "invalid"):
+            if qualified(spark, f"{path}/{folder}"):
+                rows = spark.read.parquet(f"{path}/{folder}")
+                named = [F.lit(choice).alias("choice"), F.lit(folder).alias("folder"), F.lit(",".join(rows.columns)).alias("columns")]
+                one = rows.agg(F.count("*").alias("rows")).select(*named, "rows")
+                out = one if out is None else out.unionByName(one)
+    return out
+
+
+def run_default_folder(spark, sf):
+    """Without an output folder a run is written beside the first path given."""
+    root = scratch_path(spark, "default")
+    write_csv(contacts(spark, sf), f"{root}/in")
+    run(spark, [f"{root}/in"], replace(EXPLODED, **ALL_BUCKETS), name="run")
+    return spark.read.parquet(f"{root}/run/counts").select("rows_read", "unique_rows", "duplicate_rows", "invalid_rows")
+
+
 def in_place(spark, sf):
     """One CSV file per segment, each replaced by its unique rows."""
     root = scratch_path(spark, "inplace")
@@ -604,6 +664,7 @@ QUERIES = {
         admit_files, first_n_sheets, select_by_glob, scan_headers, scan_table, scan_csv, scan_workbook, workbook_run,
         sink_csv, sink_dataset, in_place, incremental,
         sanitize_names_many, sanitize_names_long, scan_csv_split, reserved_columns, in_place_large, incremental_default_folder,
+        typed_options, scan_file_headers, output_order, sink_toggles, run_default_folder,
     )
 }
 QUERIES["sanitize_names"] = sanitize_sheet_names
