@@ -10,17 +10,22 @@ from rowsieve.spec import Validation
 # Accepted address pattern and length bounds.
 EMAIL_PATTERN = r"^[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}$"
 EMAIL_MIN, EMAIL_MAX = 5, 320
+# The reasons.
+EMPTY = "'{}' is empty"
+EMPTY_EMAIL = "'{}' is empty (expected email)"
+BAD_LENGTH = "'{}' length out of range"
+BAD_FORMAT = "'{}' is not a valid email format"
 
 
 def rule_not_empty(value: Column, name: str) -> Column:
-    return F.when(value == "", F.lit(f"'{name}' is empty"))
+    return F.when(value == "", F.lit(EMPTY.format(name)))
 
 
 def rule_email(value: Column, name: str) -> Column:
     return (
-        F.when(value == "", F.lit(f"'{name}' is empty (expected email)"))
-        .when(~F.length(value).between(EMAIL_MIN, EMAIL_MAX), F.lit(f"'{name}' length out of range"))
-        .when(~value.rlike(EMAIL_PATTERN), F.lit(f"'{name}' is not a valid email format"))
+        F.when(value == "", F.lit(EMPTY_EMAIL.format(name)))
+        .when(~F.length(value).between(EMAIL_MIN, EMAIL_MAX), F.lit(BAD_LENGTH.format(name)))
+        .when(~value.rlike(EMAIL_PATTERN), F.lit(BAD_FORMAT.format(name)))
     )
 
 

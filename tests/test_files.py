@@ -22,7 +22,7 @@ from rowsieve.sources.csv import first_record
 from rowsieve.sources.files import ROW_BITS
 from rowsieve.sources.records import UNCLOSED, cells_of, find_records, width_classes
 from rowsieve.sources.read import read_sources, scan_headers
-from rowsieve.spec import SpecError
+from rowsieve.spec import FILE_LINEAGE, SpecError
 from rowsieve.streaming.incremental import run_incremental
 
 
@@ -231,6 +231,17 @@ def test_in_place(spark, tmp_path):
     assert (tmp_path / "a.csv.bak").read_text().startswith("email,n\nx@y.co,1\nX@Y.co,2")
 
 
+def test_in_place_leaves_nothing_when_it_fails(spark, tmp_path):
+    path = write(tmp_path, "a.csv", "email\nx@y.co\n")
+    rows = read_sources(spark, [path], IN_PLACE).rows
+    before = set(os.listdir(scratch_root(spark)))
+    with pytest.raises(Exception):
+        replace_in_place(spark, rows.unionByName(rows), IN_PLACE, lineage=replace(FILE_LINEAGE, order=("_row",)), keep_backup=False,
+                         rules=[lambda value, name: F.raise_error(F.lit("no"))])
+    assert {x for x in set(os.listdir(scratch_root(spark))) - before if x.startswith("rowsieve-inplace")} == set()
+    assert os.listdir(tmp_path) == ["a.csv"]
+
+
 def test_in_place_refuses_workbooks(spark, tmp_path):
     (tmp_path / "w.xlsx").write_bytes(workbook_bytes({"S": [["email"], ["a@b.co"]]}))
     rows = read_sources(spark, [str(tmp_path / "w.xlsx")], IN_PLACE).rows
