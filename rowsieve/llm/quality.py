@@ -77,7 +77,11 @@ def judge_quality(docs: DataFrame, model: Forest | None, min_kept: float = MIN_K
 
 
 def keep_quality(docs: DataFrame, model: Forest | None, min_kept: float = MIN_KEPT) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with their columns as they are."""
+    """The rows of ``docs`` that the rules keep, with their columns as they are.
+
+    Null and empty texts have no words and fail the base rule. Repeated rows stay or go
+    together, an empty table gives none, and without a model the base rule decides alone.
+    """
 
     def work(texts: list) -> list[bool]:
         found = [statistics(text) for text in texts]
