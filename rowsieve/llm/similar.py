@@ -60,6 +60,22 @@ def components(edges: DataFrame) -> DataFrame:
     return found
 
 
+def grouped(stars: DataFrame, put=written) -> DataFrame:
+    """(node, root) of every node of ``stars`` (node, low): all nodes of one low hang together.
+
+    A low is a node of its own star, and a node has few lows, one for each of its keys. It
+    is hung under the least of them, and only these least ones and the lows beside them are
+    edges: a large group of copies that share its lows brings few into the rounds, not its
+    keys. ``root`` is one of the lows that can be reached, the same for all.
+    """
+    lows = stars.groupBy("node").agg(F.array_sort(F.collect_set("low")).alias("lows"))
+    lows = put(lows, "lows")
+    beside = lows.select(F.col("lows")[0].alias("src"), F.explode(F.expr("slice(lows, 2, size(lows))")).alias("dst"))
+    found = components(beside.distinct()).withColumnRenamed("node", "low")
+    hung = lows.select("node", F.col("lows")[0].alias("low")).join(found, "low", "left")
+    return hung.select("node", F.coalesce("root", "low").alias("root"))
+
+
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     """Hashes of the distinct shingles, sorted; no words give none."""
     return np.unique(np.concatenate([*shingle_hashes(text, width), np.empty(0, np.uint64)]))
@@ -260,7 +276,7 @@ def crowded(buckets: DataFrame, texts: DataFrame, linking: Similar, put=written)
     fine = put(fine, "fine")
     least = fine.groupBy("key").agg(F.min("node").alias("low"), F.min("root").alias("a"), F.max("root").alias("b"))
     met = checkpointed(fine.join(least.where("a <> b").select("key", "low"), "key").select("node", "low", "n").distinct())
-    groups = components(met.where("node <> low").select(F.col("low").alias("src"), F.col("node").alias("dst")))
+    groups = grouped(met.select("node", "low"), put)
     groups = checkpointed(groups.join(met.select("node", "n").distinct(), "node"))
     found = _compared(_blocks(texts, groups), linking)
     return roots.where("node <> root").select(F.col("root").alias("src"), F.col("node").alias("dst")).unionByName(found)
@@ -276,7 +292,7 @@ def roots(nodes: DataFrame, base: DataFrame, linking: Similar, put=written) -> D
     buckets = nodes.select("node", "n", F.explode("keys").alias("key"))
     least = buckets.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("rows")).where("rows > 1")
     buckets = put(buckets.join(least.select("key", "low"), "key"), "buckets")
-    groups = components(buckets.where("node <> low").select(F.col("low").alias("src"), F.col("node").alias("dst")))
+    groups = grouped(buckets.select("node", "low"), put)
     groups = groups.join(nodes.select("node", "n"), "node")
     sizes = groups.groupBy("root").agg(((F.count("*") > GROUP) | (F.sum("n") > SHINGLES)).alias("large"))
     groups = put(groups.join(sizes, "root").select("node", "root", "large"), "groups")

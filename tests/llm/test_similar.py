@@ -170,3 +170,32 @@ def test_blocks_let_all_meet(spark, monkeypatch):
     met = {(a, b) for nodes in tasks.values() for a in nodes for b in nodes if a < b}
     assert met >= {(a, b) for b in range(57) for a in range(b)} | {(a, b) for b in range(100, 109) for a in range(100, b)} | {(200, 201)}
     assert all(len({n // 100 for n in nodes}) == 1 for nodes in tasks.values())
+
+
+def test_grouped_equals_brute_force(spark, monkeypatch):
+    """Stars of any kind; a large group whose nodes share their lows brings few edges into the rounds."""
+    rng = random.Random(19)
+    stars = [(n, low) for low in range(0, 300, 3) for n in {low, *(rng.randrange(300) for _ in range(rng.randrange(3)))}]
+    shared = [(n, low) for n in range(1000, 2000) for low in range(1000, 1024)]
+    root = list(range(300))
+    for a, b in stars:
+        low, high = sorted((root[a], root[b]))
+        root = [low if r == high else r for r in root]
+    edges, plain = [], similar.parts.components
+
+    def counted(found):
+        edges.append(found.count())
+        return plain(found)
+
+    monkeypatch.setattr(similar.parts, "components", counted)
+    frame = spark.createDataFrame(stars + shared, "node long, low long")
+    got = dict(rows(similar.grouped(frame), "node", "root"))
+    assert set(got) == {n for n, _ in stars + shared} and {got[n] for n, _ in shared} == {1000}
+    assert all((got[a] == got[b]) == (root[a] == root[b]) for a, _ in stars for b, _ in stars)
+    assert edges[0] < 300 + 24
+    # Near copies: each brings a row for each of its keys, not each of these rows an edge.
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    data = [(k, " ".join(changed(rng, base, rng.randint(1, 3)))) for k in range(600)]
+    edges.clear()
+    assert rows(simhash.keep_first(documents(spark, data)), "doc_id") == [(0,)]
+    assert sum(edges) < 3 * len(data)
