@@ -7,7 +7,7 @@ import pytest
 from helpers import documents, rows
 from pyspark.sql import functions as F
 
-from rowsieve.llm import simhash, similar
+from rowsieve.llm import simhash, similar, tries
 
 
 def plain_set(text):
@@ -172,6 +172,50 @@ def test_blocks_let_all_meet(spark, monkeypatch):
     assert all(len({n // 100 for n in nodes}) == 1 for nodes in tasks.values())
 
 
+def test_tries_link_near_copies(spark):
+    """The trie join of fingerprints finds near copies by itself, and counting keeps out what is less alike."""
+    rng = random.Random(16)
+    data, want = [], []
+    for k in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        times = (2, 12)[k % 2]
+        data += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(changed(rng, words, times)))]
+        want += [2 * k] if times == 2 else [2 * k, 2 * k + 1]
+    alone = similar.Similar(bands=0)
+    assert {r[0] for r in rows(simhash.keep_first(documents(spark, data), alone), "doc_id")} == set(want)
+
+
+@pytest.mark.parametrize("group", [4, 512])
+def test_tries_reach_large_groups(spark, monkeypatch, group):
+    """Near copies that only tries link hang together, also in groups too large for a task."""
+    monkeypatch.setattr(similar, "GROUP", group)
+    rng = random.Random(17)
+    words = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    data = [(k, " ".join(changed(rng, words, 2))) for k in range(40)] + [(99, "other words only in this one")]
+    alone = similar.Similar(bands=0)
+    assert rows(simhash.keep_first(documents(spark, data), alone), "doc_id") == [(0,), (99,)]
+
+
+def test_node_links_join_near_prints(spark):
+    """Prints with a stretch within three bits, or an equal one, hang together; each gives few links."""
+    rng = random.Random(18)
+    prints = {}
+    for k in range(40):
+        base = rng.getrandbits(256)
+        for _ in range(6):
+            flips = [32 * s + b for s in range(8) for b in rng.sample(range(32), 2)]
+            prints[len(prints) * 7 + 3] = (k, base ^ sum(1 << at for at in flips))
+            prints[len(prints) * 7 + 3] = (k, base)
+    frame = spark.createDataFrame([(n, f"{p:064x}") for n, (_, p) in prints.items()], "node long, print string")
+    found = tries.node_links(frame, similar.SIMILAR.trie).collect()
+    assert all(prints[r.src][0] == prints[r.dst][0] for r in found) and len(found) <= 40 * len(prints)
+    root = {n: n for n in prints}
+    for a, b in found:
+        low, high = sorted((root[a], root[b]))
+        root = {n: low if r == high else r for n, r in root.items()}
+    assert len(set(root.values())) == 40
+
+
 def test_grouped_equals_brute_force(spark, monkeypatch):
     """Stars of any kind; a large group whose nodes share their lows brings few edges into the rounds."""
     rng = random.Random(19)
