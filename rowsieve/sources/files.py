@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -104,9 +105,9 @@ def plain_path(path: Column) -> Column:
     return F.regexp_replace(path, "^file:/+", "file:/")
 
 
-def plain_file() -> Column:
-    """The scanned file's path, for a column read straight from the scan."""
-    return plain_path(F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B")))
+def plain_name(path: str) -> str:
+    """The scanned file's path, as ``plain_path`` spells it, from what ``_metadata.file_path`` gives."""
+    return re.sub("^file:/+", "file:/", unquote(path))
 
 
 def row_position(spark: SparkSession, splittable: bool) -> Column:

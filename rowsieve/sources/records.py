@@ -3,20 +3,29 @@
 A line end inside a quoted cell does not end the record, so whether a line starts
 a record depends on all lines before it. Each line is reduced to what it does to
 the state "inside a quoted cell": it fixes the state or flips it or leaves it.
-Such effects add up within a block of the file, then over the blocks, of which
-there is one row each; no task ever reads a whole file. Lines end at CR, LF or both,
-and a line end inside a cell reads as LF; lines of white space only hold no record.
+A task adds up such effects along its split and puts lines together wherever they are
+known to belong to one record, so that lines are not shuffled; the effects of whole splits
+add up over the splits, of which there is one row each. Only records that cross the end of a
+split, or begin before anything in it fixes the state, meet in a shuffle; no task ever reads
+a whole file. Lines end at CR, LF or both, and a line end inside a cell reads as LF; lines
+of white space only hold no record.
+
+Codes say what a split has done up to some line: bit 0 is the state if the split begins
+outside a quoted cell, bit 1 tells whether beginning inside one changes it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from rowsieve.operators.small import join_small
 from rowsieve.session import checkpointed, scratch_path, stage
-from rowsieve.sources.files import ROW_BITS, literal, plain_file, row_position
+from rowsieve.sources.files import ROW_BITS, literal, plain_name, row_position
 
 # Parts of a line of cells, with " as quote and "" as escaped quote.
 QUOTED_REST = r'[^"]*+(?:""[^"]*+)*+'
@@ -39,10 +48,109 @@ MAX_RECORD = 1 << 28
 UNCLOSED = "A quoted cell is not closed"
 TOO_LONG = "A record has more than {} characters"
 
+# Codes: known to be inside a cell; state as at the beginning of the split, or the other one.
+INSIDE, LEAVES, FLIPS = 1, 2, 3
+PIECE_SCHEMA = (
+    "_file string, _row bigint, _line string, _lines bigint, _length bigint, _filled boolean, _before int, _after int"
+)
+
 
 def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    lines = spark.read.text([literal(p) for p in paths])
-    return lines.select(plain_file().alias("_file"), row_position(spark, splittable=True).alias("_row"), F.col("value").alias("_line"))
+    """Lines with their place and the code of what each does by itself."""
+    quoted = F.col("_line").contains('"')
+    opens = quoted & F.col("_line").rlike(OPENS)
+    inside = ~quoted | F.col("_line").rlike(STAYS) | F.col("_line").rlike(REOPENS)
+    lines = spark.read.text([literal(p) for p in paths]).select(
+        F.col("_metadata.file_path").alias("_path"),
+        row_position(spark, splittable=True).alias("_row"),
+        F.col("value").alias("_line"),
+    )
+    code = opens.cast("int") + F.when(opens != inside, 2).otherwise(0)
+    return lines.select("_path", "_row", "_line", code.alias("_code"), (F.trim("_line") != "").alias("_filled"))
+
+
+def running_codes(codes: np.ndarray, begins: np.ndarray, last: int) -> np.ndarray:
+    """Codes after ``last`` and after each line; lines at ``begins`` are the first of a split."""
+    codes = np.concatenate(([last], codes))
+    anchors = np.concatenate(([True], begins | (codes[1:] < LEAVES)))
+    at = np.maximum.accumulate(np.where(anchors, np.arange(len(codes)), 0))
+    flips = np.cumsum(codes == FLIPS)
+    return codes[at] ^ ((flips - flips[at]) & 1)
+
+
+def joined_lines(lines: pa.Array, offsets: np.ndarray) -> pa.Array:
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), lines), "\n")
+
+
+def piece_batch(paths: pa.Array, lines: pa.Array, rows, count, length, filled, before, after) -> pa.RecordBatch:
+    paths = paths.dictionary_encode()
+    files = pa.array([plain_name(p) for p in paths.dictionary.to_pylist()], pa.string()).take(paths.indices)
+    numbers = [pa.array(rows, pa.int64()), lines, pa.array(count, pa.int64()), pa.array(length, pa.int64())]
+    codes = [pa.array(before, pa.int32()), pa.array(after, pa.int32())]
+    return pa.RecordBatch.from_arrays(
+        [files, *numbers, pa.array(filled, pa.bool_()), *codes],
+        ["_file", "_row", "_line", "_lines", "_length", "_filled", "_before", "_after"],
+    )
+
+
+class OpenPiece:
+    """The lines so far of a cell that is not closed where a batch ends."""
+
+    def __init__(self, path: pa.Array, row: int, before: int):
+        self.path, self.row, self.before = path, row, before
+        self.parts, self.count, self.length = [], 0, 0
+
+    def add(self, lines: pa.Array, length: int, max_record: int) -> None:
+        self.count += len(lines)
+        self.length += length
+        if self.length <= max_record:
+            self.parts.append(lines)
+        else:
+            self.parts.clear()  # the file is broken, so that the text is not needed
+
+    def batch(self, after: int) -> pa.RecordBatch:
+        lines = pa.concat_arrays(self.parts) if self.parts else pa.nulls(1, pa.string())
+        line = joined_lines(lines, np.array([0, len(lines)])) if self.parts else lines
+        # A line that opens a cell has a quote, so that it is not blank.
+        return piece_batch(self.path, line, [self.row], [self.count], [self.length], [True], [self.before], [after])
+
+
+def line_pieces(batches: Iterator[pa.RecordBatch], max_record: int) -> Iterator[pa.RecordBatch]:
+    """The lines of a task's splits, each joined to the one before it if that surely ends inside a cell."""
+    place, last, held = None, LEAVES, None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        paths, lines = batch.column("_path"), batch.column("_line")
+        rows, filled = batch.column("_row").to_numpy(), batch.column("_filled").to_numpy(zero_copy_only=False)
+        blocks, lengths = rows >> ROW_BITS, pc.utf8_length(lines).to_numpy().astype(np.int64) + 1
+        begins = np.ones(n, bool)
+        begins[0] = place != (paths[0].as_py(), blocks[0])
+        begins[1:] = (blocks[1:] != blocks[:-1]) | pc.not_equal(paths[1:], paths[:-1]).to_numpy(zero_copy_only=False)
+        states = running_codes(batch.column("_code").to_numpy(), begins, last)
+        before, after = np.where(begins, LEAVES, states[:-1]), states[1:]
+        starts = np.flatnonzero(before != INSIDE)
+        first = int(starts[0]) if len(starts) else n
+        if first:
+            held.add(lines[:first], int(lengths[:first].sum()), max_record)
+        if held is not None and first < n:
+            yield held.batch(int(after[first - 1]) if first else last)
+            held = None
+        end = n
+        if len(starts) and after[-1] == INSIDE:
+            end, starts = int(starts[-1]), starts[:-1]
+            held = OpenPiece(paths[end:end + 1], int(rows[end]), int(before[end]))
+            held.add(lines[end:], int(lengths[end:].sum()), max_record)
+        if len(starts):
+            offsets = np.append(starts, end)
+            yield piece_batch(
+                paths.take(pa.array(starts)), joined_lines(lines, offsets), rows[starts], np.diff(offsets),
+                np.add.reduceat(lengths[:end], starts), filled[starts], before[starts], after[offsets[1:] - 1],
+            )
+        place, last = (paths[n - 1].as_py(), blocks[-1]), int(states[-1])
+    if held is not None:
+        yield held.batch(last)
 
 
 def running_effect(fixed: Column, flips: Column, window) -> tuple[Column, Column]:
@@ -51,68 +159,58 @@ def running_effect(fixed: Column, flips: Column, window) -> tuple[Column, Column
     return F.last((fixed + flipped) % 2, ignorenulls=True).over(window), flipped
 
 
-def state_after(base: Column, flipped: Column, start: Column) -> Column:
-    return ((F.coalesce(base, start) + flipped) % 2).cast("int")
+def state_of(code: str, start: str) -> Column:
+    """State that a code stands for, given the one in which its split begins."""
+    return F.col(code).bitwiseAND(1).bitwiseXOR(F.shiftright(code, 1).bitwiseAND(F.col(start)))
 
 
 def find_records(spark: SparkSession, paths: list[str], max_record: int = MAX_RECORD) -> tuple[DataFrame, DataFrame, str]:
-    """(``_file``, ``_row``, ``_line`` of the data records, ``_file`` and ``_broken``, the staged lines).
+    """(``_file``, ``_row``, ``_line`` of the data records, ``_file`` and ``_broken``, the staged pieces).
 
-    Lines are told apart once and staged with their state; records are put together
-    from there. How long each record gets is known before its lines meet: a file with an
-    unclosed quote or a record above ``max_record`` is broken, as the reason in ``_broken``
-    says, and gives no records.
+    One scan joins the lines of a split as far as it can tell and stages these pieces with
+    their codes; the others are put together from there. How long each record gets is known
+    before its pieces meet: a file with an unclosed quote or a record of several lines above
+    ``max_record`` is broken, as the reason in ``_broken`` says, and gives no records.
     """
-    quoted = F.col("_line").contains('"')
-    opens = quoted & F.col("_line").rlike(OPENS)
-    inside = ~quoted | F.col("_line").rlike(STAYS) | F.col("_line").rlike(REOPENS)
-    lines = read_lines(spark, paths).withColumns({"_opens": opens, "_inside": inside})
-    in_block = Window.partitionBy("_file", "_block").orderBy("_row")
-    same = F.col("_opens") == F.col("_inside")
-    base, flipped = running_effect(F.when(same, F.col("_opens").cast("int")), F.when(F.col("_opens") & ~F.col("_inside"), 1).otherwise(0), in_block)
-    lines = lines.withColumn("_block", F.shiftright("_row", ROW_BITS)).withColumns({"_base": base, "_flipped": flipped})
-
-    blocks = lines.groupBy("_file", "_block").agg(
-        F.max_by(F.struct("_base", "_flipped"), "_row").alias("_end"),
-        F.min(F.when(F.trim("_line") != "", F.col("_row"))).alias("_lead"),
+    path = scratch_path(spark, "lines")
+    found = read_lines(spark, paths).mapInArrow(lambda batches: line_pieces(batches, max_record), PIECE_SCHEMA)
+    pieces = stage(found, path).withColumn("_block", F.shiftright("_row", ROW_BITS))
+    blocks = pieces.groupBy("_file", "_block").agg(
+        F.max_by("_after", "_row").alias("_end"), F.min(F.when(F.col("_filled"), F.col("_row"))).alias("_lead")
     )
     over_blocks = Window.partitionBy("_file").orderBy("_block")  # one row per block
-    fixed = F.when(F.col("_end._base").isNotNull(), (F.col("_end._base") + F.col("_end._flipped")) % 2)
-    flips = F.when(F.col("_end._base").isNull(), F.col("_end._flipped") % 2).otherwise(0)
-    base, flipped = running_effect(fixed, flips, over_blocks)
-    ends = blocks.withColumns({"_b": base, "_f": flipped}).withColumn("_state", state_after(F.col("_b"), F.col("_f"), F.lit(0)))
+    known = F.col("_end") < LEAVES
+    base, flipped = running_effect(F.when(known, F.col("_end")), F.when(F.col("_end") == FLIPS, 1).otherwise(0), over_blocks)
+    ends = blocks.withColumns({"_b": base, "_f": flipped}).withColumn(
+        "_state", ((F.coalesce("_b", F.lit(0)) + F.col("_f")) % 2).cast("int")
+    )
     starts = ends.select(
         F.struct("_file", "_block").alias("_at"),
         F.lag("_state", 1, 0).over(over_blocks).alias("_start"),
         # The header is the record that begins with the first line that is not blank.
         F.min("_lead").over(Window.partitionBy("_file")).alias("_header"),
     )
-    placed = join_small(lines.withColumn("_at", F.struct("_file", "_block")), starts, "_at")
-    after = placed.withColumn("_after", state_after(F.col("_base"), F.col("_flipped"), F.col("_start")))
-    before = after.withColumn("_before", F.coalesce(F.lag("_after").over(in_block), F.col("_start")))
-    # A record is named after its first line.
-    first = F.last(F.when(F.col("_before") == 0, F.col("_row")), ignorenulls=True).over(in_block)
-    path = scratch_path(spark, "lines")
-    own = stage(
-        before.select(
-            "_file", "_block", "_row", "_line", "_before", "_after", "_header",
-            first.alias("_first"), F.length("_line").alias("_length"),
-        ),
-        path,
+    placed = join_small(pieces.withColumn("_at", F.struct("_file", "_block")), starts, "_at").withColumns(
+        {"_before": state_of("_before", "_start"), "_after": state_of("_after", "_start")}
     )
 
     whole = (F.col("_before") == 0) & (F.col("_after") == 0)
-    single = own.filter(whole).select("_file", "_row", "_line", "_header")
-    # Only records of several lines are put together; a block that begins inside one
-    # takes its name from the blocks before.
-    carried = own.groupBy("_file", "_block").agg(F.max("_first").alias("_last")).select(
+    single = placed.filter(whole).select("_file", "_row", "_line", "_lines", "_length", "_header")
+    # Only pieces of records are put together, named after the first line of theirs; a block
+    # that begins inside a record takes its name from the blocks before.
+    parts = placed.filter(~whole)
+    begun = F.when(F.col("_before") == 0, F.col("_row"))
+    carried = parts.groupBy("_file", "_block").agg(F.max(begun).alias("_last")).select(
         F.struct("_file", "_block").alias("_at"),
         F.last("_last", ignorenulls=True).over(over_blocks.rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"),
     )
-    parts = own.filter(~whole).withColumn("_at", F.struct("_file", "_block"))
-    named = join_small(parts, carried, "_at").withColumn("_first", F.coalesce("_first", "_carried"))
+    in_block = Window.partitionBy("_file", "_block").orderBy("_row")
+    own = parts.withColumn("_first", F.last(begun, ignorenulls=True).over(in_block))
+    named = join_small(own, carried, "_at").withColumn("_first", F.coalesce("_first", "_carried"))
     lengths = named.groupBy("_file", "_first").agg(
-        F.sum(F.col("_length") + 1).alias("_length"), F.max_by("_after", "_row").alias("_open")
+        F.sum("_length").alias("_length"), F.max_by("_after", "_row").alias("_open")
+    ).unionByName(
+        single.filter(F.col("_lines") > 1).select("_file", F.col("_row").alias("_first"), "_length", F.lit(0).alias("_open"))
     )
     why = F.when(F.col("_open") == 1, F.lit(UNCLOSED)).when(F.col("_length") > max_record, F.lit(TOO_LONG.format(max_record)))
     broken = checkpointed(
@@ -123,11 +221,11 @@ def find_records(spark: SparkSession, paths: list[str], max_record: int = MAX_RE
         single, named = (
             join_small(part, broken, "_file").filter(F.col("_broken").isNull()).drop("_broken") for part in (single, named)
         )
-    pieces = F.array_sort(F.collect_list(F.struct("_row", "_line")))
+    texts = F.array_sort(F.collect_list(F.struct("_row", "_line")))
     joined = named.groupBy("_file", "_first", "_header").agg(
-        F.array_join(F.transform(pieces, lambda p: p["_line"]), "\n").alias("_line")
+        F.array_join(F.transform(texts, lambda p: p["_line"]), "\n").alias("_line")
     )
-    records = single.unionByName(joined.withColumnRenamed("_first", "_row"))
+    records = single.select("_file", "_row", "_line", "_header").unionByName(joined.withColumnRenamed("_first", "_row"))
     data = records.filter((F.trim("_line") != "") & (F.col("_row") != F.col("_header")))
     return data.select("_file", "_row", "_line"), broken, path
 

@@ -7,6 +7,7 @@ import random
 import zipfile
 from dataclasses import replace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,12 +16,13 @@ from rowsieve import Chunking, CleanseSpec, Destination, OutputFormat, SheetMode
 from rowsieve.plans.fixtures import CONTACTS, contacts, workbook_bytes
 from rowsieve.plans.queries import PER_SHEET
 from rowsieve.plans.run import outcomes, run
-from rowsieve.session import scratch_root
+from rowsieve.session import scratch_root, stage
 from rowsieve.sinks.inplace import replace_in_place
 from rowsieve.sinks.write import CSV_OPTIONS, write_run
+from rowsieve.sources import records as record_source
 from rowsieve.sources.csv import first_record
 from rowsieve.sources.files import ROW_BITS
-from rowsieve.sources.records import UNCLOSED, cells_of, find_records, width_classes
+from rowsieve.sources.records import UNCLOSED, cells_of, find_records, line_pieces, width_classes
 from rowsieve.sources.read import read_sources, scan_headers
 from rowsieve.spec import FILE_LINEAGE, SpecError
 from rowsieve.streaming.incremental import run_incremental
@@ -111,6 +113,61 @@ def test_records_over_many_lines(spark, tmp_path, conf, seed):
     assert all(g == w for g, w in zip(got, data_rows))
 
 
+def test_lines_of_a_split_are_not_shuffled(spark, tmp_path, conf, monkeypatch):
+    """Lines are joined where they are read; only what crosses a split is put together by a shuffle."""
+    small_splits(conf)
+    count, plans = 60_000, []
+
+    def watched(df, path):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stage(df, path)
+
+    monkeypatch.setattr(record_source, "stage", watched)
+    path = write(tmp_path, "big.csv", "id,note\n" + "".join(f'{i},"say ""{"x" * 30}"",\nplain\n{i}"\n' for i in range(count)))
+    records, broken, staged = find_records(spark, [path])
+    assert len(plans) == 1 and "Exchange" not in plans[0] and "Window" not in plans[0]
+    pieces = spark.read.parquet(staged)
+    splits = pieces.select(F.shiftright("_row", ROW_BITS)).distinct().count()
+    assert splits > 2 and pieces.count() <= 1 + count + 4 * splits
+    assert broken.isEmpty() and records.count() == count
+    cells = cells_of(records.withColumn("_width", F.lit(2)), [2]).orderBy("_row").select("_cells").collect()
+    assert [r["_cells"] for r in cells] == [[str(i), f'say "{"x" * 30}",\nplain\n{i}'] for i in range(count)]
+
+
+def batches_of(lines, size):
+    """``lines`` as (path, row, text, code) in batches of ``size``."""
+    for i in range(0, len(lines), size):
+        path, row, text, code = zip(*lines[i:i + size])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(path), pa.array(row, pa.int64()), pa.array(text), pa.array(code, pa.int32()), pa.array([t.strip() != "" for t in text])],
+            ["_path", "_row", "_line", "_code", "_filled"],
+        )
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 100])
+def test_pieces_do_not_depend_on_batches(size):
+    """Codes: 0 ends outside a cell, 1 inside, 2 leaves the state, 3 flips it."""
+    at = 1 << ROW_BITS
+    lines = [("file:///a%20b.csv", 0, "p", 2), ("file:///a%20b.csv", 1, '"q', 3), ("file:///a%20b.csv", 2, "r", 2)]
+    lines += [("file:///a%20b.csv", 3, 's","', 1), ("file:///a%20b.csv", 4, "", 2), ("file:///a%20b.csv", 5, 't"', 0)]
+    lines += [("file:///a%20b.csv", 6, " ", 2), ("file:///a%20b.csv", 7, '"open', 1), ("file:///a%20b.csv", at + 8, "u", 2)]
+    lines += [("file:/c.csv", at + 9, 'v"', 0), ("file:/c.csv", at + 10, '"w', 3), ("file:/c.csv", at + 11, 'x"', 0)]
+    names = ["_file", "_row", "_line", "_lines", "_length", "_filled", "_before", "_after"]
+
+    def found(max_record):
+        return [tuple(r[n] for n in names) for b in line_pieces(batches_of(lines, size), max_record) for r in b.to_pylist()]
+
+    want = [
+        ("file:/a b.csv", 0, "p", 1, 2, True, 2, 2), ("file:/a b.csv", 1, '"q', 1, 3, True, 2, 3),
+        ("file:/a b.csv", 2, "r", 1, 2, True, 3, 3), ("file:/a b.csv", 3, 's","\n\nt"', 3, 9, True, 3, 0),
+        ("file:/a b.csv", 6, " ", 1, 2, False, 0, 0), ("file:/a b.csv", 7, '"open', 1, 6, True, 0, 1),
+        ("file:/a b.csv", at + 8, "u", 1, 2, True, 2, 2), ("file:/c.csv", at + 9, 'v"', 1, 3, True, 2, 0),
+        ("file:/c.csv", at + 10, '"w\nx"', 2, 6, True, 0, 0),
+    ]
+    assert found(100) == want
+    assert [r[:2] + r[3:] for r in found(5)] == [r[:2] + r[3:] for r in want]  # a text may be left out, its length is not
+
+
 def test_first_record_reads_on():
     long = "y" * 100_000
     assert first_record(io.BytesIO(f'"a\n{long}",b\n1,2\n'.encode())) == [f"a\n{long}", "b"]
